@@ -1,0 +1,32 @@
+"""The registered queries of the corpus operators: each applies its operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, token_counts, topk
+from .common import table
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all other vectors for every hundredth vector."""
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's side; mask spans as text, and the masked characters' number."""
+    rows = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    masked = F.aggregate("masks", F.lit(0), lambda n, m: n + m["end"] - m["start"])
+    return rows.select("conv_id", "assistant", "part", "char_start", "n_turns", "text", spans.alias("mask_spans"), masked.cast("long").alias("masked_chars"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document by the public word-level BPE file."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_chat_format, op5_token_counts)}

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, token_counts, topk
+from . import chat, mixing, simhash, token_counts, topk
 from .common import table
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all other vectors for every hundredth vector."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
@@ -29,4 +34,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_chat_format, op5_token_counts)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document, of its edited text, and their likeness."""
+    return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash)}

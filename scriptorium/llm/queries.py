@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash, token_counts, topk
+from . import chat, jaccard, mixing, simhash, token_counts, topk
 from .common import table
 
 
@@ -39,4 +39,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links at Jaccard 0.8 over five-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op9_jaccard_join)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from .queries import QUERIES
+    from .query_set import QUERIES
 
     return dict(QUERIES)
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, simhash, token_counts, topk
+from . import chat, jaccard, mixing, packing, quality, simhash, token_counts, topk
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document by gated attention over its passages."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,9 +44,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links at Jaccard 0.8 over five-word shingles."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op7_packing, op9_jaccard_join)}

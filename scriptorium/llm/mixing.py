@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, word_count, written
+from .common import BLANKS, prefix_sums, word_count, written
 
 #: Words in a block, and slots that are ranked together.
 BLOCK, CHUNK = 256, 4096
@@ -139,6 +139,10 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     found = docs.join(takes, match).where("_taken > 0")
     whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}'), 0)")
+    # pieces of a text that end with a word; the first n of them hold its first n words
+    ends = rf"(?<=[^{BLANKS}])(?=[{BLANKS}])"
+    head = F.array_join(F.slice(F.split("text", ends), F.lit(1), F.col("_words").cast("int")), "")
     out = found.withColumn("_words", F.explode(parts)).withColumn("text", F.when(F.col("_words") > 0, head).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)

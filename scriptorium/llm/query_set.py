@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, simhash, token_counts, topk
+from . import chat, jaccard, licenses, mixing, packing, pii, quality, simhash, token_counts, topk
 from .common import table
 
 
@@ -49,9 +49,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses found in every document, as `name:coefficient` parts; their number and the best coefficient."""
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    parts = F.array_join(F.transform("licenses", lambda m: F.concat(m["name"], F.lit(":"), F.round(m["dice"], 4).cast("string"))), ";")
+    return rows.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), parts.alias("licenses"), F.coalesce(F.round(F.array_max(F.transform("licenses", lambda m: m["dice"])), 4), F.lit(0.0)).alias("best_dice"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links at Jaccard 0.8 over five-word shingles."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op7_packing, op9_jaccard_join)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many entities that took."""
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op7_packing, op8_license_scan, op9_jaccard_join, op10_pii_surrogates)}

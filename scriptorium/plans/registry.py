@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .oracles import ORACLES
+from .queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

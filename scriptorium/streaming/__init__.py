@@ -1 +1 @@
-"""Streaming of the engine."""
+"""No streams: every ingest is a full rebuild of its output."""

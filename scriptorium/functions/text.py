@@ -85,7 +85,7 @@ def entity_filename(label: Column, name: Column) -> Column:
 
 def fence(body: Column) -> Column:
     """Lines of three dashes alone get a backslash, so that they close no front matter."""
-    return F.regexp_replace(body, "(?md)^---$", r"\\\\---")
+    return F.regexp_replace(body, "(?md)^---$", r"\\---")
 
 
 def excerpt(text: Column, chars: int = 80) -> Column:

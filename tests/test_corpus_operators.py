@@ -1,0 +1,190 @@
+"""Weights, search, entities, manifest and lint on small fixtures."""
+
+import hashlib
+from math import log, sqrt
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.operators import entities, lint, manifest, search, summaries, tfidf
+from scriptorium.operators.analysis import RuleAnalyzer, entities_in_chunks, keep_tokens
+
+TEXTS = ["alpha beta gamma", "beta gamma delta", "gamma delta epsilon", "alpha epsilon zeta zeta", ""]
+WORDS = RuleAnalyzer()
+
+
+@pytest.fixture(scope="module")
+def weighed(spark):
+    chunks = spark.createDataFrame([(f"c{i}", t, f"s{i}") for i, t in enumerate(TEXTS)], "chunk_id string, text string, source string")
+    counts = tfidf.term_counts(chunks, WORDS.tokens(F.col("text")))
+    vocab = tfidf.vocabulary(counts, len(TEXTS)).persist()
+    return chunks, vocab, tfidf.weights(counts, vocab).persist()
+
+
+def test_weights(weighed):
+    _, vocab, weighted = weighed
+    idf = {r["term"]: r["idf"] for r in vocab.collect()}
+    assert idf["gamma"] == pytest.approx(log(6 / 4) + 1) and idf["zeta"] == pytest.approx(log(6 / 2) + 1)
+    raw = {"alpha": idf["alpha"], "epsilon": idf["epsilon"], "zeta": (1 + log(2)) * idf["zeta"]}
+    norm = sqrt(sum(x * x for x in raw.values()))
+    got = {r["term"]: r["weight"] for r in weighted.where("chunk_id = 'c3'").collect()}
+    assert got == {t: pytest.approx(x / norm) for t, x in raw.items()}
+
+
+def test_keywords(weighed):
+    chunks, _, weighted = weighed
+    lists = {r["chunk_id"]: [k["term"] for k in r["top_keywords"]] for r in tfidf.keyword_lists(tfidf.top_keywords(weighted, 2), chunks).collect()}
+    assert lists["c3"] == ["zeta", "alpha"] and lists["c4"] == []
+
+
+def test_pruning(weighed):
+    chunks = weighed[0]
+    counts = tfidf.term_counts(chunks, WORDS.tokens(F.col("text")))
+    terms = lambda **k: {r["term"] for r in tfidf.vocabulary(counts, 5, **k).collect()}
+    assert terms(min_df=2) == {"alpha", "beta", "gamma", "delta", "epsilon"} and terms(max_df=0.4) == {"alpha", "beta", "delta", "epsilon", "zeta"}
+
+
+def test_search(weighed):
+    _, vocab, weighted = weighed
+    assert search.query_vector(["nothing"], vocab) == {} and search.query_vector([], vocab) == {}
+    rows = search.top_chunks(weighted, search.query_vector(["zeta", "unknown"], vocab), 5).collect()
+    assert [r["chunk_id"] for r in rows] == ["c3"]
+    assert search.top_chunks(weighted, {}, 5).count() == 0
+
+
+def test_similar_pairs_are_exact(spark):
+    import random
+
+    r = random.Random(1)
+    rows = []
+    base = {}
+    for i in range(60):
+        v = dict(base) if i % 3 and base else {f"t{r.randrange(40)}": r.random() + 0.1 for _ in range(8)}
+        if r.random() < 0.7:
+            v[f"t{r.randrange(40)}"] = r.random()
+        base = v
+        n = sqrt(sum(x * x for x in v.values()))
+        rows += [(f"c{i:02}", t, x / n) for t, x in v.items()]
+    vectors = {}
+    for c, t, x in rows:
+        vectors.setdefault(c, {})[t] = x
+    want = {(a, b) for a in vectors for b in vectors if a < b and sum(x * vectors[b].get(t, 0) for t, x in vectors[a].items()) > 0.9}
+    got = search.similar_pairs(spark.createDataFrame(rows, "chunk_id string, term string, weight double"), 0.9).collect()
+    assert {(p["a"], p["b"]) for p in got} == want and want
+
+
+def test_tokens_by_part_of_speech(spark):
+    df = spark.sql("SELECT array(struct('NOUN' AS pos, ' 光 ' AS lemma), struct('ADP' AS pos, 'を' AS lemma), struct('VERB' AS pos, 'する' AS lemma), struct('ADJ' AS pos, ' ' AS lemma)) AS t")
+    assert df.select(keep_tokens(F.col("t")).alias("x")).first()["x"] == ["光"]
+
+
+MENTIONS = [("c0", "太郎", "PERSON", 0, 2), ("c0", "東京社", "ORG", 3, 6), ("c1", "太郎", "PERSON", 0, 2), ("c1", "東京社", "ORG", 4, 7), ("c3", "太郎", "PERSON", 1, 3), ("c2", "花子", "PERSON", 0, 2), ("c2", "花子", "PERSON", 5, 7), ("c2", "花子", "PERSON", 9, 11)]
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    mentions = spark.createDataFrame(MENTIONS, "chunk_id string, name string, ner_label string, char_start int, char_end int")
+    chunks = spark.createDataFrame([(f"c{i}", i, f"s{i}", f"text {i}") for i in range(4)], "chunk_id string, row_index long, source string, text string")
+    return mentions, chunks
+
+
+def test_entities(people):
+    mentions, chunks = people
+    rows = {r["name"]: r for r in entities.aggregate_entities(mentions, chunks, min_mentions=2, min_chunks=2).collect()}
+    assert set(rows) == {"太郎", "東京社"} and rows["太郎"]["chunk_ids"] == ["c0", "c1", "c3"]
+    assert [(c["ner_label"], c["name"]) for c in rows["太郎"]["cooccurring_entities"]] == [("ORG", "東京社")]
+    assert entities.entity_stats(mentions, min_mentions=3, min_chunks=2).first().asDict() == {"total_detected": 3, "accepted": 1, "skipped": 2}
+    attached = {r["chunk_id"]: [m["name"] for m in r["entities"]] for r in entities.with_mentions(chunks, mentions).collect()}
+    assert attached["c0"] == ["太郎", "東京社"] and attached["c2"] == ["花子"] * 3
+
+
+def test_containment(spark):
+    found = spark.createDataFrame([("s", "A", "PERSON", 5, 8), ("s", "B", "PERSON", 8, 12), ("s", "C", "DATE", 5, 6)], "source string, name string, ner_label string, char_start int, char_end int")
+    chunks = spark.createDataFrame([("x", "s", 4, 10)], "chunk_id string, source string, char_start int, char_end int")
+    assert [(r["name"], r["char_start"], r["char_end"]) for r in entities_in_chunks(found, chunks).collect()] == [("A", 1, 4)]
+
+
+@pytest.fixture(scope="module")
+def planned(people):
+    mentions, chunks = people
+    found = entities.aggregate_entities(mentions, chunks, min_mentions=2, min_chunks=1)
+    return manifest.source_hashes(found, chunks, analyzer_hash="h", model_version="m", llm="l").persist(), chunks
+
+
+def test_source_hash(planned):
+    found, _ = planned
+    want = hashlib.sha256("\0".join(["太郎", "PERSON", "text 0\n---\ntext 1\n---\ntext 3", "h", "m", "l", "v1"]).encode()).hexdigest()
+    assert {r["name"]: r["source_hash"] for r in found.collect()}["太郎"] == want
+
+
+def test_decisions(planned):
+    found, _ = planned
+    status = F.when(F.col("name") == "太郎", "success").when(F.col("name") == "花子", "failed").otherwise("budget_skipped")
+    known = manifest.as_entries(found, status, F.when(F.col("name") == "東京社", "").otherwise(F.col("source_hash")), F.lit(""), "t")
+    actions = lambda **k: {r["name"]: r["action"] for r in manifest.decide(found, known, **k).collect()}
+    assert actions() == {"太郎": "cached", "花子": "cached", "東京社": "call"}
+    assert actions(retry_failed=True) == {"太郎": "cached", "花子": "call", "東京社": "call"}
+    assert set(actions(force=True).values()) == {"call"}
+    budget = {r["name"]: r["action"] for r in manifest.with_budget(manifest.decide(found, known, force=True), 1).collect()}
+    assert sorted(budget.values()) == ["budget_skipped", "budget_skipped", "call"] and budget["太郎"] == "call"  # three mentions in three chunks come first
+    merged = manifest.merge(known, manifest.as_entries(found.where("name = '花子'"), F.lit("success"), F.col("source_hash"), F.lit(""), "u")).collect()
+    assert {r["entity_name"]: (r["status"], r["last_attempt_at"]) for r in merged} == {"太郎": ("success", "t"), "花子": ("success", "u"), "東京社": ("budget_skipped", "t")}
+
+
+def test_prompts(planned):
+    found, chunks = planned
+    text = {r["name"]: r["prompt"] for r in manifest.prompts(found, chunks, 2).collect()}["太郎"]
+    assert "PERSON の「太郎」" in text and "- [s0] text 0\n- [s1] text 1\n... (残り 1 件のチャンクは省略) ..." in text
+
+
+def test_abort(spark):
+    at = lambda *failed: [r["n"] for r in manifest.abort_point(spark.createDataFrame(list(enumerate(failed)), "n int, failed boolean")).collect()]
+    assert at(True, True, False, True, False) == [4] and at(True, True, True, True) == [] and at(True, True, False, False, False, True) == []
+
+
+class Scripted:
+    model_id = "scripted"
+
+    def __init__(self, failing):
+        self.failing = failing
+
+    def generate(self, prompt, max_tokens):
+        if any(f in prompt for f in self.failing):
+            raise summaries.Retryable("busy")
+        return summaries.Answer("ok", 3, 1, self.model_id)
+
+
+def test_waves(spark):
+    tasks = spark.createDataFrame([(f"e{i}", "ORG", f"prompt p{i}.") for i in range(8)], "name string, ner_label string, prompt string")
+    quiet = lambda s: None
+    rows, aborted = summaries.summarize(tasks, Scripted(["p1.", "p2.", "p3."]), parallelism=1, sleep=quiet)
+    assert aborted and len(rows) == 5 and [r["ok"] for r in rows] == [True, False, False, False, True]
+    rows, aborted = summaries.summarize(tasks, Scripted(["p1."]), parallelism=3, sleep=quiet)
+    assert not aborted and len(rows) == 8 and sum(not r["ok"] for r in rows) == 1
+
+
+def test_calls():
+    slept = []
+    assert summaries.with_retries(Scripted(["x"]), "x", 5, sleep=slept.append) is None and len(slept) == 2 and 1 <= slept[0] < 2 <= slept[1] < 3
+    assert summaries.preflight(summaries.FirstLines()).output_tokens > 0
+    with pytest.raises(summaries.PreflightFailed):
+        summaries.preflight(Scripted(["word"]))
+    with pytest.raises(summaries.Permanent):
+        summaries.client("openai")
+    assert summaries.classify_status(503) is summaries.Retryable and summaries.classify_status(401) is summaries.Permanent
+
+
+def test_lint_rules(spark):
+    chunks = spark.createDataFrame([("a", ""), ("b", "x" * 1600), ("c", "y。" * 600), ("d", "一。二。"), ("e", "一。")], "chunk_id string, text string")
+    got = {(r["message"].split()[0], r["category"]) for r in lint.by_length(chunks, lint.Thresholds()).collect()}
+    assert got == {("a", "empty_chunk"), ("b", "over_max_chunk"), ("b", "single_sentence"), ("c", "over_2x_target"), ("e", "single_sentence")}
+
+
+def test_lint_names_and_exit(spark):
+    known = spark.createDataFrame([("株式会社光学研究所", "ORG", "success", ["c0"]), ("株式会社光学研究", "ORG", "success", ["zz"]), ("別", "ORG", "failed", ["zz"])], "entity_name string, ner_label string, status string, chunk_ids array<string>")
+    assert lint.similar_names(known, lint.Thresholds()).count() == 1 and lint.similar_names(known, lint.Thresholds(pairwise=1)).count() == 0
+    chunks = spark.createDataFrame([("c0", "一。二。三。")], "chunk_id string, text string")
+    weighted = spark.createDataFrame([("c0", t, 0.5) for t in "abcd"], "chunk_id string, term string, weight double")
+    found = lint.findings(chunks, weighted, known).collect()
+    assert sorted(r["category"] for r in found) == ["orphan_wiki", "similar_entity", "wiki_disabled"]
+    assert lint.exit_code(lint.fatal(spark, "schema", "x")) == 2 and lint.exit_code(lint.findings(chunks, weighted, known)) == 1

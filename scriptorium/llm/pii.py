@@ -33,19 +33,21 @@ _TAILS = {"latin": ["berg", "bury", "combe", "dale", "field", "ford", "gate", "h
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES])
 _GIVEN = "|".join(n for g in (MALE, FEMALE) for names in g.values() for n in names)
 _PROPER = r"\p{Lu}\p{Ll}{1,30}"
+#: Letters that a title or given name begins with: looked at first, since a text has few capitals.
+_FIRST = f"(?=[{''.join(sorted({x[0] for x in f'{_TITLES}|{_GIVEN}'.split('|')}))}])"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9.,-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_PROPER}(?: {_PROPER})?|(?:{_GIVEN}) {_PROPER})(?!\p{{L}})",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?=[0-9])(?<![0-9.,-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?=[0-9+(])(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "person": rf"{_FIRST}(?<!\p{{L}})(?:(?:{_TITLES})\.? {_PROPER}(?: {_PROPER})?|(?:{_GIVEN}) {_PROPER})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these has no entity.
-_HINT = rf"[0-9@]|sk-|AKIA|ghp_|[A-F]{{32}}|[a-f]{{32}}|{_TITLES}|{_GIVEN}"
+_HINT = rf"[0-9@]|{_FIRST}(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})|AKIA|sk-|ghp_|[A-F]{{32}}|[a-f]{{32}}"
 DIGIT_KINDS = ("card", "ssn", "phone")
 
 
@@ -79,6 +81,11 @@ def _gender(mention: Column) -> Column:
     return F.when(mention.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? "), "f").when(mention.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? "), "m").when(first.isin(*female), "f").when(first.isin(*male), "m").otherwise("u")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _stream(seed: Column, blocks: int = 5) -> Column:
     """Keyed hex digits, 64 a block."""
     return F.concat(*[F.sha2(F.concat(seed, F.lit(f"/{i}")).cast("binary"), 256) for i in range(blocks)])
@@ -119,7 +126,18 @@ def _check_digit(body: Column) -> Column:
 
 def surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
     """The surrogate of an entity's normal form, itself a normal form of the same kind."""
-    stream = _stream(F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string")))
+    seed = F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"))
+    # the domain of an address goes by itself, so that one domain stays one domain
+    host = F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.split_part(normal, F.lit("@"), F.lit(2)))
+    return _bound(_stream(seed), lambda stream: F.when(kind == "email", _bound(_stream(host), lambda h: _email(normal, stream, h))).otherwise(_other(kind, normal, stream)))
+
+
+def _email(normal: Column, stream: Column, host: Column) -> Column:
+    local, domain = F.split_part(normal, F.lit("@"), F.lit(1)), F.split_part(normal, F.lit("@"), F.lit(2))
+    return F.concat(_same_shape(local, stream), F.lit("@"), _same_shape(F.split_part(domain, F.lit("."), F.lit(1)), host), F.lit(".example.org"))
+
+
+def _other(kind: Column, normal: Column, stream: Column) -> Column:
     shaped = _same_shape(normal, stream)
     body = F.concat(F.substring(normal, 1, 1), F.substring(shaped, F.lit(2), F.length(normal) - 2))
     true_body = F.substring(normal, F.lit(1), F.length(normal) - 1)
@@ -128,10 +146,6 @@ def surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Column
     card = F.concat(body, F.when(valid, _check_digit(body).cast("string")).otherwise(F.substring(shaped, -1, 1)))
     # a telephone number keeps the first digit of its country code
     phone = F.when(normal.startswith("+"), F.concat(F.substring(normal, 1, 2), F.substring(shaped, F.lit(3), F.length(normal)))).otherwise(shaped)
-    local, domain = F.split_part(normal, F.lit("@"), F.lit(1)), F.split_part(normal, F.lit("@"), F.lit(2))
-    # the domain goes by itself, so that one domain stays one domain
-    host = _stream(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain))
-    email = F.concat(_same_shape(local, stream), F.lit("@"), _same_shape(F.split_part(domain, F.lit("."), F.lit(1)), host), F.lit(".example."), F.lit("org"))
     octet = lambda i: _draw(stream, F.lit(i), 256).cast("string")
     private = normal.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
     ip = F.concat_ws(".", F.when(private, F.lit("10")).otherwise((_draw(stream, F.lit(0), 15) + 240).cast("string")), octet(1), octet(2), octet(3))
@@ -148,7 +162,7 @@ def surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Column
         return F.concat(gender, F.lit(":"), F.when(whole, F.concat(given, F.lit(" "), family)).otherwise(family))
 
     return (
-        F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "iban", iban)
+        F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "iban", iban)
         .when(kind == "person", F.when(cyrillic, person("cyrillic")).otherwise(person("latin"))).otherwise(shaped)
     )
 

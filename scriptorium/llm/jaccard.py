@@ -16,7 +16,7 @@ Blocks. Inside a block documents are near each other, and distances tell: pivots
 each document goes to the Voronoi cell of its nearest pivot, and by the triangle inequality
 visits each further cell whose pivot is at most 2 * 0.2 farther away. Documents within 0.2 of
 a pivot are linked with it at once; cells are joined recursively until they are one
-component, small, or no longer shrink (then by the prefix index). A block of more shingles
+component, small, or no longer shrink (then pair by pair, behind a bound on the overlap). A block of more shingles
 than one task should hold is first dealt into tiles by size, each pair of tiles a task.
 """
 
@@ -40,8 +40,12 @@ PER, OUT_OF = 8, 10
 CELL_BITS, MOST_COMMON, LEAST_COMMON = 23, 1 << 20, 4
 #: Shingles that a worker holds at a time while counting and forming regions.
 HELD = 1 << 21
+#: Members of a region whose pairs are looked at one by one.
+FEW = 4
 #: Bits of the filter of documents that are in blocks.
 BLOCK_BITS = 24
+#: Words of 64 bits that mark a cell's most common shingles.
+MARKS = 4
 #: Shingles of a block that one task joins; members of a cell that are compared directly; pivots at a time.
 BLOCK_SHINGLES, LEAF, PIVOTS = 4_000_000, 24, 6
 
@@ -69,6 +73,29 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Parities of the counts of shingles in cells, at least two cells a shingle: two sets differ in as many shingles at least as parities."""
+    bits = max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes() if len(s) else b""
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Parities in which two sets differ; the finer one is folded to the coarser one."""
+    x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[::2] ^ x[1::2]
+        else:
+            y = y[::2] ^ y[1::2]
+    return int(np.count_nonzero(x != y))
+
+
+def may_link(n_a: int, n_b: int, apart: int) -> bool:
+    """False only where no two sets of these sizes that differ so much can be linked."""
+    least = -(-PER * (n_a + n_b) // (PER + OUT_OF))
+    return apart <= n_a + n_b - 2 * least
+
+
 def _repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts of the shingles that come in more than one of some sets."""
     h = np.sort(np.concatenate(held))
@@ -80,19 +107,20 @@ def _repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, signature, n) of every row; kind 1: (cell, count) of shingles repeated among different sets."""
-    names = ["kind", "a", "b", "c", "n"]
+    names = ["kind", "a", "b", "c", "n", "bits"]
     held, size, seen = [], 0, set()
 
     def common():
         cells, counts = _repeated(held)
         zero = np.zeros(len(cells), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(cells), pa.array(counts), pa.array(zero), pa.array(zero)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(cells), pa.array(counts), pa.array(zero), pa.array(zero), pa.nulls(len(cells), pa.binary())], names=names)
 
     for batch in batches:
-        rows = []
+        rows, bits = [], []
         for s in _sets(batch):
             key = (len(s), *_signature(s))
             rows.append(key)
+            bits.append(_parity(s))
             if len(s) and key not in seen:
                 seen.add(key)
                 held.append(s)
@@ -101,7 +129,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield common()
                     held, size, seen = [], 0, set()
         n, s1, s2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column("doc_id").cast(pa.int64()), pa.array(s1), pa.array(s2), pa.array(n)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column("doc_id").cast(pa.int64()), pa.array(s1), pa.array(s2), pa.array(n), pa.array(bits, pa.binary())], names=names)
     if held:
         yield common()
 
@@ -143,45 +171,73 @@ def _prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return early[:k] if len(early) >= k else np.concatenate((early, s[late][: k - len(early)]))
 
 
-def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Members of regions -> (edges to each region's least document, regions as one member each).
+def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, star: np.ndarray, before: np.ndarray):
+    """Members of regions -> (edges of stars, pairs of small regions, members left with those that stand for a star).
+
+    before: the shingle that precedes the region's in the member's prefix (its own where there
+    is none). Two members that share it too meet in that shingle's region already, so a pair
+    of a small region is told only where it differs.
 
-    Regions go by key and are cut at gaps of size that no linked pair bridges.
+    Regions go by key and are cut at gaps of size that no linked pair bridges. A region of
+    more than FEW members becomes a star around its least document, which stands for it.
     """
     order = np.lexsort((low, key))
-    key, doc, low, high = key[order], doc[order], low[order], high[order]
+    key, doc, low, high, star, before = (x[order] for x in (key, doc, low, high, star, before))
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.cumsum(new_key).astype(np.int64) << 40
     reach = np.maximum.accumulate(group + high) - group
     cut = new_key.copy()
     cut[1:] |= PER * low[1:] > OUT_OF * reach[:-1]
-    at = np.flatnonzero(cut)
+    at, of = np.flatnonzero(cut), np.cumsum(cut) - 1
+    size = np.diff(np.concatenate((at, [len(key)])))
     pivot = np.minimum.reduceat(doc, at)
-    of = np.cumsum(cut) - 1
-    far = doc != pivot[of]
-    edges = np.unique(np.stack((doc[far], pivot[of][far])), axis=1) if far.any() else np.zeros((2, 0), np.int64)
-    return edges, (key[at], pivot, low[at], np.maximum.reduceat(high, at))
-
-
+    starred = (size > FEW) | ((size > 1) & np.logical_or.reduceat(star, at))
+    far = starred[of] & (doc != pivot[of])
+    edges = _distinct(doc[far], pivot[of][far])
+    few = ~starred[of] & (size[of] > 1)
+    pairs = []
+    for lag in range(1, FEW):
+        new = (before[lag:] != before[:-lag]) | (before[lag:] == key[lag:])
+        meet = np.flatnonzero(few[lag:] & few[:-lag] & (of[lag:] == of[:-lag]) & new)
+        if len(meet):
+            pairs.append(np.stack((np.maximum(doc[meet], doc[meet + lag]), np.minimum(doc[meet], doc[meet + lag]))))
+    laid = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    laid = laid[:, laid[0] != laid[1]]
+    one = ~starred[of]
+    left = (key[one], doc[one], low[one], np.where(star[one], high[one], before[one]), star[one])
+    stands = (key[at][starred], pivot[starred], low[at][starred], np.maximum.reduceat(high, at)[starred], np.ones(int(starred.sum()), bool))
+    return edges, _distinct(*laid), tuple(np.concatenate(x) for x in zip(left, stands, strict=True))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+#: Kinds of rows that leave the region pass: a member, a member that stands for a star, an edge of a star.
+MEMBER, STAND, EDGE = 0, 1, 2
 _REGION = "kind long, a long, b long, low long, high long"
 
 
-def _batch(kind: int, a, b, low=None, high=None) -> pa.RecordBatch:
-    zero = np.zeros(len(a), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + kind, a, b, zero if low is None else low, zero if high is None else high)], names=["kind", "a", "b", "low", "high"])
+def _rows(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
 
 
 def _regions(common: np.ndarray):
-    """kind 0: region a with document b and sizes; kind 1: edge a - b, found in the task."""
+    """Members of regions (a: region, b: document, low: size, high: the shingle before, or a star's largest size), and edges a - b found in the task."""
+    names = ["kind", "a", "b", "low", "high"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, {}
+        held, size, seen = [], 0, set()
 
         def out():
-            key, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            edges, regions = _stars(key, doc, n, n)
-            yield _batch(1, *edges)
-            yield _batch(0, *regions)
+            key, doc, n, before = (np.concatenate(x) for x in zip(*held, strict=True))
+            edges, _, left = _stars(key, doc, n, n, np.zeros(len(key), bool), before)
+            none = np.zeros(len(edges[0]), np.int64)
+            yield _rows(none + EDGE, *edges, none, none, names=names)
+            yield _rows(left[4], *left[:4], names=names)
 
         for batch in batches:
             for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch), strict=True):
@@ -190,13 +246,13 @@ def _regions(common: np.ndarray):
                 sign = (len(s), *_signature(s))
                 if sign in seen:  # copies are held by their class
                     continue
-                seen[sign] = doc
+                seen.add(sign)
                 p = _prefix(s, common).view(np.int64)
-                held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int64)))
+                held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int64), np.concatenate((p[:1], p[:-1]))))
                 size += len(p)
                 if size > HELD:
                     yield from out()
-                    held, size, seen = [], 0, {}
+                    held, size, seen = [], 0, set()
         if held:
             yield from out()
 
@@ -204,17 +260,34 @@ def _regions(common: np.ndarray):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of all tasks, dealt by key: their edges, and the edges that tasks had found."""
+    """Regions of all tasks, dealt by key: star edges (of any task; sure), and the pairs of small regions (to be looked at)."""
     held = []
+    names = ["a", "b", "sure"]
+
+    def told(edges, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.array(np.full(len(edges[0]), sure))], names=names)
+
     for batch in batches:
         kind, a, b, low, high = (batch.column(i).to_numpy() for i in range(5))
-        known = kind == 1
+        known = kind == EDGE
         if known.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[known]), pa.array(b[known])], names=["a", "b"])
-        held.append(tuple(x[~known] for x in (a, b, low, high)))
+            yield told((a[known], b[known]), True)
+        held.append(tuple(x[~known] for x in (a, b, low, high, kind == STAND)))
     if held:
-        edges, _ = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in edges], names=["a", "b"])
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if len(columns[0]):
+            key, doc, low, high, star = columns
+            edges, pairs, _ = _stars(key, doc, low, np.where(star, high, low), star, np.where(star, key, high))
+            yield told(edges, True)
+            yield told(pairs, False)
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave a link possible."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+        keep = pa.array([may_link(na, nb, _apart(x, y)) for na, nb, x, y in zip(*columns, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
 # --- pass 3: blocks
@@ -253,21 +326,56 @@ def _near(common: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return (common > 0) & (OUT_OF * common >= PER * (n + size - common))
 
 
-def _by_index(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
-    """Exact join of a cell that pivots do not part: each document meets those with which it shares a prefix shingle."""
-    index: dict[int, list[int]] = {}
-    for x in sorted(members, key=lambda m: len(sets[m])):
-        s, met = sets[x], set()
-        prefix = s[: prefix_length(len(s))].tolist()
-        for h in prefix:
-            met.update(index.get(h, ()))
-        for y in met:
-            if PER * len(s) <= OUT_OF * len(sets[y]) and forest.root(x) != forest.root(y):
-                common = int(np.isin(sets[y], s, assume_unique=True).sum())
-                if linked(common, len(s), len(sets[y])):
-                    forest.tie(x, y)
-        for h in prefix:
-            index.setdefault(h, []).append(x)
+def _by_bounds(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
+    """Exact join of a cell that pivots do not part.
+
+    Bits mark the cell's most common shingles in each set. Two sets share at most their common
+    bits and the smaller number of their other shingles that come twice in the cell at all;
+    pairs whose bound cannot reach the similarity, or that are connected already, are never
+    compared.
+    """
+    members = sorted(members, key=lambda m: len(sets[m]))
+    n = np.array([len(sets[m]) for m in members])
+    of = np.repeat(np.arange(len(members)), n)
+    values, code, count = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True, return_counts=True)
+    bit = np.full(len(values), -1)
+    often = np.argsort(-count, kind="stable")[: 64 * MARKS]
+    often = often[count[often] > 1]
+    bit[often] = np.arange(len(often))
+    own = bit[code]
+    bits = np.zeros((len(members), MARKS), np.uint64)
+    marked = own >= 0
+    np.bitwise_or.at(bits, (of[marked], own[marked] >> 6), np.uint64(1) << (own[marked] & 63).astype(np.uint64))
+    rest = np.bincount(of[~marked & (count[code] > 1)], minlength=len(members))
+    part = np.array([forest.root(m) for m in members])
+    ends = np.searchsorted(n, n * OUT_OF // PER, side="right")
+    for i in range(len(members)):
+        js = slice(i + 1, ends[i])
+        bound = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(rest[js], rest[i])
+        fit = i + 1 + np.flatnonzero(((PER + OUT_OF) * bound >= PER * (n[js] + n[i])) & (part[js] != part[i]))
+        if not len(fit):
+            continue
+        common = _overlaps(sets[members[i]], sets, [members[j] for j in fit])
+        for j in fit[_near(common, n[fit], n[i])]:
+            forest.tie(members[i], members[j])
+            part[part == part[j]] = part[i]
+
+
+class _Laid:
+    """The shingles of some members laid end to end, for many comparisons with one set."""
+
+    def __init__(self, sets: list[np.ndarray], members: list[int]) -> None:
+        self.n = np.array([len(sets[m]) for m in members])
+        values, self.code = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True)
+        self.values, self.starts = values, np.concatenate(([0], np.cumsum(self.n)[:-1]))
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections with a set."""
+        at = np.searchsorted(self.values, s)
+        at[at == len(self.values)] = 0
+        mark = np.zeros(len(self.values), np.int32)
+        mark[at[self.values[at] == s]] = 1
+        return np.add.reduceat(mark[self.code], self.starts)
 
 
 def metric_join(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
@@ -282,29 +390,29 @@ def metric_join(sets: list[np.ndarray], members: list[int], forest: Forest) -> N
                 for y in np.array(rest)[_near(_overlaps(sets[x], sets, rest), n, len(sets[x]))].tolist():
                     forest.tie(x, y)
         return
-    n = np.array([len(sets[m]) for m in members])
-    apart, left = [], np.ones(len(members), bool)
-    while left.any() and len(apart) < PIVOTS:
-        pick = int(np.flatnonzero(left)[0])
-        pivot = members[pick]
-        common = _overlaps(sets[pivot], sets, members)
-        apart.append(1.0 - common / (n + len(sets[pivot]) - common))
-        ball = _near(common, n, len(sets[pivot]))
-        for x in np.flatnonzero(ball):
-            forest.tie(pivot, members[x])
-        left &= ~ball
-        left[pick] = False
+    laid, apart, left, idle = _Laid(sets, members), [], np.ones(len(members), bool), 0
+    # pivots go on while their balls hold others; the first of them make the cells
+    while left.any() and idle < PIVOTS:
+        open_ = np.flatnonzero(left)
+        pick = int(open_[len(open_) // 2])
+        s = sets[members[pick]]
+        common = laid.common(s)
+        if len(apart) < PIVOTS:
+            apart.append(1.0 - common / (laid.n + len(s) - common))
+        ball = np.flatnonzero(_near(common, laid.n, len(s)))
+        for x in ball:
+            forest.tie(members[pick], members[x])
+        idle += not left[ball].sum() > 1
+        left[ball] = left[pick] = False
     if len({forest.root(m) for m in members}) < 2:
         return
     distance = np.stack(apart)
-    window = 2 * (1 - PER / OUT_OF) + 1e-9
-    visits = distance <= distance.min(axis=0) + window
-    for cell in visits:
-        inside = [members[i] for i in np.flatnonzero(cell)]
-        if len(inside) > 0.8 * len(members):
-            _by_index(sets, inside, forest)
-        else:
-            metric_join(sets, inside, forest)
+    cells = distance <= distance.min(axis=0) + 2 * (1 - PER / OUT_OF) + 1e-9
+    if cells.sum(axis=1).max() > 0.8 * len(members):
+        _by_bounds(sets, members, forest)
+        return
+    for cell in cells:
+        metric_join(sets, [members[i] for i in np.flatnonzero(cell)], forest)
 
 
 def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -318,11 +426,11 @@ def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[tied], "b": ids[roots[tied]]}, dtype="int64")
 
 
-def _loaded(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """blocks (rep, n, s1, block) with the shingle sets of their documents; a bounded filter spares the others."""
+def _loaded(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """places (rep, s1, block, tile) with the shingle sets of their documents; a bounded filter spares the others."""
     spark = docs.sparkSession
     cell = F.shiftrightunsigned(F.xxhash64("rep"), 64 - BLOCK_BITS)
-    marks = _bitmap(blocks.select(cell.cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy(dtype=np.int64), BLOCK_BITS)
+    marks = _bitmap(places.select(cell.cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy(dtype=np.int64), BLOCK_BITS)
     wanted = spark.sparkContext.broadcast(marks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +442,8 @@ def _loaded(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOCK_BITS).alias("cell"))
     found = rows.mapInArrow(work, "doc_id long, s1 long, shingles binary")
-    keys = blocks.select("block", "n", F.col("rep"), F.col("s1").alias("_s1"), *[c for c in ("size",) if c in blocks.columns])
-    return found.join(keys, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).drop("rep", "_s1", "s1")
+    keys = places.select("block", "tile", "rep", F.col("s1").alias("_s1"))
+    return found.join(keys, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).select("block", "tile", "doc_id", "shingles")
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
@@ -349,13 +457,13 @@ def _tiles(rows: DataFrame) -> DataFrame:
     after = totals.select("block", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
     before = totals.select("block", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
     laid = classed.join(totals, ["block", "step"]).join(after, ["block", "step"], "left").join(before, ["block", "step"], "left")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    laid = laid.withColumn("part", part)
+    laid = laid.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     seq = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(seq(F.col("parts")), lambda j: F.struct(F.col("step").alias("low"), F.least("part", j).alias("i"), F.col("step").alias("high"), F.greatest("part", j).alias("j")))
-    up = F.transform(seq(F.col("above")), lambda j: F.struct(F.col("step").alias("low"), F.col("part").alias("i"), (F.col("step") + 1).alias("high"), j.alias("j")))
-    down = F.transform(seq(F.col("below")), lambda j: F.struct((F.col("step") - 1).alias("low"), j.alias("i"), F.col("step").alias("high"), F.col("part").alias("j")))
-    return laid.select("block", "doc_id", "shingles", F.explode(F.concat(own, up, down)).alias("tile"))
+    name = lambda low, i, high, j: F.concat_ws("/", low, i, high, j)
+    own = F.transform(seq(F.col("parts")), lambda j: name(F.col("step"), F.least("part", j), F.col("step"), F.greatest("part", j)))
+    up = F.transform(seq(F.col("above")), lambda j: name(F.col("step"), F.col("part"), F.col("step") + 1, j))
+    down = F.transform(seq(F.col("below")), lambda j: name(F.col("step") - 1, j, F.col("step"), F.col("part")))
+    return laid.select("rep", "s1", "block", F.explode(F.concat(own, up, down)).alias("tile"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,27 +478,30 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long"), "jaccard-survey")
-    facts = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s1"), F.col("c").alias("s2"), "n")
+    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long, bits binary"), "jaccard-survey")
+    facts = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s1"), F.col("c").alias("s2"), "n", "bits")
     one = facts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("f")).select("doc_id", "f.*")
     classes = one.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = written(one.where("n > 0").join(classes, ["n", "s1", "s2"]).select("doc_id", "rep", "n", "s1"), "jaccard-members")
 
     common = spark.sparkContext.broadcast(_bitmap(common_cells(survey.where("kind = 1")), CELL_BITS))
     regions = rows.mapInArrow(lambda batches: _regions(common.value)(batches), _REGION)
-    edges = regions.repartition("a").mapInArrow(_meet, "a long, b long").distinct()
+    met = regions.repartition("a").mapInArrow(_meet, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    # what is known of a document by the class that holds it; both ends of an edge go to their classes
     rep = members.select(F.col("doc_id").alias("id"), "rep")
-    by_class = edges.join(rep, F.col("a") == F.col("id")).select(F.col("rep").alias("a"), "b").join(rep, F.col("b") == F.col("id")).select("a", F.col("rep").alias("b"))
-    blocks = components(by_class, "jaccard-blocks").select(F.col("id").alias("rep"), F.col("root").alias("block"))
+    ends = met.join(rep, F.col("a") == F.col("id")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("id")).select("a", F.col("rep").alias("b"), "sure")
+    edges = written(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "jaccard-edges")
     sizes = members.where("doc_id = rep").select("rep", "n", "s1")
+    known = facts.select("doc_id", "s1", "bits").join(sizes, (F.col("doc_id") == F.col("rep")) & (facts["s1"] == sizes["s1"])).groupBy("rep").agg(F.min(F.struct("n", "bits")).alias("k"))
+    side = lambda x: known.select(F.col("rep").alias(x), F.col("k.n").alias(f"n_{x}"), F.col("k.bits").alias(f"bits_{x}"))
+    possible = edges.where("NOT sure").join(side("a"), "a").join(side("b"), "b").mapInArrow(_look, "a long, b long")
+    blocks = components(edges.where("sure").select("a", "b").unionByName(possible), "jaccard-blocks").select(F.col("id").alias("rep"), F.col("root").alias("block"))
     blocks = blocks.join(sizes, "rep")
     weight = blocks.groupBy("block").agg(F.sum("n").alias("size"))
     blocks = written(blocks.join(weight, "block"), "jaccard-loads")
-
-    sets = written(_loaded(rows, blocks), "jaccard-sets")
-    small = sets.where(F.col("size") <= BLOCK_SHINGLES).select("block", "doc_id", "shingles").groupBy("block").applyInPandas(_join_block, "a long, b long")
-    tiles = _tiles(sets.where(F.col("size") > BLOCK_SHINGLES)).groupBy("block", "tile").applyInPandas(_join_block, "a long, b long")
-    links = written(small.unionByName(tiles), "jaccard-links")
+    small = blocks.where(F.col("size") <= BLOCK_SHINGLES).select("rep", "s1", "block", F.lit("").alias("tile"))
+    places = written(small.unionByName(_tiles(blocks.where(F.col("size") > BLOCK_SHINGLES))), "jaccard-places")
+    links = written(_loaded(rows, places).groupBy("block", "tile").applyInPandas(_join_block, "a long, b long"), "jaccard-links")
     roots = components(links, "jaccard-roots").select(F.col("id").alias("rep"), "root")
     found = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     out = facts.join(found, "doc_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import entities, lint, manifest, search, summaries, tfidf
 from scriptorium.operators.analysis import RuleAnalyzer, entities_in_chunks, keep_tokens
+from scriptorium.plans import queries
 
 TEXTS = ["alpha beta gamma", "beta gamma delta", "gamma delta epsilon", "alpha epsilon zeta zeta", ""]
 WORDS = RuleAnalyzer()
@@ -142,6 +143,14 @@ def test_abort(spark):
     assert at(True, True, False, True, False) == [4] and at(True, True, True, True) == [] and at(True, True, False, False, False, True) == []
 
 
+def test_abort_over_all_attempts(spark, tmp_path, monkeypatch):
+    """The abort point may come after any id, and the counts run over buckets."""
+    rows = [(i, 4 + (i >= 1100)) for i in range(2300)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(manifest, "ABORT_BUCKET", 7)
+    assert [tuple(r) for r in queries.systemic_abort(spark, str(tmp_path)).select("n", "attempted", "failures").collect()] == [(2200, 2201, 1101)]
+
+
 class Scripted:
     model_id = "scripted"
 

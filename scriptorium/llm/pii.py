@@ -8,7 +8,10 @@ mentions of an entity in the corpus, however they are written, get one surrogate
 
 Collision checks run over the dictionary of distinct entities: a surrogate that two entities
 share, or that is itself an entity of the corpus, is drawn anew for all but the first, until
-there is none. Only entities that were redrawn are kept as a table (few: a first draw that
+there is none. What is drawn from grows with the attempt, so that there always is one left:
+family names get syllables, and after SAME attempts in their own form numbers get digits,
+addresses letters or octets (secrets and IBANs have 10**14 surrogates a form at least and
+keep it). Only entities that were redrawn are kept as a table (few: a first draw that
 collides is rare), and only documents that mention one of them meet it in a join.
 """
 
@@ -29,6 +32,10 @@ MALE_TITLES, FEMALE_TITLES = ["Mr", "Herr", "Señor", "Monsieur", "господ
 _HEADS = {"latin": ["Ash", "Bel", "Car", "Dun", "Ell", "Far", "Gar", "Hal", "Kel", "Lan", "Mar", "Nor", "Pres", "Rad", "Sel", "Wind"], "cyrillic": ["Бел", "Вол", "Гор", "Дор", "Кар", "Лав", "Мор", "Нов"]}
 _TAILS = {"latin": ["berg", "bury", "combe", "dale", "field", "ford", "gate", "ham", "hurst", "ley", "man", "mont", "more", "stone", "ton", "well"], "cyrillic": ["ин", "ов", "енко", "ский", "ев", "ко", "ук", "ян"]}
 
+_MIDDLES = {"latin": ["an", "el", "or", "in", "ar", "en", "il", "on", "as", "er", "ul", "am", "os", "et", "iv", "ad"], "cyrillic": ["ан", "ел", "ор", "ин", "ар", "ен", "ол", "ам"]}
+#: Attempts in an entity's own form before it grows, and rounds of redrawing: after so many, forms have 10**60 surrogates more.
+SAME, ROUNDS = 3, 64
+
 #: What an entity of each kind looks like. Kinds are tried in this order.
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES])
 _GIVEN = "|".join(n for g in (MALE, FEMALE) for names in g.values() for n in names)
@@ -100,6 +107,12 @@ def _pick(stream: Column, at: int, words: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), _draw(stream, F.lit(at), len(words)) + 1)
 
 
+def _more(stream: Column, n: Column, below: int, part) -> Column:
+    """n parts in a row, part(number under `below`) each; none for n under 1."""
+    one = lambda i: part(_draw(stream, i + 2, below))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise("")
+
+
 def _same_shape(text: Column, stream: Column, hexadecimal: bool = False) -> Column:
     """Digits for digits, small and capital letters for their like; all else stays."""
     letters, low, high = ("abcdef", 6, "ABCDEF") if hexadecimal else ("abcdefghijklmnopqrstuvwxyz", 26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -129,26 +142,28 @@ def surrogate(kind: Column, normal: Column, key: str, attempt: Column) -> Column
     seed = F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"))
     # the domain of an address goes by itself, so that one domain stays one domain
     host = F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.split_part(normal, F.lit("@"), F.lit(2)))
-    return _bound(_stream(seed), lambda stream: F.when(kind == "email", _bound(_stream(host), lambda h: _email(normal, stream, h))).otherwise(_other(kind, normal, stream)))
+    return _bound(_stream(seed), lambda stream: F.when(kind == "email", _bound(_stream(host), lambda h: _email(normal, stream, h, attempt))).otherwise(_other(kind, normal, stream, attempt)))
 
 
-def _email(normal: Column, stream: Column, host: Column) -> Column:
+def _email(normal: Column, stream: Column, host: Column, attempt: Column) -> Column:
     local, domain = F.split_part(normal, F.lit("@"), F.lit(1)), F.split_part(normal, F.lit("@"), F.lit(2))
-    return F.concat(_same_shape(local, stream), F.lit("@"), _same_shape(F.split_part(domain, F.lit("."), F.lit(1)), host), F.lit(".example.org"))
+    return F.concat(_same_shape(local, stream), _more(stream, attempt - SAME, 26, lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), x + 1, F.lit(1))), F.lit("@"), _same_shape(F.split_part(domain, F.lit("."), F.lit(1)), host), F.lit(".example.org"))
 
 
-def _other(kind: Column, normal: Column, stream: Column) -> Column:
+def _other(kind: Column, normal: Column, stream: Column, attempt: Column) -> Column:
     shaped = _same_shape(normal, stream)
-    body = F.concat(F.substring(normal, 1, 1), F.substring(shaped, F.lit(2), F.length(normal) - 2))
+    more = _more(stream, attempt - SAME, 10, lambda x: x.cast("string"))
+    body = F.concat(F.substring(normal, 1, 1), F.substring(shaped, F.lit(2), F.length(normal) - 2), more)
     true_body = F.substring(normal, F.lit(1), F.length(normal) - 1)
     valid = _check_digit(true_body) == F.substring(normal, -1, 1).cast("int")
     # a card keeps its first digit (its issuer's sort), and a valid check digit stays valid
     card = F.concat(body, F.when(valid, _check_digit(body).cast("string")).otherwise(F.substring(shaped, -1, 1)))
     # a telephone number keeps the first digit of its country code
-    phone = F.when(normal.startswith("+"), F.concat(F.substring(normal, 1, 2), F.substring(shaped, F.lit(3), F.length(normal)))).otherwise(shaped)
+    phone = F.when(normal.startswith("+"), F.concat(F.substring(normal, 1, 2), F.substring(shaped, F.lit(3), F.length(normal)), more)).otherwise(F.concat(shaped, more))
     octet = lambda i: _draw(stream, F.lit(i), 256).cast("string")
     private = normal.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
     ip = F.concat_ws(".", F.when(private, F.lit("10")).otherwise((_draw(stream, F.lit(0), 15) + 240).cast("string")), octet(1), octet(2), octet(3))
+    ip = F.concat(ip, _more(stream, attempt - SAME, 256, lambda x: F.concat(F.lit("."), x.cast("string"))))
     hexes = normal.rlike("^[0-9a-fA-F]+$")
     prefix = F.regexp_extract(normal, "^(?:AKIA|sk-|ghp_)?", 0)
     secret = F.when(hexes, _same_shape(normal, stream, hexadecimal=True)).otherwise(F.concat(prefix, _same_shape(F.substring(normal, F.length(prefix) + 1, F.length(normal)), stream)))
@@ -158,12 +173,12 @@ def _other(kind: Column, normal: Column, stream: Column) -> Column:
 
     def person(script: str) -> Column:
         given = F.when(gender == "m", _pick(stream, 0, MALE[script])).when(gender == "f", _pick(stream, 0, FEMALE[script])).otherwise(_pick(stream, 0, MALE[script] + FEMALE[script]))
-        family = F.concat(_pick(stream, 1, _HEADS[script]), _pick(stream, 2, _TAILS[script]))
+        family = F.concat(_pick(stream, 1, _HEADS[script]), _more(stream, attempt, len(_MIDDLES[script]), lambda x: F.element_at(F.array(*map(F.lit, _MIDDLES[script])), x + 1)), _pick(stream, 2, _TAILS[script]))
         return F.concat(gender, F.lit(":"), F.when(whole, F.concat(given, F.lit(" "), family)).otherwise(family))
 
     return (
         F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "iban", iban)
-        .when(kind == "person", F.when(cyrillic, person("cyrillic")).otherwise(person("latin"))).otherwise(shaped)
+        .when(kind == "person", F.when(cyrillic, person("cyrillic")).otherwise(person("latin"))).when(kind == "ssn", F.concat(shaped, more)).otherwise(shaped)
     )
 
 
@@ -172,9 +187,11 @@ def _written_like(kind: Column, mention: Column, replacement: Column) -> Column:
     digits = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9]", ""))
     solid = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
     refill = lambda keep, count, source: F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike(keep), F.substring(source, count(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))), "")
+    plain = F.replace(replacement, F.lit("+"), F.lit(""))
+    rest = F.substring(plain, digits(F.length(mention)) + 1, F.length(plain))
     title = F.regexp_extract(mention, rf"^(?:(?:{_TITLES})\.? )?", 0)
     return (
-        F.when(kind.isin(*DIGIT_KINDS), refill("[0-9]", digits, F.replace(replacement, F.lit("+"), F.lit(""))))
+        F.when(kind.isin(*DIGIT_KINDS), F.concat(refill("[0-9]", digits, plain), rest))
         .when(kind == "iban", refill("[^ ]", solid, replacement))
         .when((kind == "email") & (mention == F.upper(mention)), F.upper(replacement))
         .when(kind == "person", F.concat(title, F.split_part(replacement, F.lit(":"), F.lit(2))))
@@ -200,13 +217,14 @@ def redrawn(known: DataFrame, key: str) -> DataFrame:
     draw = lambda df: df.withColumn("sur", surrogate(F.col("kind"), F.col("normal"), key, F.col("attempt")))
     now = written(draw(known.select("kind", "normal").distinct().withColumn("attempt", F.lit(0))), "pii-surrogates")
     real = now.select(F.col("kind").alias("_k"), F.col("normal").alias("_n"), F.lit(True).alias("_real"))
-    while True:
+    for _ in range(ROUNDS):
         first = W.partitionBy("kind", "sur").orderBy("attempt", "normal")
         judged = now.join(real, (F.col("kind") == F.col("_k")) & (F.col("sur") == F.col("_n")), "left").withColumn("_at", F.row_number().over(first))
         clash = F.col("_real").isNotNull() | (F.col("_at") > 1)
         if judged.where(clash).limit(1).count() == 0:
             return now.where("attempt > 0").select("kind", "normal", "attempt")
         now = written(draw(judged.withColumn("attempt", F.col("attempt") + F.when(clash, 1).otherwise(0)).select("kind", "normal", "attempt")), "pii-surrogates")
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def replace_pii(docs: DataFrame, *, key: str = KEY) -> DataFrame:

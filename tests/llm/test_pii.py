@@ -48,6 +48,20 @@ def test_collisions_are_drawn_anew(spark):
     assert first.distinct().count() < len(names)  # the first draws alone do collide
 
 
+def test_more_entities_than_surrogates_of_a_form(spark):
+    """Forms with few surrogates grow: 300 titled names (256 in the word lists), all 100 numbers like +1 2 3, addresses without a letter to change."""
+    people = [f"Mr {h}{t}" for h in ("Abel", "Bor", "Cas", "Dov", "Eck", "Fin", "Gor", "Hol", "Ing", "Jan", "Kos", "Lov", "Mor", "Nic", "Old", "Pet", "Qua", "Ros", "Sal", "Tov") for t in ("ac", "ec", "ic", "oc", "uc", "ad", "ed", "id", "od", "ud", "af", "ef", "if", "of", "uf")]
+    slavs = [f"господин {h}{t}" for h in ("Аб", "Бо", "Ва", "Ге", "До", "Ер", "Жу", "Зо", "Ив", "Ка") for t in ("лин", "рин", "мин", "дин", "бин", "вин", "гин", "пин")]
+    phones = [f"+1 {i} {j}" for i in range(10) for j in range(10)]
+    mails = [f"_@{c}.{t}" for c in "abcdefghijklm" for t in ("com", "org", "net")]
+    texts = people + slavs + phones + mails
+    out = replace(spark, texts)
+    new = [out[i][0] for i in range(len(texts))]
+    assert all(out[i][1] == 1 for i in range(len(texts)))
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert all(re.match(r"Mr [A-Z][a-z]+$", x) for x in new[: len(people)]) and all(re.match(r"\+1 \d \d+$", x) for x in new if x.startswith("+"))
+
+
 def test_key_decides(spark):
     text = ["write to ann@corp.example.com"]
     assert replace(spark, text) == replace(spark, text) != replace(spark, text, key="other")

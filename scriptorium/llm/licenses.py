@@ -5,6 +5,12 @@ its lines, the sentences of lines, its paragraphs (a text without blank lines is
 passage of w words has w - 1 bigrams, repeats counted; it can reach a Dice coefficient of t
 with a template of n bigrams only if it has between n * t / (2 - t) and n * (2 - t) / t of
 them; passages and templates outside these bounds are never compared.
+
+Where no passage reaches the threshold for a license, windows of words do: all runs of the
+whole text's bigrams, of any size inside the bounds, that hold the bigrams of TELLING for
+that template (a run cut out of another license's notice lacks them). A best run begins and
+ends with a bigram of the template, so only such are looked at, and only in texts with one of
+a few words that every run over the threshold must hold.
 """
 
 from __future__ import annotations
@@ -31,14 +37,31 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+#: Standard file headers and first lines of full texts. They are long and alike, so they need their telling bigrams in passages as well.
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+HEADERS = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "GPL-3.0": [_GNU.format("program", "GNU General Public License", 3), "GNU General Public License Version 3, 29 June 2007"],
+    "GPL-2.0": [_GNU.format("program", "GNU General Public License", 2), "GNU General Public License Version 2, June 1991"],
+    "LGPL-3.0": [_GNU.format("library", "GNU Lesser General Public License", 3), "GNU Lesser General Public License Version 3, 29 June 2007"],
+    "AGPL-3.0": [_GNU.format("program", "GNU Affero General Public License", 3), "GNU Affero General Public License Version 3, 19 November 2007"],
+    "MIT": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+}
+#: Bigrams that tell a license from others; asked for where the template has them.
+TELLING = {
+    "Apache-2.0": ["apache license", "version 2"], "MIT": ["mit license"], "GPL-3.0": ["gnu general", "version 3"], "GPL-2.0": ["gnu general", "version 2"], "LGPL-3.0": ["gnu lesser", "version 3"], "AGPL-3.0": ["gnu affero", "version 3"],
+    "CC-BY-NC-4.0": ["by nc", "nc 4"], "CC-BY-4.0": ["commons attribution", "attribution 4"], "CC-BY-SA-4.0": ["attribution sharealike", "sharealike 4"], "MPL-2.0": ["mozilla public", "v 2", "version 2"],
+}
+
 
 def bigrams(text: str) -> list[str]:
-    """Word bigrams of a normalised template, which must be distinct."""
+    """Word bigrams of a normalised template, once each."""
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     found = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    if not found or len(set(found)) < len(found):
-        raise ValueError("a template needs two words and no bigram twice")
-    return found
+    if not found:
+        raise ValueError("a template needs two words")
+    return list(dict.fromkeys(found))
 
 
 def bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -50,6 +73,38 @@ def bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     return least, most
 
 
+def _words_of_all(known: list[tuple[str, list[str]]], least: list[int]) -> list[str]:
+    """A few words of which every run over the threshold holds one: without them each template keeps fewer bigrams than a run needs."""
+    chosen: list[str] = []
+    while lacking := [b for (_, b), k in zip(known, least, strict=True) if sum(not set(g.split()) & set(chosen) for g in b) >= k]:
+        count = lambda w: (sum(any(w in g.split() for g in b) for b in lacking), len(w), w)
+        chosen.append(max(sorted({w for b in lacking for g in b for w in g.split()}), key=lambda w: (len(w) > 4, *count(w))))
+    return chosen
+
+
+def _runs(hits: Column, t: list[str], need: int, high: int, telling: list[str], n: int) -> Column:
+    """Best coefficient of a run with one template; null without one. hits: (i, g), places and bigrams, in order."""
+    own = F.filter(hits, lambda h: h["g"].isin(t))
+
+    def inside(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(own) - (need - 1)), lambda k: F.element_at(own, (k + need - 1).cast("int"))["i"] - F.element_at(own, k.cast("int"))["i"] < high)
+
+        def of(k: Column) -> Column:
+            near = F.filter(F.slice(own, k, F.lit(high)), lambda h: h["i"] - F.element_at(own, k.cast("int"))["i"] < high)
+
+            def run(size: Column, part: Column) -> Column:
+                grams = F.array_distinct(F.transform(part, lambda h: h["g"]))
+                whole = F.size(F.array_intersect(grams, F.array(*map(F.lit, telling)))) == len(telling) if telling else F.lit(True)
+                return F.when(whole, F.size(grams) * 2.0 / (size + n))
+
+            ends = lambda near: F.transform(F.sequence(F.lit(need), F.size(near)), lambda j: run(F.element_at(near, j)["i"] - F.element_at(near, F.lit(1))["i"] + 1, F.slice(near, F.lit(1), j)))
+            return F.array_max(F.flatten(F.transform(F.array(near), ends)))
+
+        return F.array_max(F.transform(starts, of))
+
+    return F.transform(F.array(own), lambda own: F.when(F.size(own) >= need, inside(own)))[0]
+
+
 def _normal(passage: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", " "))
 
@@ -59,10 +114,14 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, thre
 
     A null, empty or one-word text has none; a license is listed once with its highest
     coefficient, however often its notice is repeated; rows and columns of docs are kept as
-    they are (an old `licenses` column is replaced). No shuffle, and no Python in the plan.
+    they are (an old `licenses` column is replaced). The coefficient is that of the best passage
+where one reaches the threshold, else that of the best window. Own `templates` come without
+headers, and their names' telling bigrams are asked for as well. No shuffle, and no Python in the plan.
     """
     known = [(name, bigrams(t)) for name, texts in (templates or TEMPLATES).items() for t in texts]
     limits = [bounds(len(b), threshold) for _, b in known]
+    headers = [] if templates else [(name, bigrams(t)) for name, texts in HEADERS.items() for t in texts]
+    sliding = [(name, b, *bounds(len(b), threshold)) for name, b in known + headers]
     fewest, most = min(a for a, _ in limits), max(b for _, b in limits)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, r"\n")
@@ -81,7 +140,21 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, thre
     def best(name: str) -> Column:
         return F.greatest(*[dice(t, low, high) for (n, t), (low, high) in zip(known, limits, strict=True) if n == name], F.lit(0.0))
 
-    found = F.array(*[F.struct(F.lit(name).alias("name"), best(name).alias("dice")) for name in sorted(dict.fromkeys(n for n, _ in known))])
-    out = docs.withColumn("_grams", grams).withColumn("licenses", F.filter(found, lambda m: m["dice"] >= threshold))
-    return out.drop("_grams")
+    def window(name: str) -> Column:
+        return F.greatest(*[_runs(F.col("_hits"), t, low, high, [g for g in TELLING.get(name, []) if g in t], len(t)) for n, t, low, high in sliding if n == name], F.lit(0.0))
+
+    gate = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_words_of_all([(n, t) for n, t, _, _ in sliding], [low for _, _, low, _ in sliding]))})(?![\p{{L}}\p{{N}}])"
+    all_grams = sorted({g for _, t, _, _ in sliding for g in t})
+    # words of one run are joined in pairs and looked up at once; their places are those in the whole text
+    pairs_of = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    placed = lambda g: F.filter(F.transform(g, lambda x, i: F.struct(i.alias("i"), x.alias("g"))), lambda h: h["g"].isin(all_grams))
+    hits = F.when(text.rlike(gate), F.transform(F.array(F.split(_normal(text), " ")), lambda w: placed(pairs_of(w)))[0])
+
+    names = sorted(dict.fromkeys(n for n, *_ in sliding))
+    passage = F.array(*[F.struct(F.lit(name).alias("name"), best(name).alias("dice")) for name in names])
+    windows = F.array(*[F.struct(F.lit(name).alias("name"), window(name).alias("dice")) for name in names])
+    either = lambda a, b: F.when(a["dice"] >= threshold, a).otherwise(b)
+    told = F.when(F.size("_hits") > 1, F.zip_with(passage, windows, either)).otherwise(passage)
+    out = docs.withColumn("_grams", grams).withColumn("_hits", hits).withColumn("licenses", F.filter(told, lambda m: m["dice"] >= threshold))
+    return out.drop("_grams", "_hits")
 

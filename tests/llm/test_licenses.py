@@ -43,6 +43,22 @@ def test_against_brute_force(spark):
     assert rows[0] and rows[1] and rows[4]
 
 
+LONG = [
+    (["GPL-3.0"], "Preface.\nSome words first. This work is licensed under the\nGNU General Public License, version 3. It goes on for a while, with many more words in the paragraph.\nLast line of it."),
+    (["Apache-2.0"], "As all of our other tools this one, too, is licensed under the Apache License, Version 2.0, and we hope that you like it a lot."),
+    (["MIT"], "Copyright (c) 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."),
+    (["GPL-3.0"], "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n# It is distributed in the hope that it will be useful."),
+    (["GPL-2.0"], "We say again that this program is licensed under the GNU General Public License, version 2, as it always was in years before."),
+    (["LGPL-3.0"], "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy."),
+    ([], "This license of the software is under the copyright of the author of the work, and the general public may use this program as it is in any version."),
+]
+
+
+def test_notices_inside_longer_text(spark):
+    rows = {r["doc_id"]: [m["name"] for m in r["licenses"]] for r in licenses.scan(documents(spark, [(i, t, "s") for i, (_, t) in enumerate(LONG)])).collect()}
+    assert [rows[i] for i in range(len(LONG))] == [names for names, _ in LONG]
+
+
 def test_odd_rows_and_columns(spark):
     docs = odd_documents(spark)
     out = licenses.scan(docs)

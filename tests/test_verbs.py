@@ -81,14 +81,3 @@ def test_swap_restores(tmp_path):
     with pytest.raises(OSError):
         artifacts.swap(str(tmp_path / "missing"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "old").exists()
-
-
-def test_entry_without_the_corpus_operators(monkeypatch):
-    import importlib.util
-
-    import __spark_entry__ as entry
-
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None if name in ("scriptorium.llm", "corpus_pipeline") else found(name))
-    names = set(entry.queries())
-    assert names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(entry.oracle_sql()) <= names

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,23 +19,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a local session, where all run on one machine, a new one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Tables that this process wrote and has not removed yet.
+_made: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: df written as Parquet to the shared folder and read back.
 
     Survives the loss of any executor, and gives later plans true file sizes to plan with.
+    Results are lazy and may read the table for as long as the session lasts, so it goes when
+    the driver's process ends, or earlier by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    for entry in [x for x in _made if x[1] == path]:
+        _remove(*entry)
+        _made.remove(entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _clean() -> None:
+    for entry in _made:
+        try:
+            _remove(*entry)
+        except Exception:  # noqa: BLE001  the session may have ended before the process does
+            break
+    _made.clear()
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front where df has such a column (in any case) already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parallelism(spark: SparkSession) -> int:

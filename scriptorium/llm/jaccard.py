@@ -12,12 +12,18 @@ where its sizes leave a gap that no linked pair can bridge, and is reduced to a
 its least document where it is found, before anything is shuffled. Regions that touch form
 a block, which holds every link of its documents.
 
-Blocks. Inside a block documents are near each other, and distances tell: pivots are taken,
-each document goes to the Voronoi cell of its nearest pivot, and by the triangle inequality
-visits each further cell whose pivot is at most 2 * 0.2 farther away. Documents within 0.2 of
-a pivot are linked with it at once; cells are joined recursively until they are one
-component, small, or no longer shrink (then pair by pair, behind a bound on the overlap). A block of more shingles
-than one task should hold is first dealt into tiles by size, each pair of tiles a task.
+Blocks. Inside a block, of any size, documents are near each other, and distances tell: pivots
+are taken, and documents within 0.2 of a pivot are linked with it at once. If the block is
+not one component then, each document goes to the Voronoi cell of its nearest pivot, and by
+the triangle inequality visits each further cell whose pivot is at most 2 * 0.2 farther away;
+pivots, whose links are all known, stay behind. Cells are joined recursively until they are
+one component or no longer shrink. In such a last cell two documents are compared only where
+no pivot tells them apart (their distances to it differ by 0.2 at most) and a bound on their
+overlap leaves a link possible. A block of more shingles than one task should hold is cut in
+the same way by rounds of tasks: each measures a part of it against the block's pivots and
+deals it into cells, which are the blocks of the next round. Only a cell that pivots do not
+part goes into tiles, and pairs of tiles whose documents are all known as connected are left
+out.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import written
+from .common import discard, written
 from .components import components
 from .shingles import column_bytes, mix64, shingle_set
 
@@ -46,8 +54,12 @@ FEW = 4
 BLOCK_BITS = 24
 #: Words of 64 bits that mark a cell's most common shingles.
 MARKS = 4
-#: Shingles of a block that one task joins; members of a cell that are compared directly; pivots at a time.
-BLOCK_SHINGLES, LEAF, PIVOTS = 4_000_000, 24, 6
+#: Shingles of a block that one task joins; pivots at a time; rounds in which large blocks are cut.
+BLOCK_SHINGLES, PIVOTS, ROUNDS = 4_000_000, 6, 8
+#: Largest distance of linked documents.
+NEAR = 1 - PER / OUT_OF
+#: A cell with a larger share of its block's members counts as not parted.
+SHRUNK = 0.8
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -73,6 +85,11 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
 
 
+def _class_key(n: int, s1: int, s2: int) -> int:
+    """A set's name in the region pass, the same for all copies. Two sets that share a name only add candidates."""
+    return int(mix64(np.array([s1], np.int64).view(np.uint64) ^ mix64(np.array([s2], np.int64).view(np.uint64) ^ np.uint64(n))).view(np.int64)[0])
+
+
 def _parity(s: np.ndarray) -> bytes:
     """Parities of the counts of shingles in cells, at least two cells a shingle: two sets differ in as many shingles at least as parities."""
     bits = max(6, int(2 * len(s) - 1).bit_length())
@@ -106,14 +123,14 @@ def _repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, signature, n) of every row; kind 1: (cell, count) of shingles repeated among different sets."""
-    names = ["kind", "a", "b", "c", "n", "bits"]
+    """kind 0: (doc_id, signature, n, class key) of every row; kind 1: (cell, count) of shingles repeated among different sets."""
+    names = ["kind", "a", "b", "c", "n", "k", "bits"]
     held, size, seen = [], 0, set()
 
     def common():
         cells, counts = _repeated(held)
         zero = np.zeros(len(cells), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(cells), pa.array(counts), pa.array(zero), pa.array(zero), pa.nulls(len(cells), pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(cells), pa.array(counts), pa.array(zero), pa.array(zero), pa.array(zero), pa.nulls(len(cells), pa.binary())], names=names)
 
     for batch in batches:
         rows, bits = [], []
@@ -129,23 +146,28 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield common()
                     held, size, seen = [], 0, set()
         n, s1, s2 = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column("doc_id").cast(pa.int64()), pa.array(s1), pa.array(s2), pa.array(n), pa.array(bits, pa.binary())], names=names)
+        k = np.array([_class_key(*row) for row in rows], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), batch.column("doc_id").cast(pa.int64()), pa.array(s1), pa.array(s2), pa.array(n), pa.array(k), pa.array(bits, pa.binary())], names=names)
     if held:
         yield common()
 
 
-def _bitmap(cells: np.ndarray, bits: int) -> np.ndarray:
-    mark = np.zeros(1 << bits, bool)
-    mark[cells] = True
-    return np.packbits(mark)
-
-
 def _test(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
+def _marks(cells: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of some cells (of 2^bits), put together on executors: a long of 64 marks each."""
+    words = cells.select(F.expr("shiftrightunsigned(cell, 6)").alias("word"), F.expr("shiftleft(1L, cast(cell & 63 AS int))").alias("mark"))
+    found = words.groupBy("word").agg(F.bit_or("mark").alias("mark")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("mark").to_numpy()
+    # the k-th cell of a long is its k-th lowest bit; `_test` wants a byte's first cell in its highest
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little"))
+
+
 def common_cells(counts: DataFrame) -> np.ndarray:
-    """The cells of the most common shingles: at most MOST_COMMON, and none with a count under LEAST_COMMON.
+    """The bitmap of the cells of the most common shingles: at most MOST_COMMON, and none with a count under LEAST_COMMON.
 
     Any choice keeps the join exact: it only settles the order of shingles.
     """
@@ -157,7 +179,9 @@ def common_cells(counts: DataFrame) -> np.ndarray:
         if total + n > MOST_COMMON:
             break
         least, total = step, total + n
-    return cells.where(steps >= least).select("cell").toPandas()["cell"].to_numpy(dtype=np.int64)
+    marks = _marks(cells.where(steps >= least), CELL_BITS)
+    discard(cells)
+    return marks
 
 
 # --- pass 2: regions
@@ -226,7 +250,7 @@ def _rows(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 
 def _regions(common: np.ndarray):
-    """Members of regions (a: region, b: document, low: size, high: the shingle before, or a star's largest size), and edges a - b found in the task."""
+    """Members of regions (a: region, b: class, low: size, high: the shingle before, or a star's largest size), and edges a - b found in the task."""
     names = ["kind", "a", "b", "low", "high"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +264,14 @@ def _regions(common: np.ndarray):
             yield _rows(left[4], *left[:4], names=names)
 
         for batch in batches:
-            for doc, s in zip(batch.column("doc_id").to_pylist(), _sets(batch), strict=True):
-                if doc is None or not len(s):
+            for s in _sets(batch):
+                if not len(s):
                     continue
                 sign = (len(s), *_signature(s))
-                if sign in seen:  # copies are held by their class
+                if sign in seen:  # copies have one class
                     continue
                 seen.add(sign)
+                doc = _class_key(*sign)
                 p = _prefix(s, common).view(np.int64)
                 held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int64), np.concatenate((p[:1], p[:-1]))))
                 size += len(p)
@@ -298,6 +323,8 @@ class Forest:
 
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
+        #: Links that were measured, by what told them: a pivot's ball, or the bound in a last cell.
+        self.told = {"ball": 0, "bound": 0}
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -326,15 +353,16 @@ def _near(common: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return (common > 0) & (OUT_OF * common >= PER * (n + size - common))
 
 
-def _by_bounds(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
-    """Exact join of a cell that pivots do not part.
+def _by_bounds(sets: list[np.ndarray], members: list[int], forest: Forest, distance: np.ndarray) -> None:
+    """Exact join of a cell that pivots do not part. distance: of the pivots (rows) to the members.
 
     Bits mark the cell's most common shingles in each set. Two sets share at most their common
     bits and the smaller number of their other shingles that come twice in the cell at all;
-    pairs whose bound cannot reach the similarity, or that are connected already, are never
-    compared.
+    pairs whose bound cannot reach the similarity, that a pivot tells apart (triangle
+    inequality), or that are connected already, are never compared.
     """
-    members = sorted(members, key=lambda m: len(sets[m]))
+    by_size = sorted(range(len(members)), key=lambda i: len(sets[members[i]]))
+    members, distance = [members[i] for i in by_size], distance[:, by_size]
     n = np.array([len(sets[m]) for m in members])
     of = np.repeat(np.arange(len(members)), n)
     values, code, count = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True, return_counts=True)
@@ -353,11 +381,14 @@ def _by_bounds(sets: list[np.ndarray], members: list[int], forest: Forest) -> No
         js = slice(i + 1, ends[i])
         bound = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(rest[js], rest[i])
         fit = i + 1 + np.flatnonzero(((PER + OUT_OF) * bound >= PER * (n[js] + n[i])) & (part[js] != part[i]))
+        if len(fit):
+            fit = fit[(np.abs(distance[:, fit] - distance[:, i, None]) <= NEAR + 1e-9).all(axis=0)]
         if not len(fit):
             continue
         common = _overlaps(sets[members[i]], sets, [members[j] for j in fit])
         for j in fit[_near(common, n[fit], n[i])]:
             forest.tie(members[i], members[j])
+            forest.told["bound"] += 1
             part[part == part[j]] = part[i]
 
 
@@ -378,20 +409,13 @@ class _Laid:
         return np.add.reduceat(mark[self.code], self.starts)
 
 
-def metric_join(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
-    """Ties all members that are connected by links among them: recursive Voronoi cells of pivots."""
-    if len({forest.root(m) for m in members}) < 2:
-        return
-    if len(members) <= LEAF:
-        for i, x in enumerate(members):
-            rest = [y for y in members[i + 1 :] if forest.root(x) != forest.root(y)]
-            if rest:
-                n = np.array([len(sets[y]) for y in rest])
-                for y in np.array(rest)[_near(_overlaps(sets[x], sets, rest), n, len(sets[x]))].tolist():
-                    forest.tie(x, y)
-        return
+def _pivots(sets: list[np.ndarray], members: list[int], forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """Ties the balls of pivots; (distances of the first PIVOTS pivots to the members, which members were pivots).
+
+    Pivots are taken from members that no ball holds yet, and go on while balls hold others.
+    """
     laid, apart, left, idle = _Laid(sets, members), [], np.ones(len(members), bool), 0
-    # pivots go on while their balls hold others; the first of them make the cells
+    was = np.zeros(len(members), bool)
     while left.any() and idle < PIVOTS:
         open_ = np.flatnonzero(left)
         pick = int(open_[len(open_) // 2])
@@ -402,36 +426,61 @@ def metric_join(sets: list[np.ndarray], members: list[int], forest: Forest) -> N
         ball = np.flatnonzero(_near(common, laid.n, len(s)))
         for x in ball:
             forest.tie(members[pick], members[x])
+        forest.told["ball"] += len(ball) - 1
         idle += not left[ball].sum() > 1
         left[ball] = left[pick] = False
-    if len({forest.root(m) for m in members}) < 2:
-        return
-    distance = np.stack(apart)
-    cells = distance <= distance.min(axis=0) + 2 * (1 - PER / OUT_OF) + 1e-9
-    if cells.sum(axis=1).max() > 0.8 * len(members):
-        _by_bounds(sets, members, forest)
-        return
-    for cell in cells:
-        metric_join(sets, [members[i] for i in np.flatnonzero(cell)], forest)
+        was[pick] = True
+    return np.stack(apart), was
+
+
+def _cells(distance: np.ndarray) -> np.ndarray:
+    """Which cells (rows) each document (columns) visits: its nearest pivot's, and those whose pivots are at most 2 * NEAR farther."""
+    return distance <= distance.min(axis=0) + 2 * NEAR + 1e-9
+
+
+def metric_join(sets: list[np.ndarray], members: list[int], forest: Forest) -> None:
+    """Ties all members that are connected by links among them: Voronoi cells of pivots, one inside the other."""
+    waiting = [members]
+    while waiting:
+        members = waiting.pop()
+        if len({forest.root(m) for m in members}) < 2:
+            continue
+        distance, was = _pivots(sets, members, forest)
+        # a pivot has met all others of its cell
+        rest = np.flatnonzero(~was)
+        members, distance = [members[i] for i in rest], distance[:, rest]
+        if len({forest.root(m) for m in members}) < 2:
+            continue
+        cells = _cells(distance)
+        if cells.sum(axis=1).max() > SHRUNK * len(was):
+            _by_bounds(sets, members, forest, distance)
+        else:
+            waiting += [[members[i] for i in np.flatnonzero(cell)] for cell in cells]
 
 
 def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges (document, least document that it is connected with) inside a block or a pair of tiles."""
+    """Edges (document, least document that it is connected with) inside a block or a pair of tiles.
+
+    Documents with one label of 0 or more are connected through its pivot already.
+    """
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
-    ids, forest = rows["doc_id"].to_numpy(dtype=np.int64), Forest(len(sets))
+    ids, forest, first = rows["doc_id"].to_numpy(dtype=np.int64), Forest(len(sets)), {}
+    for i, label in enumerate(rows["label"].tolist()):
+        if label >= 0:
+            forest.tie(i, first.setdefault(label, i))
     metric_join(sets, list(range(len(sets))), forest)
     roots = np.array([forest.root(i) for i in range(len(sets))], np.int64)
     tied = roots != np.arange(len(roots))
     return pd.DataFrame({"a": ids[tied], "b": ids[roots[tied]]}, dtype="int64")
 
 
-def _loaded(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """places (rep, s1, block, tile) with the shingle sets of their documents; a bounded filter spares the others."""
+def _loaded(docs: DataFrame, places: DataFrame, done: list) -> DataFrame:
+    """(block, doc_id, n, shingles) of the documents in places (rep, s1, block); a bounded filter spares the others. Broadcasts are added to `done`."""
     spark = docs.sparkSession
     cell = F.shiftrightunsigned(F.xxhash64("rep"), 64 - BLOCK_BITS)
-    marks = _bitmap(places.select(cell.cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy(dtype=np.int64), BLOCK_BITS)
-    wanted = spark.sparkContext.broadcast(marks)
+    wanted = spark.sparkContext.broadcast(_marks(places.select(cell.cast("long").alias("cell")), BLOCK_BITS))
+    done.append(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,28 +491,159 @@ def _loaded(docs: DataFrame, places: DataFrame) -> DataFrame:
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOCK_BITS).alias("cell"))
     found = rows.mapInArrow(work, "doc_id long, s1 long, shingles binary")
-    keys = places.select("block", "tile", "rep", F.col("s1").alias("_s1"))
-    return found.join(keys, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).select("block", "tile", "doc_id", "shingles")
+    keys = places.select("block", "rep", F.col("s1").alias("_s1"))
+    met = found.join(keys, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1")))
+    return met.select("block", "doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
+
+
+_CELL = "kind int, label long, other long, block string, doc_id long, n long, shingles binary"
+#: Kinds of rows that leave a round: a document in a cell, an edge, two pivots of a block that are connected.
+_PLACE, _EDGE, _SAME = 0, 1, 2
+
+
+def _measure(rows: pd.DataFrame) -> pd.DataFrame:
+    """A part of a large block against the block's pivots: edges to pivots, the cells of each document, and pivots that share one."""
+    block, pivot = rows["block"].iloc[0], rows["pivot"].to_numpy()
+    pivots = rows[pivot].sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rest = rows[~pivot & ~rows["doc_id"].isin(pivots["doc_id"])].drop_duplicates("doc_id")
+    told = lambda kind, **x: pd.DataFrame({"kind": kind, "label": -1, "other": -1, "block": block, "doc_id": -1, "n": 0, "shingles": None} | x)
+    every = pd.concat([pivots, rest])
+    sets = [np.frombuffer(b, np.uint64) for b in every["shingles"]]
+    laid, ids, names = _Laid(sets, list(range(len(sets)))), every["doc_id"].to_numpy(np.int64), pivots["doc_id"].to_numpy(np.int64)
+    common = np.stack([laid.common(sets[i]) for i in range(len(names))])
+    size = np.array([len(sets[i]) for i in range(len(names))])
+    near = (common > 0) & (OUT_OF * common >= PER * (laid.n[None, :] + size[:, None] - common))
+    label = np.where(near.any(axis=0), names[near.argmax(axis=0)], -1)
+    p, x = np.nonzero(near)
+    out = [told(_EDGE, label=names[p], doc_id=ids[x])]
+    # pivots that one ball holds together: each with the first
+    out.append(told(_SAME, label=label[x], other=names[p]).drop_duplicates())
+    after = np.arange(len(names), len(ids))
+    if len(after):
+        cells = _cells((1.0 - common / (laid.n[None, :] + size[:, None] - common))[:, after])
+        c, y = np.nonzero(cells)
+        y = after[y]
+        data = every["shingles"].to_numpy()
+        out.append(told(_PLACE, label=label[y], block=[f"{block}/{names[i]}" for i in c], doc_id=ids[y], n=laid.n[y], shingles=data[y]))
+    return pd.concat(out, ignore_index=True)
+
+
+def _totals(cells: DataFrame) -> DataFrame:
+    own = F.col("label")
+    return cells.groupBy("block").agg(F.sum("n").alias("size"), F.count("*").alias("members"), F.min(own).alias("low"), F.max(own).alias("high"))
+
+
+def _cut(cells: DataFrame, total: DataFrame, limit: int, done: list) -> tuple[DataFrame, DataFrame]:
+    """One round: (edges, cells of the next round) of large blocks (block, label, doc_id, n, shingles).
+
+    A block is dealt into parts of a quarter of what a task holds; each part gets the block's
+    pivots, the members with the least hash in PIVOTS classes, so that no task sees all of it.
+    """
+    parts = F.ceil(F.col("size") / (limit / 4)).cast("int")
+    deal = cells.groupBy("block", F.pmod(F.xxhash64("doc_id", "block"), F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("block", "doc_id").alias("h"), "doc_id")).alias("p"))
+    chosen = deal.select("block", F.col("p.doc_id").alias("doc_id")).join(cells, ["block", "doc_id"]).join(total.select("block", parts.alias("parts")), "block")
+    pivots = chosen.select("block", "doc_id", "shingles", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = cells.join(total.select("block", parts.alias("parts")), "block").select("block", "doc_id", "shingles", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    found = written(pivots.unionByName(rest).groupBy("block", "part").applyInPandas(_measure, _CELL), "jaccard-round")
+    done.append(found)
+    edges = found.where(f"kind = {_EDGE}").select(F.col("label").alias("a"), F.col("doc_id").alias("b"))
+    # balls that share a document are one: PIVOTS rows a block at most
+    same = components(found.where(f"kind = {_SAME}").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct(), "jaccard-balls")
+    placed = found.where(f"kind = {_PLACE}").select("block", "label", "doc_id", "n", "shingles")
+    merged = placed.join(same.withColumnRenamed("id", "label"), "label", "left").select("block", F.coalesce("root", "label").alias("label"), "doc_id", "n", "shingles")
+    return edges, merged
+
+
+def _tiles(cells: DataFrame, limit: int) -> DataFrame:
+    """Blocks that pivots do not part, dealt into pairs of tiles.
+
+    A tile holds documents of one label and one size class (of ratio 1.25), dealt by hash. Two
+    tiles meet where a link between them is possible and not known: their size classes are
+    the same or next to each other, and they have not the same label of 0 or more.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OUT_OF / PER))).cast("int")
+    classed = cells.withColumn("step", step)
+    totals = classed.groupBy("block", "label", "step").agg(F.ceil(F.sum("n") / (limit / 4)).cast("int").alias("parts"))
+    laid = classed.join(totals, ["block", "label", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = totals.select("block", F.col("label").alias("label2"), F.col("step").alias("step2"), F.col("parts").alias("parts2"))
+    meets = (F.abs(F.col("step") - F.col("step2")) <= 1) & ((F.col("label") != F.col("label2")) | (F.col("label") < 0))
+    groups = totals.join(other, "block").where(meets).select("block", "label", "step", "label2", "step2", "parts2")
+    met = laid.join(groups, ["block", "label", "step"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    own, its = F.concat_ws(".", "label", "step", "part"), F.concat_ws(".", "label2", "step2", "part2")
+    return met.select("block", F.concat_ws("+", F.least(own, its), F.greatest(own, its)).alias("tile"), "label", "doc_id", "shingles")
+
+
+def large_blocks(cells: DataFrame, limit: int, done: list) -> tuple[DataFrame, list[DataFrame]]:
+    """Blocks (block, doc_id, n, shingles) of more than `limit` shingles each, cut: (block, tile, label, doc_id, shingles) for tasks, and lists of edges."""
+    cells = cells.withColumn("label", F.lit(-1).cast("long")).select("block", "label", "doc_id", "n", "shingles")
+    total = written(_totals(cells), "jaccard-totals")
+    done.append(total)
+    ready, edges = _tiles(cells.limit(0), limit), []
+    one_of = lambda cells, which: cells.join(which.select("block"), "block", "left_semi")
+    for turn in range(ROUNDS + 1):
+        large = total.where(F.col("size") > limit)
+        if large.limit(1).count() == 0:
+            break
+        if turn == ROUNDS:
+            ready = ready.unionByName(_tiles(one_of(cells, large), limit))
+            break
+        told, new = _cut(one_of(cells, large), large, limit, done)
+        edges.append(told)
+        # cells of one component are done; those that hold most of their block's members are not parted
+        sums = _totals(new).withColumn("above", F.regexp_extract("block", "^(.*)/[^/]*$", 1))
+        before = large.select(F.col("block").alias("above"), F.col("members").alias("before"))
+        after = written(sums.where("(low < high OR low < 0) AND members > 1").join(before, "above"), "jaccard-totals")
+        done.append(after)
+        stuck = after.where((F.col("size") > limit) & (F.col("members") > F.col("before") * SHRUNK))
+        fits = one_of(new, after.where(F.col("size") <= limit)).withColumn("tile", F.lit(""))
+        ready = ready.unionByName(fits.select(*ready.columns)).unionByName(_tiles(one_of(new, stuck), limit))
+        cells, total = new, after.join(stuck.select("block"), "block", "left_anti").select("block", "size", "members", "low", "high")
+    return ready, edges
+
+
+def block_links(rows: DataFrame, places: DataFrame, done: list, limit: int) -> DataFrame:
+    """Edges (a, b) that connect what links connect inside each block of places (rep, s1, n, block)."""
+    large = written(places.groupBy("block").agg(F.sum("n").alias("size")).where(F.col("size") > limit), "jaccard-large")
+    done.append(large)
+    any_large = large.limit(1).count() > 0
+    small = places.join(large, "block", "left_anti") if any_large else places
+    ready = _loaded(rows, small, done).select("block", F.lit("").alias("tile"), F.lit(-1).cast("long").alias("label"), "doc_id", "shingles")
+    edges: list[DataFrame] = []
+    if any_large:
+        loaded = written(_loaded(rows, places.join(large, "block", "left_semi"), done), "jaccard-loaded")
+        done.append(loaded)
+        parts, edges = large_blocks(loaded, limit, done)
+        ready = ready.unionByName(parts)
+    links = ready.groupBy("block", "tile").applyInPandas(_join_block, "a long, b long")
+    for told in edges:
+        links = links.unionByName(told)
+    return links
+
+
+def _class_members(one: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, n, s1, s2, k, rep) of (doc_id, n, s1, s2, k): rep is the least id of the same set.
+
+    In two levels, so that a set that a third of all rows have is no single task: the least id
+    of a set's rows in one of `salts` parts, then the least of these.
+    """
+    salts = 1 << max(4, int(max(rows, 1) ** 0.5 / 4).bit_length() - 1)
+    key = ["n", "s1", "s2"]
+    first = one.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).withColumn("rep1", F.min("doc_id").over(W.partitionBy(*key, "salt")))
+    heads = first.where("doc_id = rep1").select("rep1", F.min("rep1").over(W.partitionBy(*key)).alias("rep2")).where("rep1 <> rep2")
+    return first.join(heads, "rep1", "left").select("doc_id", *key, "k", F.coalesce("rep2", "rep1").alias("rep"))
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Large blocks dealt into pairs of tiles: by size class of ratio 1.25, by a hash inside it.
+def with_set(rows: DataFrame, column: str) -> DataFrame:
+    """rows of one struct column that holds a `text`, with the size n and the signature (s1, s2) of its shingle set."""
 
-    A linked pair is in one class or in two that follow each other, so it meets in a pair.
-    """
-    step = F.floor(F.log("n") / float(np.log(OUT_OF / PER))).cast("int")
-    classed = rows.withColumn("step", step)
-    totals = classed.groupBy("block", "step").agg(F.ceil(F.sum("n") / (BLOCK_SHINGLES / 4)).cast("int").alias("parts"))
-    after = totals.select("block", (F.col("step") - 1).alias("step"), F.col("parts").alias("above"))
-    before = totals.select("block", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
-    laid = classed.join(totals, ["block", "step"]).join(after, ["block", "step"], "left").join(before, ["block", "step"], "left")
-    laid = laid.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    seq = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda low, i, high, j: F.concat_ws("/", low, i, high, j)
-    own = F.transform(seq(F.col("parts")), lambda j: name(F.col("step"), F.least("part", j), F.col("step"), F.greatest("part", j)))
-    up = F.transform(seq(F.col("above")), lambda j: name(F.col("step"), F.col("part"), F.col("step") + 1, j))
-    down = F.transform(seq(F.col("below")), lambda j: name(F.col("step") - 1, j, F.col("step"), F.col("part")))
-    return laid.select("rep", "s1", "block", F.explode(F.concat(own, up, down)).alias("tile"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [(len(s), *_signature(s)) for s in (shingle_set(b) for b in column_bytes(batch.column(1)))]
+            columns = [pa.array([t[i] for t in told], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[column, "n", "s1", "s2"])
+
+    schema = StructType([rows.schema[column], *[StructField(c, LongType()) for c in ("n", "s1", "s2")]])
+    return rows.select(column, F.col(f"{column}.text").alias("_text")).mapInArrow(work, schema)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,33 +656,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts, the one with the smallest set stands for the id's links. A null id has a null
     component and links nothing. An empty table gives none; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, done = docs.sparkSession, []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long, bits binary"), "jaccard-survey")
-    facts = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s1"), F.col("c").alias("s2"), "n", "bits")
-    one = facts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("f")).select("doc_id", "f.*")
-    classes = one.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = written(one.where("n > 0").join(classes, ["n", "s1", "s2"]).select("doc_id", "rep", "n", "s1"), "jaccard-members")
-
-    common = spark.sparkContext.broadcast(_bitmap(common_cells(survey.where("kind = 1")), CELL_BITS))
+    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long, k long, bits binary"), "jaccard-survey")
+    facts = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s1"), F.col("c").alias("s2"), "n", "k", "bits")
+    one = facts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "k")).alias("f")).select("doc_id", "f.*").where("n > 0")
+    members = written(_class_members(one, facts.count()), "jaccard-members")
+    sizes = members.where("doc_id = rep").select("rep", "k", "n", "s1")
+
+    common = spark.sparkContext.broadcast(common_cells(survey.where("kind = 1")))
+    done.append(common)
     regions = rows.mapInArrow(lambda batches: _regions(common.value)(batches), _REGION)
     met = regions.repartition("a").mapInArrow(_meet, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    # what is known of a document by the class that holds it; both ends of an edge go to their classes
-    rep = members.select(F.col("doc_id").alias("id"), "rep")
-    ends = met.join(rep, F.col("a") == F.col("id")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("id")).select("a", F.col("rep").alias("b"), "sure")
+    # classes of the region pass become the documents that stand for them
+    rep = sizes.select("k", "rep")
+    ends = met.join(rep, F.col("a") == F.col("k")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("k")).select("a", F.col("rep").alias("b"), "sure")
     edges = written(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "jaccard-edges")
-    sizes = members.where("doc_id = rep").select("rep", "n", "s1")
-    known = facts.select("doc_id", "s1", "bits").join(sizes, (F.col("doc_id") == F.col("rep")) & (facts["s1"] == sizes["s1"])).groupBy("rep").agg(F.min(F.struct("n", "bits")).alias("k"))
-    side = lambda x: known.select(F.col("rep").alias(x), F.col("k.n").alias(f"n_{x}"), F.col("k.bits").alias(f"bits_{x}"))
-    possible = edges.where("NOT sure").join(side("a"), "a").join(side("b"), "b").mapInArrow(_look, "a long, b long")
-    blocks = components(edges.where("sure").select("a", "b").unionByName(possible), "jaccard-blocks").select(F.col("id").alias("rep"), F.col("root").alias("block"))
-    blocks = blocks.join(sizes, "rep")
-    weight = blocks.groupBy("block").agg(F.sum("n").alias("size"))
-    blocks = written(blocks.join(weight, "block"), "jaccard-loads")
-    small = blocks.where(F.col("size") <= BLOCK_SHINGLES).select("rep", "s1", "block", F.lit("").alias("tile"))
-    places = written(small.unionByName(_tiles(blocks.where(F.col("size") > BLOCK_SHINGLES))), "jaccard-places")
-    links = written(_loaded(rows, places).groupBy("block", "tile").applyInPandas(_join_block, "a long, b long"), "jaccard-links")
-    roots = components(links, "jaccard-roots").select(F.col("id").alias("rep"), "root")
+    done.append(edges)
+    unsure = edges.where("NOT sure")
+    asked = unsure.select(F.col("a").alias("rep")).unionByName(unsure.select(F.col("b").alias("rep"))).distinct()
+    known = facts.select("doc_id", "s1", "n", "bits").join(sizes.select("rep", F.col("s1").alias("_s1")).join(asked, "rep", "left_semi"), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).dropDuplicates(["rep"])
+    side = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    possible = unsure.join(side("a"), "a").join(side("b"), "b").mapInArrow(_look, "a long, b long")
+    blocks = components(edges.where("sure").select("a", "b").unionByName(possible), "jaccard-blocks")
+    done.append(blocks)
+    places = written(blocks.select(F.col("id").alias("rep"), F.col("root").cast("string").alias("block")).join(sizes.select("rep", "s1", "n"), "rep"), "jaccard-places")
+    done.append(places)
+    roots = components(block_links(rows, places, done, BLOCK_SHINGLES), "jaccard-roots").select(F.col("id").alias("rep"), "root")
     found = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
+    for held in done:
+        held.destroy() if hasattr(held, "destroy") else discard(held)
     out = facts.join(found, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, prefix_sums, word_count, written
+from .common import BLANKS, free_names, prefix_sums, word_count, written
 
 #: Words in a block, and slots that are ranked together.
 BLOCK, CHUNK = 256, 4096
@@ -132,17 +132,24 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with its mix in place of its texts: a row for each whole time that a document is
     taken, and one with its first words where the last epoch stops inside it; n_chars follows.
 
-    Rows that repeat an id and text share what their copies take evenly, rounded down.
+    Rows that repeat an id, source and text share what their copies take evenly, rounded
+    down. Texts without words, null ones included, are never taken; null ids and sources are
+    values like others; an empty table gives none; further columns, of any name and type, are
+    kept.
     """
-    takes = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")).agg(F.expr("sum(taken) div count(*)").alias("_taken"), F.max("size").alias("_size"))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    found = docs.join(takes, match).where("_taken > 0")
-    whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
+    row, of, words, key = free_names(docs, "row", "of", "words", "key")
+    place = lambda i, s, h: F.struct(i.alias("i"), s.alias("s"), h.alias("h"))
+    takes = mix(docs, **options).groupBy(place(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias(of)).agg(F.expr("sum(taken) div count(*)").alias("taken"), F.max("size").alias("size"))
+    whole, rest = F.expr("taken div size"), F.expr("taken % size")
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    takes = takes.where("taken > 0").select(of, parts.alias(words))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(row))
+    packed = packed.withColumn(key, place(F.col(f"{row}.doc_id"), F.col(f"{row}.source"), F.xxhash64(F.coalesce(F.col(f"{row}.text"), F.lit("")))))
+    found = packed.join(takes, F.col(key).eqNullSafe(F.col(of))).select(row, F.explode(words).alias(words))
     # pieces of a text that end with a word; the first n of them hold its first n words
     ends = rf"(?<=[^{BLANKS}])(?=[{BLANKS}])"
-    head = F.array_join(F.slice(F.split("text", ends), F.lit(1), F.col("_words").cast("int")), "")
-    out = found.withColumn("_words", F.explode(parts)).withColumn("text", F.when(F.col("_words") > 0, head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    text = F.col(f"{row}.text")
+    head = F.array_join(F.slice(F.split(text, ends), F.lit(1), F.col(words).cast("int")), "")
+    new = F.when(F.col(words) > 0, head).otherwise(text)
+    out = found.select(*[new.alias(c) if c == "text" else F.col(row).getField(c).alias(c) for c in docs.columns])
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -4,7 +4,9 @@ A document is a bag of passages of 64 words. Every passage is encoded: shares of
 and the form and repetition of its words, through a learned tanh layer. Gated attention
 (a = softmax(w . (tanh(Vh) * sigmoid(Uh)))) weighs the passages, and a logistic unit scores
 the weighted passage representation. Only documents are labelled; encoder, attention and
-score are learned together (NumPy, Adam) on a bounded sample of labelled documents.
+score are learned together (NumPy, Adam) on a bounded sample of labelled documents: whole
+documents in the order of a hash of their ids, as many as the two bounds below leave room for.
+One task of an executor learns; the driver sees nothing but the finished parameters (20 KB).
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import word_count, written
 from .shingles import _BASE, column_bytes, mix64
 
 PASSAGE = 64
-#: The sample that is learned from: labelled documents at most, passages of one of them at most (evenly spread).
-TRAIN_DOCUMENTS, TRAIN_PASSAGES = 3000, 256
+#: The sample that is learned from: labelled documents at most, and passages of all of them together at most (36 MB of features).
+TRAIN_DOCUMENTS, TRAIN_PASSAGES = 3000, 65536
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 24, 12, 400, 0.01, 1e-4
 #: Bytes that are encoded together.
 SPAN = 1 << 20
@@ -93,29 +97,31 @@ class Model:
         return _sigmoid(self._forward(x, bag, n)["logit"])
 
     def _forward(self, x, bag, n):
-        h = np.tanh(x @ self.E + self.e)
+        """bag: ascending; x may be float32, which halves the largest arrays."""
+        h = np.tanh(x @ self.E.astype(x.dtype) + self.e)
         t, g = np.tanh(h @ self.V), _sigmoid(h @ self.U)
         a = (t * g) @ self.w
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, bag, a)
-        p = np.exp(a - top[bag]) if len(a) else a
-        total = np.bincount(bag, p, minlength=n)
-        p = p / total[bag] if len(a) else p
         z = np.zeros((n, HIDDEN))
-        np.add.at(z, bag, p[:, None] * h)
-        return {"h": h, "t": t, "g": g, "p": p, "z": z, "logit": z @ self.c + self.b[0]}
+        at = np.flatnonzero(np.concatenate(([True], bag[1:] != bag[:-1]))) if len(bag) else np.zeros(0, np.int64)
+        of = np.cumsum(np.diff(np.concatenate((bag[:1] - 1, bag))) != 0) - 1 if len(bag) else at
+        p = a
+        if len(at):
+            p = np.exp(a - np.maximum.reduceat(a, at)[of])
+            p = p / np.add.reduceat(p, at)[of]
+            z[bag[at]] = np.add.reduceat(p[:, None] * h, at, axis=0)
+        return {"h": h, "t": t, "g": g, "p": p, "z": z, "at": at, "of": of, "logit": z @ self.c + self.b[0]}
 
     def gradients(self, x, bag, n, y):
         f = self._forward(x, bag, n)
-        h, t, g, p, z = f["h"], f["t"], f["g"], f["p"], f["z"]
+        h, t, g, p, z, at, of = (f[k] for k in ("h", "t", "g", "p", "z", "at", "of"))
         d = (_sigmoid(f["logit"]) - y) / n
         dz = d[:, None] * self.c
         along = (dz[bag] * h).sum(axis=1)
-        da = p * (along - np.bincount(bag, p * along, minlength=n)[bag])
+        da = p * (along - np.add.reduceat(p * along, at)[of]) if len(at) else p
         dt, dg = da[:, None] * self.w * g * (1 - t * t), da[:, None] * self.w * t * g * (1 - g)
         dh = p[:, None] * dz[bag] + dt @ self.V.T + dg @ self.U.T
         dpre = dh * (1 - h * h)
-        return Model(x.T @ dpre, dpre.sum(axis=0), h.T @ dt, h.T @ dg, (da[:, None] * t * g).sum(axis=0), z.T @ d, np.array([d.sum()]))
+        return Model(x.T @ dpre.astype(x.dtype), dpre.sum(axis=0), h.T @ dt, h.T @ dg, (da[:, None] * t * g).sum(axis=0), z.T @ d, np.array([d.sum()]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -131,7 +137,6 @@ def learn(x: np.ndarray, bag: np.ndarray, y: np.ndarray, steps: int = STEPS) ->
         return model
     names = list(vars(model))
     first, second = ({k: np.zeros_like(getattr(model, k)) for k in names} for _ in range(2))
-    x = x.astype(np.float64)
     for step in range(1, steps + 1):
         grad = model.gradients(x, bag, len(y), y)
         rate = RATE * (1 - 0.9 * step / steps)
@@ -161,56 +166,78 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
-    """Learns from at most TRAIN_DOCUMENTS labelled rows that are not held out, chosen by a hash of their ids.
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, x) of (doc_id, y, text): the features of each document's passages, as bytes."""
+    for batch in batches:
+        ids, y, at = batch.column("doc_id"), batch.column("y"), 0
+        for group in _groups(batch.column("text")):
+            x, of = encode(group)
+            ends = np.searchsorted(of, np.arange(len(group) + 1))
+            rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), y.slice(at, len(group)), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+            at += len(group)
 
-    Of labels that repeat an id the least counts; null labels and ids do not count.
-    """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id"))
-    chosen = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCUMENTS)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").alias("y"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, y, at = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), 0
-            for group in _groups(batch.column("text")):
-                x, of = encode(group)
-                rows = []
-                for i in range(len(group)):
-                    own = x[of == i]
-                    if len(own) > TRAIN_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(int)]
-                    rows.append(own.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(group)], pa.int64()), pa.array(y[at : at + len(group)], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
-                at += len(group)
-
-    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(work, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable").drop_duplicates("doc_id")
-    bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["x"]]
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the parameters learned from all rows (doc_id, y, x) of the bounded sample."""
+    found = sorted({r["doc_id"]: (r["doc_id"], r["y"], r["x"]) for batch in batches for r in batch.to_pylist()}.values())
+    bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, _, x in found]
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
     bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags]).astype(np.int64)
-    return learn(x, bag, (found["y"].to_numpy() == 1).astype(np.float64))
+    model = learn(x, bag, np.array([y == 1 for _, y, _ in found], np.float64))
+    yield pa.RecordBatch.from_arrays([pa.array([[v.astype(np.float64).tobytes() for v in vars(model).values()]], pa.list_(pa.binary()))], names=["parts"])
 
 
-def score(docs: DataFrame, model: Model, *, keep: list[str], at_least: float | None = None) -> DataFrame:
-    """The columns `keep` and quality_score, the probability of label 1, over whole texts.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
+    """Learns from whole labelled documents that are not held out, in the order of a hash of their ids.
 
-    Null and empty texts score as an empty bag. With `at_least`, rows below it go.
+    At most TRAIN_DOCUMENTS, and no more passages together than TRAIN_PASSAGES: a document that
+    would go beyond is left out of the sample, whatever its length. Of labels that repeat an
+    id the least counts, of texts that do the least; null labels and ids do not count; a null
+    text is empty; other columns are ignored; no labels, or none of one kind, give a constant.
+    """
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id"))
+    order = F.xxhash64("_id")
+    chosen = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(order, "_id").limit(TRAIN_DOCUMENTS)
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sized = met.groupBy("_id", "_y").agg(F.min("text").alias("text"))
+    sample = written(sized.select(F.col("_id").cast("long").alias("doc_id"), F.col("_y").alias("y"), order.alias("turn"), F.ceil(word_count(F.col("text")) / PASSAGE).alias("passages"), "text"), "quality-sample")
+    taken, room = [], TRAIN_PASSAGES
+    for r in sample.select("doc_id", "turn", "passages").orderBy("turn", "doc_id").collect():
+        if r["passages"] <= room:
+            taken.append(r["doc_id"])
+            room -= r["passages"]
+    few = sample.where(F.col("doc_id").isin(taken)) if taken else sample.limit(0)
+    features = few.select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, x binary")
+    row = written(features.repartition(1).mapInArrow(_learned, "parts array<binary>"), "quality-model").first()
+    if row is None:  # no partition, no task
+        return learn(np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
+    return Model(*[np.frombuffer(bytes(b), np.float64).reshape(v.shape) for b, v in zip(row["parts"], vars(Model.start()).values(), strict=True)])
+
+
+def score(docs: DataFrame, model: Model, *, keep: list[str], at_least: float | None = None, name: str = "quality_score") -> DataFrame:
+    """The columns `keep` and `name`, the probability of label 1, over whole texts.
+
+    Null and empty texts score as an empty bag; null ids and repeated rows are rows like
+    others; an empty table gives none; kept columns may have any name and type (an old column
+    `name` is replaced). With `at_least`, rows below it go.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    keep = [c for c in dict.fromkeys(keep) if c.lower() != name.lower()]
+    inner = [f"_{i}" for i in range(len(keep))]
+    schema = StructType([StructField(i, docs.schema[c].dataType) for i, c in zip(inner, keep, strict=True)] + [StructField("score", DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for group in _groups(batch.column("text")):
                 x, of = encode(group)
-                out.append(shared.value.score(x.astype(np.float64), of, len(group)))
+                out.append(model.score(x.astype(np.float64), of, len(group)))
             found = np.concatenate(out) if out else np.zeros(0)
-            rows = pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found)], names=[*keep, "quality_score"])
+            rows = pa.RecordBatch.from_arrays([*[batch.column(c) for c in inner], pa.array(found)], names=[*inner, "score"])
             yield rows if at_least is None else rows.filter(pa.array(found >= at_least))
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(work, f"{fields}, quality_score double")
+    rows = docs.select(*[docs[f"`{c}`"].alias(i) for c, i in zip(keep, inner, strict=True)], docs["text"].alias("text")).mapInArrow(work, schema)
+    return rows.select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:

@@ -64,11 +64,55 @@ def test_against_brute_force(spark, seed):
     assert len({c for _, c in want.values()}) < len(docs) - 20
 
 
-def test_tiles_of_large_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2000)
+@pytest.mark.parametrize("limit", [400, 2000])
+def test_large_blocks_are_cut_by_pivots(spark, monkeypatch, limit):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", limit)
     monkeypatch.setattr(jaccard, "LEAST_COMMON", 1 << 20)  # the shared passage makes one block
+    rounds, tiles = [], []
+    cut, laid = jaccard._cut, jaccard._tiles
+    monkeypatch.setattr(jaccard, "_cut", lambda *a: rounds.append(1) or cut(*a))
+    monkeypatch.setattr(jaccard, "_tiles", lambda *a: tiles.append(1) or laid(*a))
     docs = corpus(3)
     assert run(spark, docs) == brute(docs)
+    assert rounds and tiles
+
+
+def test_a_large_group_of_near_copies_needs_no_tiles(spark):
+    """All are in one ball: a round of pivots tells every link, and no pair of tiles is left."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    loaded = []
+    for i in range(80):
+        words = list(base)
+        words[r.randrange(300)] = f"x{i}"
+        loaded.append(("b", i, words))
+    rows = [(b, i, len(s), s.tobytes()) for b, i, w in loaded for s in [shingles.shingle_set(np.frombuffer(" ".join(w).encode(), np.uint8))]]
+    table = spark.createDataFrame(rows, "block string, doc_id long, n long, shingles binary")
+    ready, edges = jaccard.large_blocks(table, 5000, [])
+    assert ready.count() == 0 and len(edges) == 1
+    assert {r["root"] for r in components(edges[0]).collect()} == {0}
+
+
+def test_links_come_through_pivots():
+    """Of the links that the join measures, most are told by the balls of pivots, in blocks of every size."""
+    told = {"ball": 0, "bound": 0}
+    for seed in range(6):
+        docs = corpus(seed, 120)
+        sets = [shingles.shingle_set(np.frombuffer(t.encode(), np.uint8)) for t in docs.values()]
+        for size in (2, 3, 8, 24, 120):
+            for at in range(0, 120, size):
+                forest = jaccard.Forest(len(sets))
+                jaccard.metric_join(sets, list(range(at, min(at + size, 120))), forest)
+                told = {k: told[k] + forest.told[k] for k in told}
+    assert told["ball"] > 10 * told["bound"] and told["ball"] > 100
+
+
+def test_repeated_ids_lose_no_link_of_others(spark):
+    """A row whose id stands for another text does not hide a text from the documents that have it."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a few words only here now", "s"), (1, text, "s"), (2, text, "s"), (3, text + " more", "s")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2)}
 
 
 def test_metric_join_against_brute_force():
@@ -115,3 +159,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201), (201, 200)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["id"]: r["root"] for r in rows} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200} and len(rows) == 46
+
+
+def test_components_in_rounds_and_at_once(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(None, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, other = ({x["id"]: x["root"] for x in components(df, at_once=n).collect()} for n in (1 << 20, 2))
+    assert one == other and len(one) > 100
+    assert components(df.limit(0)).count() == 0

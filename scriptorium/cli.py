@@ -20,9 +20,13 @@ def build_parser() -> argparse.ArgumentParser:
     a.add_argument("--force-regenerate", action="store_true")
     a.add_argument("--retry-failed", action="store_true")
     a.add_argument("--llm-backend", default="offline", choices=("offline", "anthropic", "ollama", "openai"))
-    a.add_argument("--llm-parallelism", type=positive_int, default=3)
+    a.add_argument("--llm-model")
+    a.add_argument("--llm-parallelism", type=positive_int)
+    a.add_argument("--analyzer-backend", choices=("rules", "electra", "ginza"), default="rules")
+    a.add_argument("--device", choices=("cpu", "mps", "cuda"), default="cpu")
     a.add_argument("--format", choices=("human", "json"), default="human")
     a.add_argument("--quiet", action="store_true")
+    a.add_argument("--no-progress", action="store_true")
     q = sub.add_parser("query", help="the best chunks for a text")
     q.add_argument("output_dir")
     q.add_argument("text")
@@ -56,10 +60,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     from scriptorium.operators.lint import Thresholds
     from scriptorium.plans import ingest
+    from scriptorium.progress import Progress
 
     spark = spark or SparkSession.builder.appName("scriptorium").getOrCreate()
     if args.verb == "ingest":
-        cfg = ingest.IngestConfig(skip_summaries=args.skip_wiki, max_calls=args.max_llm_calls, force=args.force_regenerate, retry_failed=args.retry_failed, backend=args.llm_backend, parallelism=args.llm_parallelism)
+        cfg = ingest.IngestConfig(skip_summaries=args.skip_wiki, max_calls=args.max_llm_calls, force=args.force_regenerate, retry_failed=args.retry_failed, backend=args.llm_backend, model=args.llm_model, parallelism=args.llm_parallelism, analyzer_backend=args.analyzer_backend, device=args.device, progress=Progress(enabled=not (args.quiet or args.no_progress)))
         result = ingest.ingest(spark, args.input_dir, args.output_dir, cfg)
         if args.format == "json":
             print(json.dumps({"exit_code": result.exit_code, "warnings": result.warnings, **result.counters}, ensure_ascii=False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -20,10 +21,28 @@ NAME_BYTES = 128
 TERMINATORS, SOFT = "。\n", ("、", "\n", ",", " ")
 
 
+_BLANKS_AT_ENDS, _BLANK_RUNS = re.compile("[ \t\u3000]+$", re.MULTILINE), re.compile("[ \t\u3000]{2,}|[\t\u3000]")
+
+
+def normalized(text: str | None) -> str | None:
+    """P1 for one text: NFKC, line ends to LF, no blanks at line ends, runs of blanks to one, stripped. Idempotent; null stays null."""
+    if not text:
+        return text
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return _BLANK_RUNS.sub(" ", _BLANKS_AT_ENDS.sub("", text)).strip()
+
+
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC has no builtin; texts that are already normal pass through."""
-    return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+def _normalize(texts: pd.Series) -> pd.Series:
+    return texts.map(normalized)
+
+
+#: P1 as a column function. NFKC has no builtin, so all of it is one Arrow function; it counts as
+#: not deterministic so that no rule of the optimizer copies it into each place that uses its result.
+normalize = _normalize.asNondeterministic()
 
 
 def strip(text: Column) -> Column:
@@ -31,13 +50,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
 
 
-def normalize(text: Column) -> Column:
-    """NFKC, line ends to LF, no blanks at line ends, runs of blanks to one, stripped. Idempotent; null stays null."""
-    t = F.regexp_replace(nfkc(text), "\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?md)(?<![ \t\u3000])[ \t\u3000]++$", "")
-    return strip(F.regexp_replace(t, r"[ \t\u3000]+", " "))
-
-
 def pieces(text: Column, terminators: str = TERMINATORS) -> Column:
     """A text cut after each terminator; the pieces laid end to end are the text."""
     stop = "".join(f"\\u{ord(c):04x}" for c in terminators)

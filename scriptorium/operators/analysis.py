@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 import pandas as pd
-import regex
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import sentences
+
 #: Labels of interest, parts of speech that carry meaning, and words that do not.
 LABELS = ("PERSON", "ORG", "LOC", "PRODUCT")
 PARTS_OF_SPEECH = ("NOUN", "VERB", "ADJ", "PROPN")
@@ -23,8 +27,9 @@ MENTIONS = "array<struct<name:string,ner_label:string,char_start:int,char_end:in
 class RuleAnalyzer:
     """The default analyzer: words by a pattern, entities by one pattern a label.
 
-    Any object with `tokens(Column) -> array<string>`, `mentions(Column) -> MENTIONS` and a
-    `settings` mapping is an analyzer; a model's would wrap one Arrow function.
+    Any object with `tokens(Column) -> array<string>`, `mentions(Column) -> MENTIONS`,
+    `sentences(Column) -> array<string>`, a `settings` mapping, `versions` and a `version` is an
+    analyzer; `models.ModelAnalyzer` wraps a language model.
     """
 
     word: str = r"\p{L}{3,}"
@@ -33,7 +38,20 @@ class RuleAnalyzer:
 
     @property
     def settings(self) -> dict:
-        return {"word": self.word, "stopwords": list(self.stopwords), "entities": [list(e) for e in self.entities]}
+        return {"kind": "rules", "word": self.word, "stopwords": list(self.stopwords), "entities": [list(e) for e in self.entities]}
+
+    @property
+    def versions(self) -> dict:
+        return {"pyspark": pyspark.__version__}
+
+    @property
+    def version(self) -> str:
+        """P20: changes with the rules themselves."""
+        return "rules@" + hashlib.sha256(json.dumps(self.settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+
+    def sentences(self, text: Column) -> Column:
+        """P3, for an analyzer of patterns."""
+        return sentences(text)
 
     def tokens(self, text: Column) -> Column:
         """lower-case words without stopwords."""
@@ -41,14 +59,44 @@ class RuleAnalyzer:
         return F.filter(words, lambda w: ~w.isin(*self.stopwords)) if self.stopwords else words
 
     def mentions(self, text: Column) -> Column:
-        pattern = regex.compile("|".join(f"(?P<L{i}>{p})" for i, (_, p) in enumerate(self.entities)))
-        labels = {f"L{i}": label for i, (label, _) in enumerate(self.entities)}
-
-        @F.pandas_udf(MENTIONS)
-        def find(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [{"name": m.group(), "ner_label": labels[m.lastgroup], "char_start": m.start(), "char_end": m.end()} for m in pattern.finditer(t or "")])
-
-        return find(text)
+        """Entities in order. Matches and the gaps between them lie end to end, so their lengths give the offsets: no Python."""
+        every = "|".join(f"(?:{p})" for _, p in self.entities)
+        told = lambda names, gaps: F.aggregate(
+            F.arrays_zip(names.alias("name"), F.slice(F.transform(gaps, F.length), 1, F.size(names)).alias("gap")), F.struct(F.lit(0).alias("at"), F.array().cast(MENTIONS).alias("out")),
+            lambda s, m: F.struct((s["at"] + m["gap"] + F.length(m["name"])).alias("at"), F.array_append(s["out"], F.struct(m["name"].alias("name"), self._label(m["name"]).alias("ner_label"), (s["at"] + m["gap"]).alias("char_start"), (s["at"] + m["gap"] + F.length(m["name"])).alias("char_end"))).alias("out")),
+            lambda s: s["out"],
+        )
+        body = F.coalesce(text, F.lit(""))
+        found = F.struct(F.regexp_extract_all(body, F.lit(every), F.lit(0)).alias("names"), F.split(body, every, -1).alias("gaps"))
+        return F.transform(F.array(found), lambda x: told(x["names"], x["gaps"]))[0]
+
+    def _label(self, name: Column) -> Column:
+        """The label of the first pattern that the whole name is of."""
+        out = F.lit(None).cast("string")
+        for label, pattern in reversed(self.entities):
+            out = F.when(name.rlike(rf"\A(?:{pattern})\z"), label).otherwise(out)
+        return out
+
+
+def restore(settings: dict):
+    """SC12: the analyzer that saved settings describe."""
+    kind = settings.get("kind", "rules")
+    if kind == "rules":
+        return RuleAnalyzer(settings["word"], tuple(settings["stopwords"]), tuple(tuple(e) for e in settings["entities"]))
+    if kind == "model":
+        from .models import ModelAnalyzer
+
+        return ModelAnalyzer(settings["model"], stopwords=tuple(settings["stopwords"]))
+    raise ValueError(f"unknown analyzer {kind!r}")
+
+
+def by_name(backend: str = "rules", device: str = "cpu"):
+    """An analyzer by the name that the command line knows."""
+    if backend == "rules":
+        return RuleAnalyzer()
+    from .models import MODELS, ModelAnalyzer
+
+    return ModelAnalyzer(MODELS[backend], device)
 
 
 def keep_tokens(tokens: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -104,27 +152,20 @@ def byte_segments(text: str, limit: int = SEGMENT_BYTES, terminator: str = "。"
     A cut goes after the last blank line of what fits, else after the last sentence end, else
     after the last line feed, else where the bytes are used up.
     """
-    out, at = [], 0
+    out, chars, at = [], 0, 0
     raw = text.encode()
-    while raw:
-        if len(raw) <= limit:
-            out.append((at, raw.decode()))
-            break
-        end = limit
-        while end > 0 and raw[end] & 0xC0 == 0x80:  # not inside a character
+    marks = [m.encode() for m in ("\n\n", terminator, "\n")]
+    while len(raw) - at > limit:
+        end = at + limit
+        while end > at and raw[end] & 0xC0 == 0x80:  # not inside a character
             end -= 1
-        if end == 0:  # one character alone is over the limit
-            end = next((i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
-        window = raw[:end]
-        for mark in ("\n\n", terminator, "\n"):
-            found = window.rfind(mark.encode())
-            if found >= 0:
-                window = window[: found + len(mark.encode())]
-                break
-        piece = window.decode()
-        out.append((at, piece))
-        at, raw = at + len(piece), raw[len(window) :]
-    return out
+        if end == at:  # one character alone is over the limit
+            end = next((i for i in range(at + 1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
+        end = next((found + len(m) for m in marks if (found := raw.rfind(m, at, end)) >= 0), end)
+        piece = raw[at:end].decode()
+        out.append((chars, piece))
+        chars, at = chars + len(piece), end
+    return [*out, (chars, raw[at:].decode())] if at < len(raw) else out
 
 
 def with_segments(docs: DataFrame, limit: int = SEGMENT_BYTES, terminator: str = "。") -> DataFrame:

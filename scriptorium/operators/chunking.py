@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import SOFT, TERMINATORS, chunk_id, slice_text
+from scriptorium.functions.text import SOFT, TERMINATORS, chunk_id
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def overlapped(chunks: list[tuple[int, int]], spans: list[tuple[int, int]], spec
 
 
 _SPANS = "array<struct<start:int,end:int>>"
-_CUT = "chunks array<struct<start:int,end:int,raw_start:int>>, warnings array<struct<kind:string,detail:string,char_offset:int>>"
+_CUT = "chunks array<struct<start:int,end:int,raw_start:int,text:string>>, warnings array<struct<kind:string,detail:string,char_offset:int>>"
 
 
 def with_sentences(docs: DataFrame, terminators: str = TERMINATORS) -> DataFrame:
@@ -129,16 +129,17 @@ def cut_documents(docs: DataFrame, spec: ChunkSpec | None = None) -> DataFrame:
             spans = sentence_spans(text or "", spec.terminators)
             raw, told = fold(text or "", spans, spec)
             final, more = overlapped(raw, spans, spec)
-            rows.append(([{"start": a, "end": b, "raw_start": r} for (a, b), (r, _) in zip(final, raw, strict=True)], [dict(zip(("kind", "detail", "char_offset"), w, strict=True)) for w in [*told, *more]]))
+            rows.append(([{"start": a, "end": b, "raw_start": r, "text": text[a:b]} for (a, b), (r, _) in zip(final, raw, strict=True)], [dict(zip(("kind", "detail", "char_offset"), w, strict=True)) for w in [*told, *more]]))
         return pd.DataFrame(rows, columns=["chunks", "warnings"])
 
-    return docs.select("source", "text", cut("text").alias("cut")).select("source", "text", "cut.chunks", "cut.warnings")
+    # not deterministic for the optimizer alone: so it is run once, however many of its fields are used
+    return docs.select("source", "text", cut.asNondeterministic()("text").alias("cut")).select("source", "text", "cut.chunks", "cut.warnings")
 
 
 def chunk_documents(docs: DataFrame, spec: ChunkSpec | None = None) -> DataFrame:
     """(source, ord, char_start, char_end, text, chunk_id) of every chunk of docs (source, text)."""
-    cut = cut_documents(docs, spec).select("source", F.col("text").alias("whole"), F.posexplode("chunks").alias("ord", "c"))
-    rows = cut.select("source", "ord", F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), slice_text(F.col("whole"), F.col("c.start"), F.col("c.end")).alias("text"))
+    cut = cut_documents(docs, spec).select("source", F.posexplode("chunks").alias("ord", "c"))
+    rows = cut.select("source", "ord", F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), F.col("c.text").alias("text"))
     return rows.withColumn("chunk_id", chunk_id(F.col("source"), F.col("char_start"), F.col("char_end"), F.col("text")))
 
 

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from scriptorium.functions.text import single_sentence
 
@@ -79,23 +76,49 @@ def few_entities(spark: SparkSession, n_success: int, n_chunks: int, t: Threshol
     return spark.range(1 if n_success < t.few_entities and n_chunks < t.few_chunks else 0).select(row.alias("f")).select("f.*")
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def name_ratio(a: Column, b: Column) -> Column:
+    """2 * (length of the longest common subsequence) / (both lengths): symmetric, 1 for equal names, no Python.
+
+    One row of the usual table at a time: best[j] is the longest for the first i signs of a
+    and the first j of b.
+    """
+    left, right = F.split(a, ""), F.split(b, "")
+
+    def row(best: Column, x: Column) -> Column:
+        # the new row grows from left to right: its last entry, the old one above, and the old one above to the left
+        old = F.arrays_zip(right.alias("y"), F.slice(best, 1, F.size(right)).alias("diagonal"), F.slice(best, 2, F.size(right)).alias("above"))
+        return F.aggregate(old, F.array(F.lit(0)), lambda new, o: F.array_append(new, F.when(o["y"] == x, o["diagonal"] + 1).otherwise(F.greatest(F.element_at(new, -1), o["above"]))))
+
+    best = F.aggregate(left, F.array_repeat(F.lit(0), F.size(right) + 1), row)
+    return F.when(F.length(a) + F.length(b) > 0, F.lit(2.0) * F.element_at(best, -1) / (F.length(a) + F.length(b))).otherwise(1.0)
+
+
+def _signs(name: Column) -> Column:
+    """Each sign of a name with its number among its like: the multiset of signs as a set."""
+    return F.transform(F.split(name, ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.split(name, ""), F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
 
-def similar_names(manifest: DataFrame, t: Thresholds, ratio=_ratio) -> DataFrame:
-    """(a, b, ratio) of success entries with names alike, in the order of their keys.
+def similar_names(manifest: DataFrame, t: Thresholds) -> DataFrame:
+    """(a, b, ratio) of success entries with names alike, by their keys (LABEL__name), a < b; exact, at any number of entries.
 
-    At most `pairwise` entries are compared, so both sides are bounded; pairs whose lengths
-    cannot reach the ratio are never measured. The measure is not symmetric.
+    A ratio r over the sum of two lengths needs more than r / 2 times that sum of common signs.
+    So, in one fixed order of signs (rare ones first), two such names share one of the first
+    n - ceil(n * r / (2 - r)) + 1 signs of each: an equi-join, then the bounds by length and by
+    common signs, then the measure.
     """
-    ok = manifest.where("status = 'success'").select(F.concat_ws("__", "ner_label", "entity_name").alias("key"), F.col("entity_name").alias("name"))
-    if ok.count() > t.pairwise:
-        return ok.sparkSession.createDataFrame([], "a string, b string, ratio double")
-    one, two = (ok.select(F.col("key").alias(f"key_{x}"), F.col("name").alias(f"name_{x}"), F.length("name").alias(f"n_{x}")) for x in "ab")
-    fit = (F.col("key_a") < F.col("key_b")) & (2.0 * F.least("n_a", "n_b") > t.name_ratio * (F.col("n_a") + F.col("n_b")))
-    return one.join(two, fit).withColumn("ratio", ratio("name_a", "name_b")).where(F.col("ratio") > t.name_ratio).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "ratio")
+    r = t.name_ratio
+    ok = manifest.where("status = 'success'").select(F.concat_ws("__", "ner_label", "entity_name").alias("key"), F.col("entity_name").alias("name")).where("name <> ''")
+    each = ok.select("key", "name", F.length("name").alias("n"), F.explode(_signs(F.col("name"))).alias("sign"))
+    rare = each.groupBy("sign").agg(F.count("*").alias("times"))
+    lists = each.join(rare, "sign").groupBy("key", "name", "n").agg(F.array_sort(F.collect_list(F.struct("times", "sign"))).alias("signs"))
+    ordered = lists.select("key", "name", "n", F.transform("signs", lambda x: x["sign"]).alias("signs"))
+    # a name is at most as long as its partner divided by r / (2 - r), and shares at least this share of it
+    first = F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * (r / (2 - r)) - 1e-9) + 1).cast("int")
+    prefix = ordered.withColumn("sign", F.explode(F.slice("signs", F.lit(1), first)))
+    one, two = (prefix.select("sign", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "name", "n", "signs")]) for x in "ab")
+    met = one.join(two, "sign").where((F.col("key_a") < F.col("key_b")) & (2.0 * F.least("n_a", "n_b") > r * (F.col("n_a") + F.col("n_b"))))
+    fit = met.where(2.0 * F.size(F.array_intersect("signs_a", "signs_b")) > r * (F.col("n_a") + F.col("n_b"))).select("key_a", "key_b", "name_a", "name_b").distinct()
+    return fit.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), name_ratio(F.col("name_a"), F.col("name_b")).alias("ratio")).where(F.col("ratio") > r)
 
 
 def findings(chunks: DataFrame, weighted: DataFrame, manifest: DataFrame | None, t: Thresholds | None = None, *, has_pages: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Protocol
 
 import pandas as pd
@@ -71,21 +72,31 @@ class NoClient:
         raise AssertionError("summaries are switched off")
 
 
-def _missing(name: str) -> Callable[..., Client]:
+def _unsupported(name: str) -> Callable[..., Client]:
     def make(**_):
         raise Permanent(f"the back end {name!r} needs its own plug-in: register one in BACKENDS")
 
     return make
 
 
-#: Makers by name; hosted ones are plug-ins.
-BACKENDS: dict[str, Callable[..., Client]] = {"offline": FirstLines, "anthropic": _missing("anthropic"), "ollama": _missing("ollama"), "openai": _missing("openai")}
-
-
 def client(backend: str, **options) -> Client:
-    if backend not in BACKENDS:
+    """A client by the name of its back end."""
+    from . import clients
+
+    makers: dict[str, Callable[..., Client]] = {"offline": FirstLines, "anthropic": clients.Messages, "ollama": clients.Local, "openai": _unsupported("openai"), **BACKENDS}
+    if backend not in makers:
         raise Permanent(f"unknown back end {backend!r}")
-    return BACKENDS[backend](**options)
+    return makers[backend](**options)
+
+
+#: More makers by name, or others in the place of those above.
+BACKENDS: dict[str, Callable[..., Client]] = {}
+#: U8: calls at a time where none are asked for.
+PARALLELISM = {"anthropic": 5, "ollama": 3}
+
+
+def parallelism_of(backend: str, asked: int | None) -> int:
+    return asked if asked else PARALLELISM.get(backend, 1)
 
 
 def classify_status(status: int | None) -> type[ModelError]:
@@ -105,13 +116,15 @@ def preflight(model: Client, prompt: str = "Answer with one word: ok", max_token
 
 
 def with_retries(model: Client, prompt: str, max_tokens: int, *, sleep=time.sleep, rng: random.Random | None = None) -> Answer | None:
-    """Three attempts on retryable errors, none on permanent ones; None once they are used up."""
+    """Three attempts on retryable errors with 2, 4, ... and at most 30 seconds (and up to one more) between, one on permanent ones; None without an answer."""
     rng = rng or random.Random(42)
-    for attempt in range(ATTEMPTS):
+    for attempt in range(1, ATTEMPTS + 1):
         try:
             return model.generate(prompt, max_tokens)
+        except Permanent:
+            return None
         except Retryable:
-            if attempt + 1 < ATTEMPTS:
+            if attempt < ATTEMPTS:
                 sleep(min(2**attempt, 30) + rng.random())
     return None
 
@@ -119,12 +132,17 @@ def with_retries(model: Client, prompt: str, max_tokens: int, *, sleep=time.slee
 _RESULT = "name string, ner_label string, ok boolean, text string, input_tokens long, output_tokens long, finish_reason string"
 
 
-def summarize(tasks: DataFrame, model: Client, *, max_tokens: int = 512, parallelism: int = 1, on_wave: Callable[[list], None] | None = None, sleep=time.sleep) -> tuple[list, bool]:
+#: Completions between two checkpoints.
+CHECKPOINT = 5
+
+
+def summarize(tasks: DataFrame, model: Client, *, max_tokens: int = 400, parallelism: int = 1, on_checkpoint: Callable[[list], None] | None = None, on_wave: Callable[[int], None] | None = None, sleep=time.sleep) -> tuple[list, bool]:
     """Answers for tasks (name, ner_label, prompt) in their order: (rows, aborted).
 
-    Calls run on executors in waves of `parallelism`, one task a call; after each wave the
-    driver sees whether at least five calls were made and more than half failed. Tasks are
-    bounded by the budget. Permanent errors end the run.
+    Calls run on executors in waves of `parallelism`, one task a call; prompts come to the
+    driver a wave at a time. After each wave the driver sees whether at least five calls were
+    made and more than half failed; `on_checkpoint` gets all rows so far after every five
+    completions, `on_wave` the number of new ones.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,16 +154,15 @@ def summarize(tasks: DataFrame, model: Client, *, max_tokens: int = 512, paralle
                 out.append((r.name, r.ner_label, good, a.text if good else "", a.input_tokens if a else 0, a.output_tokens if a else 0, a.finish_reason if a else ""))
             yield pd.DataFrame(out, columns=["name", "ner_label", "ok", "text", "input_tokens", "output_tokens", "finish_reason"])
 
-    spark, waiting, done, failed = tasks.sparkSession, tasks.select("name", "ner_label", "prompt").collect(), [], 0
-    while waiting:
-        wave, waiting = waiting[:parallelism], waiting[parallelism:]
+    spark, waiting, done = tasks.sparkSession, tasks.select("name", "ner_label", "prompt").toLocalIterator(), []
+    while wave := list(islice(waiting, parallelism)):
         rows = spark.createDataFrame(wave, "name string, ner_label string, prompt string").repartition(len(wave)).mapInPandas(call, _RESULT).collect()
         place = {(r["name"], r["ner_label"]): i for i, r in enumerate(wave)}
-        rows.sort(key=lambda r: place[r["name"], r["ner_label"]])
-        done += rows
-        failed += sum(not r["ok"] for r in rows)
+        before, done = len(done), done + sorted(rows, key=lambda r: place[r["name"], r["ner_label"]])
         if on_wave:
-            on_wave(rows)
-        if len(done) >= ABORT_LEAST and failed > ABORT_SHARE * len(done):
+            on_wave(len(rows))
+        if on_checkpoint and len(done) // CHECKPOINT > before // CHECKPOINT:
+            on_checkpoint(done)
+        if len(done) >= ABORT_LEAST and sum(not r["ok"] for r in done) > ABORT_SHARE * len(done):
             return done, True
     return done, False

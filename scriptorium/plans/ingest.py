@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import json
-import shutil
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
-import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import normalize
+from scriptorium.functions.text import normalize, positive_int
 from scriptorium.operators import analysis, chunking, entities, lint, manifest, search, summaries, tfidf
-from scriptorium.sources import artifacts, corpus
+from scriptorium.progress import Progress
+from scriptorium.sources import artifacts, corpus, store
+from scriptorium.sources.store import join
 
 #: V5: how a run ended.
 OK, NO_INPUT, NO_CLIENT, MISMATCH, NO_CHUNKS, SUMMARIES_FAILED, BROKEN = 0, 2, 3, 4, 5, 6, 10
@@ -32,7 +32,11 @@ class IngestConfig:
     force: bool = False
     retry_failed: bool = False
     backend: str = "offline"
-    parallelism: int = 3
+    model: str | None = None
+    parallelism: int | None = None
+    analyzer_backend: str = "rules"
+    device: str = "cpu"
+    progress: Progress = field(default_factory=lambda: Progress(enabled=False))
 
 
 @dataclass
@@ -47,12 +51,32 @@ def _now() -> str:
 
 
 def _config(analyzer, cfg: IngestConfig) -> dict:
-    return artifacts.analyzer_config(analyzer.settings, {"min_df": 1, "max_df": 1.0, "sublinear_tf": True, "top_keywords": cfg.top_keywords}, {"pyspark": pyspark.__version__})
+    return artifacts.analyzer_config(analyzer.settings, {"min_df": 1, "max_df": 1.0, "sublinear_tf": True, "top_keywords": cfg.top_keywords}, analyzer.versions)
+
+
+#: Environment variables, the Spark settings they stand for, and their defaults.
+ENVIRONMENT = {"SCRIPTORIUM_BATCH_SIZE": ("spark.sql.execution.arrow.maxRecordsPerBatch", 32), "SCRIPTORIUM_N_PROCESS": ("spark.sql.shuffle.partitions", None)}
+
+
+def apply_environment(spark: SparkSession, analyzer_backend: str, env=os.environ) -> dict[str, str]:
+    """Overrides, at least 1; a bad value counts as none. Batches are small for models alone."""
+    done = {}
+    for name, (key, default) in ENVIRONMENT.items():
+        try:
+            value = positive_int(env[name])
+        except (KeyError, ValueError):
+            value = default if analyzer_backend != "rules" else None
+        if value:
+            spark.conf.set(key, value)
+            done[key] = str(value)
+    return done
 
 
 def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | None = None, *, analyzer=None, make_client: Callable[..., summaries.Client] = summaries.client) -> IngestResult:
     """A directory of texts to chunks, weights, entities and summaries; the output changes only if all went well."""
-    cfg, analyzer = cfg or IngestConfig(), analyzer or analysis.RuleAnalyzer()
+    cfg = cfg or IngestConfig()
+    apply_environment(spark, cfg.analyzer_backend)
+    progress = cfg.progress
     files = corpus.scan_directory(spark, input_dir).persist()
     n_files = files.count()
     if n_files == 0:
@@ -61,23 +85,26 @@ def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | No
     if cfg.force and retry:  # M7
         warnings, retry = ["retry-failed is ignored with force"], False
     try:
-        model = summaries.NoClient() if cfg.skip_summaries else make_client(cfg.backend)
+        model = summaries.NoClient() if cfg.skip_summaries else make_client(cfg.backend, **({"model": cfg.model} if cfg.model else {}))
     except summaries.ModelError as e:
         return IngestResult(NO_CLIENT, [*warnings, str(e)])
-    now = _config(analyzer, cfg)
-    if Path(out, "analyzer.json").exists():
-        try:
-            warnings += artifacts.verify_analyzer(json.loads(Path(out, "analyzer.json").read_text(encoding="utf-8")), now)
-        except (artifacts.AnalyzerMismatch, ValueError, KeyError) as e:
-            return IngestResult(MISMATCH, [*warnings, str(e)])
+    try:  # SC12: what a corpus was made with wins over the configuration
+        if store.exists(join(out, "analyzer.json")):
+            analyzer, told = artifacts.load_and_verify(out, analyzer)
+            warnings += told
+        else:
+            analyzer = analyzer or analysis.by_name(cfg.analyzer_backend, cfg.device)
+        now = _config(analyzer, cfg)
+    except (artifacts.AnalyzerMismatch, ValueError, KeyError, RuntimeError) as e:
+        return IngestResult(MISMATCH, [*warnings, str(e)])
     staging = f"{out}.staging"
-    shutil.rmtree(staging, ignore_errors=True)
     try:
         artifacts.carry_over(out, staging)
         skipped = [f"{r['source']}: {r['reason']}" for r in corpus.skipped(files).orderBy("source").collect()]
         docs = corpus.usable(files)
-        raw = chunking.with_row_index(chunking.chunk_documents(docs, cfg.spec), "source", "ord").persist()
-        n_chunks = raw.count()
+        with progress.phase("chunks", n_files - len(skipped)):
+            raw = chunking.with_row_index(chunking.chunk_documents(docs, cfg.spec), "source", "ord").persist()
+            n_chunks = raw.count()
         if n_chunks == 0:
             return IngestResult(NO_CHUNKS, [*warnings, *skipped, "no chunks"])
         warnings += skipped + [f"chunker/{r['kind']}: {r['detail']}" for r in chunking.chunk_warnings(docs, cfg.spec).orderBy("source", "char_offset").collect()]
@@ -90,13 +117,14 @@ def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | No
         keywords = tfidf.keyword_lists(tfidf.top_keywords(weighted, cfg.top_keywords), raw)
         chunks = entities.with_mentions(raw.join(keywords, "chunk_id"), mentions).select("chunk_id", "row_index", "source", "char_start", "char_end", "text", "top_keywords", "entities")
         artifacts.write_chunks(chunks, staging)
-        artifacts.write_index(weighted, vocab, now["tfidf"], staging)
-        artifacts.write_json(Path(staging, "analyzer.json"), now)
+        with progress.phase("weights"):
+            artifacts.write_index(weighted, vocab, now["tfidf"], staging, n_chunks)
+        artifacts.write_json(join(staging, "analyzer.json"), now)
         least = {"min_mentions": cfg.min_mentions, "min_chunks": cfg.min_chunks}
         found = entities.aggregate_entities(mentions, raw, **least).persist()
         counters = {"input_files": n_files, "skipped_files": len(skipped), "chunks": n_chunks, **{k: int(v) for k, v in entities.entity_stats(mentions, **least).first().asDict().items()}}
         if not cfg.skip_summaries:
-            told, aborted = _summarize(spark, found, raw, staging, cfg, retry, model)
+            told, aborted = _summarize(spark, found, raw, staging, cfg, retry, model, analyzer.version)
             counters |= told
             if aborted:
                 artifacts.keep_failed(staging, out)
@@ -104,39 +132,50 @@ def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | No
         artifacts.write_index_page(manifest.index_lines(artifacts.load_manifest(spark, staging)[0]), staging)
         artifacts.write_log(staging, counters, warnings, _now())
         artifacts.swap(staging, out)
-        artifacts.write_json(Path(out, "ingest_result.json"), {"exit_code": OK, "warnings": warnings, **counters})  # SK8, D20
+        artifacts.write_json(join(out, "ingest_result.json"), {"exit_code": OK, "warnings": warnings, **counters})  # SK8, D20
         return IngestResult(OK, warnings, counters)
     except summaries.Permanent as e:
         artifacts.keep_failed(staging, out)
         return IngestResult(SUMMARIES_FAILED, [*warnings, str(e)])
     except (tfidf.EmptyVocabulary, OSError) as e:
+        artifacts.keep_failed(staging, out)
         return IngestResult(BROKEN, [*warnings, str(e)])
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        store.remove(staging)
         spark.catalog.clearCache()
 
 
-def _summarize(spark, found: DataFrame, chunks: DataFrame, staging: str, cfg: IngestConfig, retry: bool, model) -> tuple[dict, bool]:
+def _summarize(spark, found: DataFrame, chunks: DataFrame, staging: str, cfg: IngestConfig, retry: bool, model, analyzer_version: str) -> tuple[dict, bool]:
     """Cache, budget, calls, manifest, pages. An empty run keeps the entries of the manifest (M6 wipes them by an oversight; see README)."""
     known, _ = artifacts.load_manifest(spark, staging)
-    versions = {"analyzer_hash": artifacts.config_hash(Path(staging, "analyzer.json")), "model_version": "rules@1", "llm": model.model_id}
-    at = _now()
+    llm, at = model.model_id, _now()
+    versions = {"analyzer_hash": artifacts.config_hash(staging), "model_version": analyzer_version, "llm": llm}
     planned = manifest.with_budget(manifest.decide(manifest.source_hashes(found, chunks, **versions), known, force=cfg.force, retry_failed=retry), cfg.max_calls).persist()
     actions = dict(planned.groupBy("action").count().collect())
     calls, rows, aborted = planned.where("action = 'call'"), [], False
     if sum(actions.values()):
         summaries.preflight(model)
+    over = manifest.as_entries(planned.where("action = 'budget_skipped'"), F.lit("budget_skipped"), F.coalesce("prior_hash", F.lit("")), F.lit("budget exhausted"), at)
+
+    def entries(rows: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What the calls made so far give: their entities, the manifest's rows, the answers."""
+        answers = spark.createDataFrame([(r["name"], r["ner_label"], r["ok"], r["text"]) for r in rows], "name string, ner_label string, ok boolean, text string")
+        done = calls.join(answers, entities.ENTITY)
+        ok = F.col("ok")
+        return done, manifest.as_entries(done, F.when(ok, "success").otherwise("failed"), F.col("source_hash"), F.when(ok, "").otherwise("retries exhausted"), at), answers
+
+    def save(rows: list) -> None:
+        """The manifest with what is known so far."""
+        artifacts.save_manifest(manifest.merge(known, entries(rows)[1].unionByName(over)), staging, model_version=versions["model_version"], llm=llm, at=at)
+
     if actions.get("call"):
         tasks = calls.join(manifest.prompts(calls, chunks), entities.ENTITY).orderBy(*entities.in_priority(calls))
-        rows, aborted = summaries.summarize(tasks, model, parallelism=cfg.parallelism)
-    answers = spark.createDataFrame([(r["name"], r["ner_label"], r["ok"], r["text"]) for r in rows], "name string, ner_label string, ok boolean, text string")
-    done = calls.join(answers, entities.ENTITY)
-    new = manifest.as_entries(done, F.when(F.col("ok"), "success").otherwise("failed"), F.col("source_hash"), F.when(F.col("ok"), "").otherwise("retries exhausted"), at)
-    over = manifest.as_entries(planned.where("action = 'budget_skipped'"), F.lit("budget_skipped"), F.coalesce("prior_hash", F.lit("")), F.lit("budget exhausted"), at)
-    merged = manifest.merge(known, new.unionByName(over)).persist()
-    artifacts.save_manifest(merged, staging, model_version=versions["model_version"], llm=model.model_id, at=at)
+        with cfg.progress.phase("summaries", actions["call"]) as step:
+            rows, aborted = summaries.summarize(tasks, model, parallelism=summaries.parallelism_of(cfg.backend, cfg.parallelism), on_checkpoint=save, on_wave=step)
+    done, new, answers = entries(rows)
+    save(rows)
     if not aborted:
-        artifacts.write_pages(new.where("status = 'success'"), answers.where("ok"), manifest.snippets(done, chunks), staging, model_version=versions["model_version"], llm=model.model_id)
+        artifacts.write_pages(new.where("status = 'success'"), answers.where("ok"), manifest.snippets(done, chunks), staging, model_version=versions["model_version"], llm=llm)
     return {"calls": len(rows), "succeeded": sum(r["ok"] for r in rows), "failed": sum(not r["ok"] for r in rows), "cached": actions.get("cached", 0), "budget_skipped": actions.get("budget_skipped", 0), "input_tokens": sum(r["input_tokens"] for r in rows), "output_tokens": sum(r["output_tokens"] for r in rows)}, aborted
 
 
@@ -149,15 +188,13 @@ class QueryResult:
 
 def query(spark: SparkSession, out: str, text: str, top_k: int = 5, *, analyzer=None) -> QueryResult:
     """The best chunks for a text; 2: artifacts are missing, 3: they are broken or of other settings, 4: nothing matches."""
-    analyzer = analyzer or analysis.RuleAnalyzer()
     if missing := artifacts.missing_artifacts(out):
         return QueryResult(2, message=f"missing: {', '.join(missing)}")
     try:
-        artifacts.verify_analyzer(json.loads(Path(out, "analyzer.json").read_text(encoding="utf-8")), _config(analyzer, IngestConfig()))
-        chunks, weighted, vocab = (spark.read.parquet(f"{out}/{x}") for x in ("chunks", "tfidf", "vocab"))
-        if chunks.limit(1).count() == 0:
-            return QueryResult(3, message="the corpus is empty")
-    except (artifacts.AnalyzerMismatch, ValueError, KeyError, pyspark.errors.AnalysisException) as e:
+        analyzer, _ = artifacts.load_and_verify(out, analyzer)
+        chunks = artifacts.verified_chunks(spark, out)
+        weighted, vocab = (spark.read.parquet(join(out, x)) for x in ("tfidf", "vocab"))
+    except (artifacts.AnalyzerMismatch, artifacts.CorruptChunks, artifacts.EmptyCorpus, artifacts.RowMismatch, ValueError, KeyError, AnalysisException) as e:
         return QueryResult(3, message=str(e))
     tokens = spark.range(1).select(analyzer.tokens(normalize(F.lit(text))).alias("t")).first()["t"]
     vector = search.query_vector(tokens or [], vocab)
@@ -174,23 +211,26 @@ def run_lint(spark: SparkSession, out: str, thresholds: lint.Thresholds | None =
     else:
         found = _lint(spark, out, thresholds or lint.Thresholds())
     found = found.persist()
-    if Path(out).is_dir():
+    if store.is_dir(out):
         artifacts.write_lint(found, out, as_json)
     return lint.exit_code(found), found
 
 
 def _lint(spark, out: str, t: lint.Thresholds) -> DataFrame:
+    """L2-L6 stop the run, in this order; then the rules."""
+    try:
+        artifacts.load_config(out)
+    except (ValueError, KeyError) as e:
+        return lint.fatal(spark, "schema", f"analyzer.json: {e}"[:200])
+    try:
+        weighted, _ = spark.read.parquet(join(out, "tfidf")).select("chunk_id", "term", "weight"), spark.read.parquet(join(out, "vocab")).select("term", "df", "idf")
+    except AnalysisException as e:
+        return lint.fatal(spark, "schema", f"the weights cannot be read: {e}"[:200])
     try:
-        config = json.loads(Path(out, "analyzer.json").read_text(encoding="utf-8"))
-        if not {"strict_match", "compat_match"} <= config.keys():
-            raise ValueError("analyzer.json lacks keys")
-        chunks, weighted = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/tfidf")
-    except (ValueError, pyspark.errors.AnalysisException) as e:
+        chunks = artifacts.verified_chunks(spark, out)
+    except artifacts.EmptyCorpus as e:
+        return lint.fatal(spark, "empty_corpus", str(e))
+    except (artifacts.CorruptChunks, artifacts.RowMismatch, ValueError, KeyError, AnalysisException) as e:
         return lint.fatal(spark, "schema", str(e)[:200])
-    if chunks.limit(1).count() == 0:
-        return lint.fatal(spark, "empty_corpus", "there are no chunks")
-    if weighted.select("chunk_id").distinct().join(chunks, "chunk_id", "left_anti").limit(1).count():
-        return lint.fatal(spark, "schema", "weights and chunks do not belong together")
-    pages = Path(out, "entities").is_dir()
-    known = artifacts.load_manifest(spark, out)[0] if Path(out, "entities", "manifest.json").exists() else None
-    return lint.findings(chunks, weighted, known, t, has_pages=pages)
+    known = artifacts.load_manifest(spark, out)[0] if store.exists(join(out, "entities", "manifest.json")) else None
+    return lint.findings(chunks, weighted, known, t, has_pages=store.is_dir(join(out, "entities")))

@@ -85,6 +85,26 @@ known AS (
 decided AS (SELECT h.*, k.status, coalesce(k.old = h.source_hash, false) AS same FROM hashes h LEFT JOIN known k USING (name, ner_label))"""
 
 
+_PAIRS = """
+shared AS (SELECT term FROM vocab WHERE df BETWEEN 2 AND 60), near AS (
+            SELECT DISTINCT x.chunk_id AS a, y.chunk_id AS b FROM (SELECT w.chunk_id, w.term FROM weights w JOIN shared USING (term)) x JOIN (SELECT w.chunk_id, w.term FROM weights w JOIN shared USING (term)) y ON x.term = y.term AND x.chunk_id < y.chunk_id
+            UNION SELECT a.chunk_id, b.chunk_id FROM (SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM weights JOIN shared USING (term))) a, (SELECT chunk_id FROM chunks) b WHERE a.chunk_id < b.chunk_id
+            UNION SELECT b.chunk_id, a.chunk_id FROM (SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM weights JOIN shared USING (term))) a, (SELECT chunk_id FROM chunks) b WHERE b.chunk_id < a.chunk_id
+            UNION SELECT x.chunk_id, y.chunk_id FROM weights x JOIN weights y ON x.term = y.term AND x.chunk_id < y.chunk_id AND x.weight > 0.2 AND y.weight > 0.1),
+near_pairs AS (SELECT a, b, round(sum(x.weight * y.weight), 4) AS cosine FROM near JOIN weights x ON x.chunk_id = a JOIN weights y ON y.chunk_id = b AND y.term = x.term GROUP BY a, b HAVING sum(x.weight * y.weight) > 0.95)"""
+
+_SUCCEEDED = "(SELECT * FROM known WHERE status = 'success')"
+_NAMES = """
+listed AS (SELECT ner_label || '__' || name AS key, name, string_split(name, '') AS signs FROM {which} x),
+named AS (SELECT x.key AS a, y.key AS b, x.signs AS p, y.signs AS q FROM listed x JOIN listed y ON x.key < y.key AND 2.0 * least(len(x.signs), len(y.signs)) > {least} * (len(x.signs) + len(y.signs))),
+table_of AS (
+    SELECT a, b, p, q, 0 AS i, list_transform(range(len(q) + 1), lambda x: 0) AS best FROM named
+    UNION ALL
+    SELECT a, b, p, q, i + 1, list_reduce(range(1, len(q) + 1), lambda new, j: list_append(new, CASE WHEN p[i + 1] = q[j] THEN best[j] + 1 ELSE greatest(new[-1], best[j + 1]) END), [0]) FROM table_of WHERE i < len(p)
+),
+alike AS (SELECT a, b, 2.0 * best[-1] / (len(p) + len(q)) AS ratio FROM table_of WHERE i = len(p) AND 2.0 * best[-1] / (len(p) + len(q)) > {least})"""
+
+
 def _with(ctes: str, query: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{query}"
 
@@ -147,7 +167,7 @@ ORACLES = {
     "systemic_abort": """
         SELECT n, attempted, failures FROM (
             SELECT doc_id AS n, count(*) OVER w AS attempted, CAST(sum(CASE WHEN n_chars % 2 = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures
-            FROM documents WHERE doc_id < 1000 WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+            FROM documents WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
         WHERE attempted >= 5 AND failures > 0.5 * attempted ORDER BY n LIMIT 1""",
     "prompt_build": _with(_MENTIONS, f"""
         , placed_ids AS (SELECT name, ner_label, source, text, row_number() OVER (PARTITION BY name, ner_label ORDER BY row_index) AS r FROM entities JOIN counted USING (name, ner_label) JOIN ordered USING (chunk_id)),
@@ -156,7 +176,7 @@ ORACLES = {
     "page_snippets": _with(_MENTIONS, """
         SELECT name, ner_label, CAST(row_number() OVER (PARTITION BY name, ner_label ORDER BY row_index) - 1 AS INTEGER) AS pos, chunk_id, source, replace(substr(text, 1, 80), chr(10), ' ') AS excerpt
         FROM entities JOIN counted USING (name, ner_label) JOIN ordered USING (chunk_id)"""),
-    "entity_index": _with(_HASHES, "SELECT ner_label, string_agg('- ' || name || ' (' || mention_count || ' mentions, ' || chunk_count || ' chunks)', chr(10) ORDER BY name) AS lines FROM known WHERE status = 'success' GROUP BY ner_label"),
+    "entity_index": _with(_HASHES, "SELECT ner_label, string_agg('- [' || name || '](entities/' || ner_label || '__' || name || '_' || substr(sha256(ner_label || chr(0) || name), 1, 6) || '.md) (mentions: ' || mention_count || ', chunks: ' || chunk_count || ')', chr(10) ORDER BY name) AS lines FROM known WHERE status = 'success' GROUP BY ner_label"),
     "lint_length": _with(_CHUNKS, """
         SELECT 'warning' AS severity, CASE WHEN length(text) = 0 THEN 'empty_chunk' WHEN length(text) > 1500 THEN 'over_max_chunk' ELSE 'over_2x_target' END AS category,
                chunk_id || CASE WHEN length(text) = 0 THEN ' is empty' WHEN length(text) > 1500 THEN ' is over the limit' ELSE ' is over twice the target' END AS message, CASE WHEN length(text) = 0 THEN '' ELSE length(text) || ' chars' END AS detail
@@ -165,14 +185,44 @@ ORACLES = {
     "lint_degenerate": _with(_TFIDF, """
         SELECT 'warning' AS severity, 'degenerate_vector' AS category, chunk_id || ' has a degenerate vector' AS message, n || ' terms' AS detail
         FROM (SELECT chunk_id, count(term) AS n, coalesce(sqrt(sum(weight * weight)), 0) AS norm FROM chunks LEFT JOIN weights USING (chunk_id) GROUP BY chunk_id) WHERE n < 3 OR norm < 1e-6"""),
-    "lint_duplicates": _with(_TFIDF, """
-        , shared AS (SELECT term FROM vocab WHERE df BETWEEN 2 AND 60), near AS (
-            SELECT DISTINCT x.chunk_id AS a, y.chunk_id AS b FROM (SELECT w.chunk_id, w.term FROM weights w JOIN shared USING (term)) x JOIN (SELECT w.chunk_id, w.term FROM weights w JOIN shared USING (term)) y ON x.term = y.term AND x.chunk_id < y.chunk_id
-            UNION SELECT a.chunk_id, b.chunk_id FROM (SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM weights JOIN shared USING (term))) a, (SELECT chunk_id FROM chunks) b WHERE a.chunk_id < b.chunk_id
-            UNION SELECT b.chunk_id, a.chunk_id FROM (SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM weights JOIN shared USING (term))) a, (SELECT chunk_id FROM chunks) b WHERE b.chunk_id < a.chunk_id
-            UNION SELECT x.chunk_id, y.chunk_id FROM weights x JOIN weights y ON x.term = y.term AND x.chunk_id < y.chunk_id AND x.weight > 0.2 AND y.weight > 0.1)
-        SELECT a, b, round(sum(x.weight * y.weight), 4) AS cosine FROM near JOIN weights x ON x.chunk_id = a JOIN weights y ON y.chunk_id = b AND y.term = x.term GROUP BY a, b HAVING sum(x.weight * y.weight) > 0.95"""),
+    "lint_duplicates": _with(f"{_TFIDF},\n{_PAIRS}", "SELECT a, b, cosine FROM near_pairs"),
     "lint_orphans": _with(_HASHES, """
-        SELECT 'warning' AS severity, 'orphan_wiki' AS category, ner_label || '__' || name || ' has no chunk in the corpus' AS message, '' AS detail FROM known k WHERE status = 'success'
-        AND NOT EXISTS (SELECT 1 FROM counted c JOIN chunks USING (chunk_id) WHERE c.name = k.name AND c.ner_label = k.ner_label AND source < '5')"""),
+        SELECT 'warning' AS severity, 'orphan_wiki' AS category, ner_label || '__Lost ' || name || ' has no chunk in the corpus' AS message, '' AS detail FROM known WHERE status = 'success'"""),
+    "lint_similar_names": _with(f"{_MENTIONS},\n{_NAMES.format(which='entities', least=0.7)}", "SELECT a, b, round(ratio, 4) AS ratio FROM alike"),
+    "lint_summary": _with(f"{_TFIDF},\n{_HASHES.split(_CHUNKS + ',', 1)[1].lstrip()},\n{_NAMES.format(which=_SUCCEEDED, least=0.85)},\n{_PAIRS}", """
+        , found AS (
+            SELECT 'warning' AS severity, CASE WHEN length(text) = 0 THEN 'empty_chunk' WHEN length(text) > 1500 THEN 'over_max_chunk' ELSE 'over_2x_target' END AS category FROM chunks WHERE length(text) = 0 OR length(text) > 1000
+            UNION ALL SELECT 'info', 'single_sentence' FROM chunks WHERE length(text) > 0 AND length(text) - length(replace(text, '.', '')) <= 1
+            UNION ALL SELECT 'warning', 'degenerate_vector' FROM (SELECT chunk_id, count(term) AS n FROM chunks LEFT JOIN weights USING (chunk_id) GROUP BY chunk_id) WHERE n < 3
+            UNION ALL SELECT 'warning', 'duplicate' FROM near_pairs
+            UNION ALL SELECT 'warning', 'wiki_disabled' WHERE (SELECT count(*) FROM known WHERE status = 'success') < 3 AND (SELECT count(*) FROM chunks) < 20
+            UNION ALL SELECT 'info', 'similar_entity' FROM alike)
+        SELECT severity, category, count(*) AS n, CASE WHEN (SELECT count(*) FROM found WHERE severity = 'warning') > 0 THEN 1 ELSE 0 END AS exit_code FROM found GROUP BY severity, category"""),
+    "lint_switches": _with(_CHUNKS, """
+        SELECT 'info' AS severity, 'pairwise_skipped' AS category, 'pairwise checks are skipped' AS message, count(*) || ' chunks > 100' AS detail FROM chunks
+        UNION ALL SELECT 'warning', 'wiki_disabled', 'too few entities and chunks for summaries', '0 entities, ' || count(*) || ' chunks' FROM chunks"""),
+    "text_functions": r"""
+        SELECT doc_id, source || '/' || doc_id || '.txt' AS source, (doc_id % 7) || '.' || (doc_id % 11) AS short, ['stop', 'stop', 'max_tokens', 'end_turn', 'refusal'][CAST(doc_id % 5 + 1 AS INTEGER)] AS finish,
+               sha256(regexp_replace(replace(t, '.', chr(10) || '---' || chr(10)), '(?m)^---$', '\\---', 'g')) AS fenced, replace(substr(t, 1, 80), chr(10), ' ') AS excerpt, length(t) - length(replace(t, '.', '')) <= 1 AS single
+        FROM (SELECT *, coalesce(text, '') AS t FROM documents)""",
+    "stub_tokens": _with(_DOCS, r"""
+        , words AS (SELECT source, list_filter(list_transform(string_split_regex(text, '[。\n ]'), lambda w: translate(w, '、.,', '')), lambda w: length(w) >= 2) AS l FROM docs),
+        kept AS (SELECT source, len(l) AS n, list_filter(list_transform(list_filter(l, lambda w: length(w) % 3 <> 2), lambda w: trim(lower(w))), lambda w: w NOT IN ('', 'the', 'and')) AS k FROM words)
+        SELECT source, n AS n_tokens, len(k) AS n_kept, sha256(array_to_string(k, ' ')) AS sha FROM kept"""),
+    "skipped_files": f"""
+        SELECT CAST(doc_id AS VARCHAR) AS source, CASE WHEN doc_id % 7 = 0 OR text IS NULL AND doc_id % 5 <> 0 THEN 'not UTF-8' ELSE 'empty' END AS reason
+        FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR text IS NULL OR trim(text, {_WS}) = ''""",
+    "segment_bytes": _with(_DOCS, """
+        , cuts AS (
+            SELECT source, CAST(0 AS BIGINT) AS char_offset, CAST('' AS VARCHAR) AS segment, text AS rest FROM docs
+            UNION ALL
+            SELECT source, char_offset + length(segment), substr(rest, 1, size), substr(rest, size + 1) FROM (
+                SELECT source, char_offset, segment, rest, CASE
+                    WHEN strlen(rest) <= 4000 THEN length(rest)
+                    WHEN position(chr(10) || chr(10) IN w) > 0 THEN length(w) - position(chr(10) || chr(10) IN reverse(w)) + 1
+                    WHEN position('.' IN w) > 0 THEN length(w) - position('.' IN reverse(w)) + 1
+                    WHEN position(chr(10) IN w) > 0 THEN length(w) - position(chr(10) IN reverse(w)) + 1 ELSE length(w) END AS size
+                FROM (SELECT *, substr(rest, 1, CAST(list_max(list_filter(range(4000 - (strlen(substr(rest, 1, 4000)) - length(substr(rest, 1, 4000))) - 1, 4001), lambda k: strlen(substr(rest, 1, k)) <= 4000)) AS BIGINT)) AS w FROM cuts WHERE rest <> ''))
+        )
+        SELECT source, CAST(char_offset AS INTEGER) AS char_offset, CAST(strlen(segment) AS INTEGER) AS n_bytes, sha256(segment) AS sha FROM cuts WHERE segment <> ''"""),
 }

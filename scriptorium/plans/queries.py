@@ -28,7 +28,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weighted(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    counts = tfidf.term_counts(chunks, ANALYZER.tokens(F.col("text")))
+    counts = tfidf.term_counts(chunks, ANALYZER.tokens(F.col("text"))).persist()
     vocab = tfidf.vocabulary(counts, chunks.count())
     return tfidf.weights(counts, vocab), vocab
 
@@ -234,30 +234,76 @@ def lint_degenerate(spark, sf_dir):
 
 def lint_duplicates(spark, sf_dir):
     """Pairs with a cosine over 0.95."""
-    pairs = search.similar_pairs(_weighted(_chunks(spark, sf_dir))[0], 0.95)
+    pairs = search.similar_pairs(_weighted(_chunks(spark, sf_dir))[0].persist(), 0.95)
     return pairs.select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
 def lint_orphans(spark, sf_dir):
-    """The manifest is held against the chunks of the first half of the sources."""
+    """The manifest with some entries more, whose chunks are gone, is held against all chunks."""
     chunks, _, known = _planned(spark, sf_dir)
-    return lint.orphans(known, chunks.where(F.col("source") < "5")).select("severity", "category", "message", "detail")
+    gone = known.withColumn("entity_name", F.concat(F.lit("Lost "), "entity_name")).withColumn("chunk_ids", F.transform("chunk_ids", lambda x: F.concat(F.lit("lost-"), x)))
+    return lint.orphans(known.unionByName(gone), chunks).select("severity", "category", "message", "detail")
+
+
+def _all_known(spark, sf_dir):
+    """Every accepted entity as a summary that succeeded."""
+    found = _entities(_chunks(spark, sf_dir))
+    return manifest.as_entries(found, F.lit("success"), F.lit(""), F.lit(""), "2026-01-01T00:00:00+00:00")
 
 
 def lint_similar_names(spark, sf_dir):
-    """L16, J6."""
-    return lint.similar_names(_planned(spark, sf_dir)[2], CHECKS)
+    """Pairs of accepted entities whose names have a ratio over 0.7."""
+    rows = lint.similar_names(_all_known(spark, sf_dir), lint.Thresholds(name_ratio=0.7))
+    return rows.select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
 def lint_summary(spark, sf_dir):
-    """Findings by severity and category."""
+    """All rules over all chunks and entries: findings by severity and category, and the exit code they lead to."""
     chunks, _, known = _planned(spark, sf_dir)
-    found = lint.findings(chunks, _weighted(chunks)[0], known, lint.Thresholds(pairwise=100, terminator="."), has_pages=False)
-    return found.groupBy("severity", "category").agg(F.count("*").alias("n"))
+    found = lint.findings(chunks, _weighted(chunks)[0].persist(), known, CHECKS).persist()
+    counts = lint.severity_counts(found)
+    code = F.when(F.col("fatal") > 0, 2).when(F.col("warning") > 0, 1).otherwise(0)
+    return found.groupBy("severity", "category").agg(F.count("*").alias("n")).crossJoin(F.broadcast(counts.select(code.alias("exit_code"))))
+
+
+def lint_switches(spark, sf_dir):
+    """What is told where a check is switched off or there is too little to summarise: more chunks than a threshold of 100, and no entity at all."""
+    chunks = _chunks(spark, sf_dir)
+    n = chunks.count()
+    few = lint.few_entities(spark, 0, n, lint.Thresholds(few_chunks=10**9))
+    return lint.duplicates(_weighted(chunks)[0], n, lint.Thresholds(pairwise=100)).unionByName(few).select("severity", "category", "message", "detail")
+
+
+def text_functions(spark, sf_dir):
+    """P15, P16, P21, P22, P24, SC4, F12's share: the small text functions over every document."""
+    docs, text = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("file:///data/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    version = F.concat_ws(".", (F.col("doc_id") % 7).cast("string"), (F.col("doc_id") % 11).cast("string"), F.col("doc_id").cast("string"))
+    reason = F.element_at(F.array(*map(F.lit, ("stop", "stop_sequence", "length", "", "refusal"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return docs.select(
+        "doc_id", T.relative_source(path, "/data/in").alias("source"), T.major_minor(version).alias("short"), T.finish_reason(reason).alias("finish"),
+        F.sha2(T.fence(F.replace(text, F.lit("."), F.lit("\n---\n"))).cast("binary"), 256).alias("fenced"), T.excerpt(text).alias("excerpt"), T.single_sentence(text, ".").alias("single"),
+    )
+
+
+def stub_tokens(spark, sf_dir):
+    """The tokens of the plain contract (split at stops, line feeds and blanks, without `、.,`, two signs at least), then those that carry meaning."""
+    words = F.filter(F.transform(F.split("text", "[。\n ]"), lambda w: F.translate(w, "、.,", "")), lambda w: F.length(w) >= 2)
+    tagged = F.transform(words, lambda w: F.struct(F.when(F.length(w) % 3 == 0, "NOUN").when(F.length(w) % 3 == 1, "VERB").otherwise("ADP").alias("pos"), F.lower(w).alias("lemma")))
+    kept = analysis.keep_tokens(tagged, ("the", "and"))
+    return _docs(spark, sf_dir).select("source", F.size(words).cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_kept"), F.sha2(F.array_join(kept, " ").cast("binary"), 256).alias("sha"))
+
+
+def skipped_files(spark, sf_dir):
+    """SC2, SC3, A13, S6: documents that are left out, and why: those with ids divisible by 7 count as not decoded, those divisible by 5 as blank."""
+    rows = corpus.scan_documents(spark, f"{sf_dir}/documents.parquet")
+    number = F.col("source").cast("long")
+    made = rows.select("source", F.when(number % 7 == 0, F.lit(None)).when(number % 5 == 0, F.lit(" \n\t ")).otherwise(F.col("text")).alias("text"))
+    return corpus.skipped(made)
 
 
 QUERIES = {f.__name__: f for f in (
     normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, top_keywords, query_topk,
     token_slice, entity_slice, bio_spans, entity_attach, entity_aggregate, entity_stats, entity_filenames, source_hash, cache_decision, budget_plan, manifest_merge, systemic_abort,
-    prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary,
+    prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary, lint_switches, text_functions, stub_tokens, skipped_files,
 )}

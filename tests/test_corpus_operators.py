@@ -1,6 +1,7 @@
 """Weights, search, entities, manifest and lint on small fixtures."""
 
 import hashlib
+import random
 from math import log, sqrt
 
 import pytest
@@ -174,7 +175,7 @@ def test_waves(spark):
 
 def test_calls():
     slept = []
-    assert summaries.with_retries(Scripted(["x"]), "x", 5, sleep=slept.append) is None and len(slept) == 2 and 1 <= slept[0] < 2 <= slept[1] < 3
+    assert summaries.with_retries(Scripted(["x"]), "x", 5, sleep=slept.append) is None and len(slept) == 2 and 2 <= slept[0] < 3 and 4 <= slept[1] < 5
     assert summaries.preflight(summaries.FirstLines()).output_tokens > 0
     with pytest.raises(summaries.PreflightFailed):
         summaries.preflight(Scripted(["word"]))
@@ -191,9 +192,40 @@ def test_lint_rules(spark):
 
 def test_lint_names_and_exit(spark):
     known = spark.createDataFrame([("株式会社光学研究所", "ORG", "success", ["c0"]), ("株式会社光学研究", "ORG", "success", ["zz"]), ("別", "ORG", "failed", ["zz"])], "entity_name string, ner_label string, status string, chunk_ids array<string>")
-    assert lint.similar_names(known, lint.Thresholds()).count() == 1 and lint.similar_names(known, lint.Thresholds(pairwise=1)).count() == 0
+    assert [tuple(r) for r in lint.similar_names(known, lint.Thresholds()).collect()] == [("ORG__株式会社光学研究", "ORG__株式会社光学研究所", 16 / 17)]
     chunks = spark.createDataFrame([("c0", "一。二。三。")], "chunk_id string, text string")
     weighted = spark.createDataFrame([("c0", t, 0.5) for t in "abcd"], "chunk_id string, term string, weight double")
     found = lint.findings(chunks, weighted, known).collect()
     assert sorted(r["category"] for r in found) == ["orphan_wiki", "similar_entity", "wiki_disabled"]
     assert lint.exit_code(lint.fatal(spark, "schema", "x")) == 2 and lint.exit_code(lint.findings(chunks, weighted, known)) == 1
+
+
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(best[j] + 1 if x == y else max(new[-1], best[j + 1]))
+        best = new
+    return best[-1]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.85])
+def test_similar_names_are_exact(spark, least):
+    """The blocks by rare signs lose no pair, whatever the ratio; labels are part of the key, names alone are measured."""
+    r = random.Random(4)
+    names = ["".join(r.choices("abcde光学", k=r.randrange(1, 9))) for _ in range(150)]
+    rows = sorted({(n, r.choice(["ORG", "LOC"]), "success") for n in names} | {("abc", "ORG", "success"), ("abc", "LOC", "success"), ("abcd", "LOC", "failed")})
+    known = spark.createDataFrame(rows, "entity_name string, ner_label string, status string")
+    ok = [(f"{label}__{n}", n) for n, label, status in rows if status == "success"]
+    want = {(i, j, round(2 * longest_common(a, b) / (len(a) + len(b)), 9)) for i, a in ok for j, b in ok if i < j and 2 * longest_common(a, b) / (len(a) + len(b)) > least}
+    got = lint.similar_names(known, lint.Thresholds(name_ratio=least)).collect()
+    assert {(x["a"], x["b"], round(x["ratio"], 9)) for x in got} == want and len(got) == len(want) > 10
+
+
+def test_copies_are_held_by_their_class(spark):
+    """Pairs of copies, and of copies with near rows, are all told."""
+    rows = [(f"c{i}", t, 1, w) for i in range(6) for t, w in (("x", 0.8), ("y", 0.6))] + [("d", "x", 1, 0.78), ("d", "y", 1, (1 - 0.78**2) ** 0.5), ("e", "z", 1, 1.0)]
+    found = search.similar_pairs(spark.createDataFrame(rows, "chunk_id string, term string, tf int, weight double"), 0.95).collect()
+    keys = [f"c{i}" for i in range(6)] + ["d"]
+    assert sorted((r["a"], r["b"]) for r in found) == [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :]]

@@ -1,13 +1,15 @@
 """Ingest, query and lint end to end, and the command line."""
 
+import io
 import json
 
 import pytest
 
 from scriptorium import cli
-from scriptorium.operators import chunking, summaries
+from scriptorium.operators import analysis, chunking, summaries
 from scriptorium.plans import ingest
-from scriptorium.sources import artifacts
+from scriptorium.progress import Progress
+from scriptorium.sources import artifacts, store
 
 CFG = ingest.IngestConfig(spec=chunking.ChunkSpec(60, 20, 200, terminators=".\n"), min_mentions=2, min_chunks=1)
 
@@ -28,11 +30,11 @@ def test_end_to_end(spark, corpus, capsys):
     result = ingest.ingest(spark, str(corpus / "in"), out, CFG)
     assert result.exit_code == ingest.OK, result
     assert result.counters["input_files"] == 6 and result.counters["skipped_files"] == 2 and result.counters["succeeded"] > 0
-    assert not artifacts.missing_artifacts(out) and (corpus / "out" / "index.md").read_text().count("Lindqvist") == 1
+    assert not artifacts.missing_artifacts(out) and (corpus / "out" / "index.md").read_text().count("[Lindqvist](entities/LOC__Lindqvist_") == 1
     rows = artifacts.read_chunks_jsonl(spark, f"{out}/chunks.jsonl").orderBy("row_index").collect()
     assert [r["row_index"] for r in rows] == list(range(result.counters["chunks"])) and rows[0]["source"] == "0.txt"
     pages = list((corpus / "out" / "entities").glob("*.md"))
-    assert len(pages) == result.counters["succeeded"] and "summary:begin" in pages[0].read_text()
+    assert len(pages) == result.counters["succeeded"] and "<!-- summary-begin -->" in pages[0].read_text()
     # a second run finds everything cached
     again = ingest.ingest(spark, str(corpus / "in"), out, CFG)
     assert again.exit_code == ingest.OK and again.counters["calls"] == 0 and again.counters["cached"] == result.counters["succeeded"]
@@ -55,7 +57,7 @@ def test_failures(spark, corpus, monkeypatch):
         def generate(self, prompt, max_tokens):
             raise summaries.Permanent("no credentials")
 
-    assert ingest.ingest(spark, str(corpus / "in"), out, CFG, make_client=lambda _: Down()).exit_code == ingest.SUMMARIES_FAILED
+    assert ingest.ingest(spark, str(corpus / "in"), out, CFG, make_client=lambda *_, **__: Down()).exit_code == ingest.SUMMARIES_FAILED
     assert not (corpus / "out").exists() and not (corpus / "out.staging").exists()
     code, found = ingest.run_lint(spark, out)
     assert code == 2 and found.first()["category"] == "missing_artifact"
@@ -81,3 +83,117 @@ def test_swap_restores(tmp_path):
     with pytest.raises(OSError):
         artifacts.swap(str(tmp_path / "missing"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "old").exists()
+
+
+def test_corrupt_artifacts(spark, corpus):
+    """SC5, L3-L6, V4: what lint and query tell of broken chunk lines, missing rows, no rows, settings that are no JSON."""
+    out = corpus / "out"
+    assert ingest.ingest(spark, str(corpus / "in"), str(out), CFG).exit_code == ingest.OK
+    part = next((out / "chunks.jsonl").glob("part-*"))
+    lines = [p.read_text(encoding="utf-8") for p in sorted((out / "chunks.jsonl").glob("part-*"))]
+
+    def told(change):
+        for p, text in zip(sorted((out / "chunks.jsonl").glob("part-*")), lines, strict=True):
+            p.write_text(text, encoding="utf-8")
+        for p in (out / "chunks.jsonl").glob(".*.crc"):
+            p.unlink()
+        change()
+        code, found = ingest.run_lint(spark, str(out))
+        return code, found.first()["category"], found.first()["message"], ingest.query(spark, str(out), "light").exit_code
+
+    first = part.read_text(encoding="utf-8")
+    code, category, message, status = told(lambda: part.write_text(first.replace("\n", "\n\n{broken\n", 1), encoding="utf-8"))
+    assert (code, category, status) == (2, "schema", 3) and "corrupt line 3" in message
+    code, category, message, status = told(lambda: part.write_text("".join(first.splitlines(keepends=True)[1:]), encoding="utf-8"))
+    assert (code, category, status) == (2, "schema", 3) and "rows" in message
+    code, category, _, status = told(lambda: [p.write_text("\n") for p in (out / "chunks.jsonl").glob("part-*")])
+    assert (code, category, status) == (2, "empty_corpus", 3)
+    assert told(lambda: None)[3] == 0
+    (out / "analyzer.json").write_text("{")
+    assert ingest.query(spark, str(out), "light").exit_code == 3 and ingest.run_lint(spark, str(out))[1].first()["category"] == "schema"
+
+
+def test_saved_settings_make_the_analyzer(spark, corpus):
+    """SC12: a corpus of another analyzer is queried and ingested again by that one, whatever the flags say."""
+    out, own = str(corpus / "out"), analysis.RuleAnalyzer(word=r"\p{L}{5,}")
+    assert ingest.ingest(spark, str(corpus / "in"), out, CFG, analyzer=own).exit_code == ingest.OK
+    assert ingest.query(spark, out, "of by a").exit_code == 4 and ingest.query(spark, out, "Optics group").exit_code == 0
+    again = ingest.ingest(spark, str(corpus / "in"), out, CFG)
+    assert again.exit_code == ingest.OK and again.counters["calls"] == 0
+    assert ingest.ingest(spark, str(corpus / "in"), out, CFG, analyzer=analysis.RuleAnalyzer()).exit_code == ingest.MISMATCH
+
+
+def test_failed_entities_do_not_stop_a_run(spark, corpus):
+    """A permanent error fails its entity; a crash leaves the manifest of the last checkpoint."""
+    out = str(corpus / "out")
+    wrong = lambda *_, **__: Picky("Gothenburg")
+    result = ingest.ingest(spark, str(corpus / "in"), out, CFG, make_client=wrong)
+    assert result.exit_code == ingest.OK and result.counters["failed"] == 1 and result.counters["succeeded"] > 1
+    entries = json.loads((corpus / "out" / "entities" / "manifest.json").read_text())["entries"]
+    assert [k for k, e in entries.items() if e["status"] == "failed"] == ["LOC__Gothenburg"]
+    assert not list((corpus / "out" / "entities").glob("*Gothenburg*.md"))
+
+
+class Picky:
+    model_id = "picky"
+
+    def __init__(self, bad):
+        self.bad = bad
+
+    def generate(self, prompt, max_tokens):
+        if self.bad in prompt.split("\n")[0]:
+            raise summaries.Permanent("refused")
+        return summaries.Answer("fine.", 1, 1, "picky")
+
+
+def test_checkpoints(spark, tmp_path):
+    tasks = spark.createDataFrame([(f"n{i:02d}", "ORG", "p") for i in range(12)], "name string, ner_label string, prompt string").coalesce(1)
+    seen, steps = [], []
+    rows, aborted = summaries.summarize(tasks, Picky("none"), parallelism=4, on_checkpoint=lambda r: seen.append(len(r)), on_wave=steps.append)
+    assert seen == [8, 12] and steps == [4, 4, 4] and not aborted and [r["name"] for r in rows] == [f"n{i:02d}" for i in range(12)]
+    # a run that was killed leaves its staging directory: its manifest goes into the next run
+    (tmp_path / "out" / "entities").mkdir(parents=True)
+    (tmp_path / "out" / "entities" / "manifest.json").write_text("old")
+    (tmp_path / "out.staging" / "entities").mkdir(parents=True)
+    (tmp_path / "out.staging" / "entities" / "manifest.json").write_text("new")
+    artifacts.carry_over(str(tmp_path / "out"), str(tmp_path / "out.staging"))
+    assert (tmp_path / "out.staging" / "entities" / "manifest.json").read_text() == "new"
+
+
+def test_environment(spark):
+    """X4."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        assert ingest.apply_environment(spark, "rules", {}) == {}
+        assert ingest.apply_environment(spark, "electra", {"SCRIPTORIUM_BATCH_SIZE": "no"}) == {"spark.sql.execution.arrow.maxRecordsPerBatch": "32"}
+        assert ingest.apply_environment(spark, "rules", {"SCRIPTORIUM_BATCH_SIZE": "7", "SCRIPTORIUM_N_PROCESS": "0"}) == {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_progress():
+    clock = iter(range(100))
+    out = io.StringIO()
+    with Progress(stream=out, clock=lambda: next(clock)).phase("chunks", 4) as step:
+        step(1)
+        step(3)
+    assert out.getvalue().splitlines() == ["chunks ...", "chunks: 1/4 (1.0/s, 3 s left)", "chunks: 4/4 (2.0/s, 0 s left)", "chunks: 4/4 in 3.0 s"]
+    quiet = io.StringIO()
+    with Progress(enabled=False, stream=quiet).phase("x") as step:
+        step()
+    assert quiet.getvalue() == ""
+
+
+def test_stores_beyond_this_machine(spark, tmp_path):
+    """The same functions through Spark's file systems, for paths that only these reach."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./c", tmp_path.as_uri())
+    base = "viewfs://shelf/c"
+    store.write_text(f"{base}/a/x.txt", "one")
+    store.write_text(f"{base}/a/x.txt", "two")
+    assert store.read_text(f"{base}/a/x.txt") == "two" == (tmp_path / "a" / "x.txt").read_text() and store.is_dir(f"{base}/a") and not store.exists(f"{base}/b")
+    store.copy(f"{base}/a", f"{base}/d/b")
+    store.move(f"{base}/a", f"{base}/e")
+    assert store.exists(f"{base}/d/b/x.txt") and not store.exists(f"{base}/a") and store.read_text(f"{base}/e/x.txt") == "two"
+    store.remove(f"{base}/e")
+    assert not (tmp_path / "e").exists() and store.local("file:///x/y") == store.local("/x/y") and store.local("s3a://b/y") is None

@@ -6,8 +6,12 @@ by their number. Each term's 128-bit hash votes on 128 signed bits. Votes are co
 counts all of them (up to 2^31 terms a text).
 
 `near_pairs` finds all fingerprints within a Hamming radius: the 128 bits are cut into
-radius + 2 blocks, and for every choice of two blocks a permuted table is keyed by them.
-Two fingerprints within the radius agree on at least two blocks, so they meet in a table.
+radius + k blocks, and for every choice of k blocks a permuted table is keyed by them. Two
+fingerprints within the radius agree on at least k blocks, so they meet in a table. k is 2;
+what a large bucket of such a table holds is keyed anew with k = 4, whose buckets are far
+smaller. Equal fingerprints are one class, so no group of copies is multiplied: at most 256
+different ones can all be within 3 bits of each other. Buckets are compared in chunks, inside
+arrays, and give only the pairs that are near.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from .common import BLANKS, written
 
 BITS = 128
 SHINGLE = 3
+#: Bits within which the registered query looks for near fingerprints.
+RADIUS = 3
+#: Members of a bucket that are compared as they are, and of a chunk of it, about.
+LARGE, CHUNK = 256, 64
 #: Cuts of the ids' range, and documents that are put in order together, about.
 CUTS, TOGETHER = 512, 1024
 
@@ -79,26 +87,49 @@ def likeness(bits_apart: Column) -> Column:
     return F.lit(1.0) - bits_apart / F.lit(float(BITS))
 
 
+def _tables(radius: int, k: int) -> Column:
+    """(t, key) of each permuted table of a fingerprint: k of radius + k blocks."""
+    bits = F.concat(F.lpad(F.bin(F.col("high")), 64, "0"), F.lpad(F.bin(F.col("low")), 64, "0"))
+    n = radius + k
+    edges = [i * BITS // n for i in range(n + 1)]
+    of = lambda bits: F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in some]).alias("key")) for t, some in enumerate(combinations(range(n), k))])
+    return F.transform(F.array(bits), of)[0]
+
+
+def _several(keyed: DataFrame) -> DataFrame:
+    """Keys that more than one fingerprint has, and how many."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def near_pairs(prints: DataFrame, radius: int, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All fingerprints within `radius` of each other: (members, pairs).
 
     members: (id, low, high, class_id), class_id the smallest id with the same fingerprint;
     pairs: (class_a, class_b, bits) of different fingerprints, class_a < class_b. Copies
-    are held by their class, so that no group of equal fingerprints is multiplied.
+    are held by their class. Rows without an id are members of no class of their own: a
+    fingerprint that only they have has a null class and no pairs. Texts without words share the
+    fingerprint 0. An empty table gives none; other columns are ignored.
     """
-    if not 0 <= radius <= BITS - 2:
+    if not 0 <= radius <= BITS - 4:
         raise ValueError("radius is out of range")
     ids = prints.select(F.col(id_col).alias("id"), "low", "high")
     classes = ids.groupBy("low", "high").agg(F.min("id").alias("class_id"))
     members = ids.join(classes, ["low", "high"]).select("id", "low", "high", "class_id")
-    bits = F.concat(F.lpad(F.bin(F.col("high")), 64, "0"), F.lpad(F.bin(F.col("low")), 64, "0"))
-    n = radius + 2
-    edges = [i * BITS // n for i in range(n + 1)]
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.substring("bits", edges[i] + 1, edges[i + 1] - edges[i]), F.substring("bits", edges[j] + 1, edges[j + 1] - edges[j])).alias("key")) for t, (i, j) in enumerate(combinations(range(n), 2))])
-    keyed = classes.withColumn("bits", bits).select("class_id", "low", "high", F.explode(tables).alias("k")).select("class_id", "low", "high", "k.t", "k.key")
-    right = keyed.select(F.col("class_id").alias("class_b"), F.col("low").alias("low2"), F.col("high").alias("high2"), "t", "key")
-    met = keyed.withColumnRenamed("class_id", "class_a").join(right, ["t", "key"]).where("class_a < class_b").withColumn("bits", distance("low", "high", "low2", "high2"))
-    return members, met.where(F.col("bits") <= radius).select("class_a", "class_b", F.col("bits").cast("int").alias("bits")).distinct()
+    known = written(classes.where("class_id IS NOT NULL"), "simhash-classes")
+    keyed = known.select("class_id", "low", "high", F.explode(_tables(radius, 2)).alias("k")).select("class_id", "low", "high", "k.key")
+    several = written(_several(keyed), "simhash-keys")
+    met = keyed.join(several, "key")
+    again = met.where(F.col("n") > LARGE).drop("n").withColumn("k", F.explode(_tables(radius, 4))).select("class_id", "low", "high", F.xxhash64("key", "k.t", "k.key").alias("key"))
+    again = again.join(_several(again), "key")
+    dealt = met.where(F.col("n") <= LARGE).unionByName(again.select(*met.columns))
+    chunked = dealt.groupBy("key", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / CHUNK)).alias("chunk")).agg(F.collect_list(F.struct("class_id", "low", "high")).alias("held"))
+    other = chunked.select("key", F.col("chunk").alias("chunk2"), F.col("held").alias("held2"))
+    apart = lambda x, y: F.bit_count(x["low"].bitwiseXOR(y["low"])) + F.bit_count(x["high"].bitwiseXOR(y["high"]))
+    near = lambda x, ys: F.filter(ys, lambda y: ((F.col("chunk") < F.col("chunk2")) | (x["class_id"] < y["class_id"])) & (apart(x, y) <= radius))
+    pair = lambda x, y: F.struct(F.least(x["class_id"], y["class_id"]).alias("class_a"), F.greatest(x["class_id"], y["class_id"]).alias("class_b"), apart(x, y).cast("int").alias("bits"))
+    found = F.flatten(F.transform("held", lambda x: F.transform(near(x, F.col("held2")), lambda y: pair(x, y))))
+    pairs = chunked.join(other, "key").where(F.col("chunk") <= F.col("chunk2")).select(F.explode(found).alias("p")).select("p.*").distinct()
+    return members, pairs
 
 
 def _placed(docs: DataFrame, cuts: list[int], parts: int) -> DataFrame:
@@ -148,13 +179,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+def compare_with_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, n_near) of every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as
     many (or all) of the next document, by descending id; the first follows the last, and an
-    only document follows itself. A null text is empty; a null id comes last; rows that
-    repeat an id go by text; an empty table gives none; other columns are ignored.
+    only document follows itself. class_id is the smallest id with the same fingerprint,
+    n_near the number of other fingerprints within `radius` bits, found in block tables. A
+    null text is empty; a null id comes last; rows that repeat an id go by text; an empty
+    table gives none; other columns are ignored.
     """
     pairs = with_next(docs)
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
@@ -165,9 +198,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     prints = fingerprints(facts.select("about", "q", "sub", "pos", F.col("s.side").alias("side"), F.col("s.text").alias("text")), ["q", "sub", "pos", "side", "about"])
     both = prints.groupBy("q", "sub", "pos", "about").agg(F.max(F.when(F.col("side") == 0, F.struct("low", "high"))).alias("f"), F.max(F.when(F.col("side") == 1, F.struct("low", "high"))).alias("e"))
     rows = written(both.select("q", "sub", "pos", "about.*", F.col("f.low").alias("low"), F.col("f.high").alias("high"), F.col("e.low").alias("elow"), F.col("e.high").alias("ehigh")), "simhash-prints")
+    _, near = near_pairs(rows, radius)
+    counts = near.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_near"))
+    classes = rows.groupBy("low", "high").agg(F.min("doc_id").alias("class_id")).join(counts, "class_id", "left")
+    classes = classes.select(F.col("low").alias("clow"), F.col("high").alias("chigh"), "class_id", F.coalesce("n_near", F.lit(0)).alias("n_near"))
     other = rows.select(F.col("q").alias("next_q"), F.col("sub").alias("next_sub"), F.col("pos").alias("next_pos"), F.col("low").alias("nlow"), F.col("high").alias("nhigh"))
-    met = rows.join(other, ["next_q", "next_sub", "next_pos"])
+    met = rows.join(other, ["next_q", "next_sub", "next_pos"]).join(classes, (F.col("low") == F.col("clow")) & (F.col("high") == F.col("chigh")))
     return met.select(
         "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_string("low", "high").alias("fingerprint"), as_string("elow", "ehigh").alias("edited_fingerprint"),
-        likeness(distance("low", "high", "elow", "ehigh")).alias("near_edited"), likeness(distance("low", "high", "nlow", "nhigh")).alias("near_next"),
+        likeness(distance("low", "high", "elow", "ehigh")).alias("near_edited"), likeness(distance("low", "high", "nlow", "nhigh")).alias("near_next"), "class_id", "n_near",
     )

@@ -24,6 +24,10 @@ elsewhere in the corpus, are kept as a table, and only texts that mention one me
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,37 +55,55 @@ _MIDDLES = {"latin": ["an", "el", "or", "in", "ar", "en", "il", "on", "as", "er"
 #: Attempts in an entity's own form before it grows, and rounds of redrawing: after so many, forms have 10**60 surrogates more.
 SAME, ROUNDS = 3, 64
 
-_any = lambda words: "|".join(sorted(dict.fromkeys(words), key=lambda w: (-len(w), w)))
-_TITLES, _GIVEN = _any(TITLES), _any([*KNOWN_MALE, *KNOWN_FEMALE])
+def _trie(words: list[str]) -> str:
+    """A pattern of all words, longest first, that branches letter by letter: one look at a letter rules most words out."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    if set(heads) <= {""}:
+        return ""
+    parts = [h + _trie(rest) for h, rest in heads.items() if h]
+    if len(parts) == 1 and "" not in heads:
+        return parts[0]
+    return f"(?:{'|'.join(parts)}){'?' if '' in heads else ''}"
+
+
+_TITLES, _GIVEN = _trie(TITLES), _trie([*KNOWN_MALE, *KNOWN_FEMALE])
 _PROPER = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
 _INITIAL = r"(?: \p{Lu}\.)?"
-_HAN = rf"(?=\p{{IsHan}})(?:(?:{_any(JAPANESE)})\p{{IsHan}}{{0,3}}(?=さん|様|氏|先生)|[{''.join(CHINESE)}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|老师|教授| ?1[3-9][0-9]{{9}}(?![0-9]))|(?<=姓名[:：])[{''.join(CHINESE)}]\p{{IsHan}}{{1,2}})"
-#: Letters that a title, given name or cue begins with: looked at first, since a text has few capitals.
-_FIRST = f"(?=[{''.join(sorted({x[0] for x in [*TITLES, *KNOWN_MALE, *KNOWN_FEMALE]}))}])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _DATE = r"(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
 _PASSPORT = "[A-Z]{1,2}[0-9]{6,8}"
-#: What an entity of each kind looks like, and its own part where the rest is context. Kinds are tried in this order.
+#: What an entity of each kind looks like, in the order in which kinds are tried where a word begins.
 KINDS = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", None),
-    "secret": (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])", None),
-    "iban": (r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])", None),
-    "card": (r"(?=[0-9])(?<![0-9.,-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])", None),
-    "ip": (rf"(?=[0-9])(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", None),
-    "ipv6": (r"(?=[0-9a-fA-F])(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])|(?=[0-9a-fA-F])(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5}(?![0-9A-Za-z:])", None),
-    "birth": (rf"(?<=(?i:born|dob|born on|date of birth|geboren am|né le|née le|nacido el)[: ]{{1,2}}){_DATE}(?![0-9])", _DATE),
-    "ssn": (r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None),
-    "phone": (r"(?=[0-9+(])(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}|1[3-9][0-9]{9}|1[3-9][0-9][ -][0-9]{4}[ -][0-9]{4})(?![0-9])", None),
-    "passport": (rf"(?<=(?i:passport|passport no|passport no\.|passport number|passeport|reisepass)[: ]{{1,2}}){_PASSPORT}(?![0-9A-Za-z])", _PASSPORT),
-    "street": (rf"(?=[0-9])(?<![0-9A-Za-z.,-])[0-9]{{1,5}}[A-Z]? {_PROPER} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![A-Za-z])", None),
-    "person": (
-        rf"{_FIRST}(?<!\p{{L}})(?:(?:{_TITLES})\.? {_PROPER}{_INITIAL}(?: {_PROPER})?|(?:{_GIVEN}){_INITIAL} {_PROPER})(?!\p{{L}})"
-        rf"|(?=\p{{Lu}})(?<={'|'.join(CUES)}){_PROPER}{_INITIAL}(?: {_PROPER})?(?!\p{{L}})"
-        rf"|(?=\p{{Lu}})(?<!\p{{L}}){_PROPER}{_INITIAL} {_PROPER}(?= [<(][A-Za-z0-9._%+-]{{1,64}}@)|{_HAN}", None),
+    "email": r"(?<![._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![.,-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5})(?![0-9A-Za-z:])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![+.-])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}|1[3-9][0-9]{9}|1[3-9][0-9][ -][0-9]{4}[ -][0-9]{4})(?![0-9])",
+    "street": rf"(?<![.,-])[0-9]{{1,5}}[A-Z]? {_PROPER} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![A-Za-z])",
+    "person": rf"(?:{_TITLES}\.? {_PROPER}{_INITIAL}(?: {_PROPER})?|{_GIVEN}{_INITIAL} {_PROPER})(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p, _ in KINDS.values())
-#: A text without any of these has no entity.
-_HINT = rf"[0-9@]|{_FIRST}(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})|{'|'.join(c.strip() for c in CUES)}|AKIA|sk-|ghp_|[A-F]{{32}}|[a-f]{{32}}|[a-fA-F]:[a-fA-F]|(?:{_any(JAPANESE)})|[{''.join(CHINESE)}]\p{{IsHan}}"
+#: Letters and signs that mentions of some kinds begin with; others may begin with any.
+_BEGINS = {"iban": "[A-Z]", "card": "[0-9]", "ip": "[0-9]", "ipv6": "[0-9a-fA-F]", "ssn": "[0-9]", "phone": r"[0-9+(]", "street": "[0-9]", "person": r"\p{Lu}|\p{Ll}", "secret": "[0-9A-Fa-fsg]"}
+#: What is found by what stands around it: (context before, or None; own form; context after).
+WORDS_OF_BIRTH = ["born", "dob", "born on", "date of birth", "geboren am", "né le", "née le", "nacido el"]
+WORDS_OF_PASSPORT = ["passport", "passport no", "passport no.", "passport number", "passeport", "reisepass"]
+_HAN = rf"(?=\p{{IsHan}})(?:{_trie(JAPANESE)}\p{{IsHan}}{{0,3}}(?=さん|様|氏|先生)|[{''.join(CHINESE)}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐|老师|教授| ?1[3-9][0-9]{{9}}(?![0-9]))|(?<=姓名[:：])[{''.join(CHINESE)}]\p{{IsHan}}{{1,2}})"
+IN_CONTEXT = [
+    rf"(?=[0-9])(?<=(?i:{'|'.join(WORDS_OF_BIRTH)})[: ]{{1,2}}){_DATE}(?![0-9])",
+    rf"(?=[A-Z])(?<=(?i:{'|'.join(re.escape(w) for w in WORDS_OF_PASSPORT)})[: ]{{1,2}}){_PASSPORT}(?![0-9A-Za-z])",
+    rf"(?=\p{{Lu}})(?<={'|'.join(CUES)}){_PROPER}{_INITIAL}(?: {_PROPER})?(?!\p{{L}})",
+    rf"(?=\p{{Lu}}){_PROPER}{_INITIAL} {_PROPER}(?= [<(][A-Za-z0-9._%+-]{{1,64}}@)",
+]
+#: All patterns begin where a word does (no letter or digit before), but for names in Chinese and Japanese.
+_branch = lambda kind: rf"(?={_BEGINS[kind]}){KINDS[kind]}" if kind in _BEGINS else KINDS[kind]
+_ALONE = "|".join(f"(?:{_branch(k)})" for k in KINDS)
+PLAIN = rf"(?<![\p{{L}}\p{{N}}])(?:{_ALONE})"
+FULL = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'(?:{p})' for p in IN_CONTEXT)}|{_ALONE})|{_HAN}"
 DIGIT_KINDS = ("card", "ssn", "phone")
 #: Kinds whose surrogates must differ from each other, and those that must differ from all real parts as well.
 APART = ("email", "secret", "iban", "card", "ip", "ipv6", "ssn", "phone", "passport", "street", "given", "family")
@@ -89,9 +111,10 @@ NO_REAL = tuple(k for k in APART if k != "given")
 
 
 def _kind(mention: Column) -> Column:
+    forms = {"birth": _DATE, **{k: p for k, p in KINDS.items() if k != "person"}, "passport": _PASSPORT}
     out = F.lit("person")
-    for name, (pattern, own) in reversed([k for k in KINDS.items() if k[0] != "person"]):
-        out = F.when(mention.rlike(rf"^(?:{own or pattern})$"), name).otherwise(out)
+    for name, pattern in reversed(forms.items()):
+        out = F.when(mention.rlike(rf"^(?:{pattern})$"), name).otherwise(out)
     return out
 
 
@@ -108,7 +131,7 @@ def _name(mention: Column) -> Column:
         title, words = x["title"], x["words"]
         first, last, n = F.element_at(words, 1), F.element_at(words, -1), F.size(words)
         han = first.rlike(r"^\p{IsHan}")
-        family = F.regexp_extract(first, rf"^(?:{_any(JAPANESE)}|.)", 0)
+        family = F.regexp_extract(first, rf"^(?:{_trie(JAPANESE)}|.)", 0)
         alone = (n == 1) & (title == "") & first.isin(*KNOWN_MALE, *KNOWN_FEMALE)
         dotted = F.element_at(words, F.least(n, F.lit(2))).endswith(".")
         return F.struct(
@@ -286,9 +309,18 @@ def _written_like(kind: Column, mention: Column, replacement: Column) -> Column:
     )
 
 
+def _in_context(text: Column) -> Column:
+    """Whether a text has what the patterns of IN_CONTEXT or names in Chinese and Japanese ask for: plain searches, since few texts do."""
+    low = F.lower(text)
+    words = [low.contains(w) for w in ("born", "dob", "date of birth", "geboren", "né", "nacido", "pass")]
+    cues = [text.contains(c) for c in CUES]
+    return reduce(or_, [*words, *cues, text.contains("@") & (text.contains("<") | text.contains("(")), text.rlike(r"\p{IsHan}")])
+
+
 def _mentions(text: Column) -> Column:
     """Every entity of a text, in order."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(_in_context(text), found(FULL)).otherwise(found(PLAIN))
 
 
 def _text_key(text: Column) -> Column:
@@ -371,7 +403,7 @@ def replace_pii(docs: DataFrame, *, key: str = KEY, text_col: str = "text", coun
         one = lambda p: F.when(F.element_at(p, 1)["kind"].isin("given", "family"), person(mention, p)).otherwise(_written_like(F.element_at(p, 1)["kind"], mention, F.element_at(p, 1)["sur"]))
         return _let(parts, one)
 
-    between = F.split(text, ANY, -1)
+    between = F.when(_in_context(text), F.split(text, FULL, -1)).otherwise(F.split(text, PLAIN, -1))
     joined = F.array_join(F.flatten(F.zip_with(between, F.transform(F.col(hits), new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     changed = F.when(F.size(hits) > 0, joined).otherwise(F.col(f"{row}.{text_col}"))
     columns = [changed.alias(c) if c == text_col else F.col(row).getField(c).alias(c) for c in base.columns]

@@ -12,7 +12,9 @@ where its sizes leave a gap that no linked pair can bridge, and is reduced to a
 its least document where it is found, before anything is shuffled. Regions that touch form
 a block, which holds every link of its documents.
 
-Blocks. Inside a block, of any size, documents are near each other, and distances tell: pivots
+Blocks. A block is taken apart first by the parities of its sets (a lower bound of their
+difference, 16 to 32 times smaller than the sets), so that documents that only share passages
+are never loaded. Inside a block, of any size, documents are near each other, and distances tell: pivots
 are taken, and documents within 0.2 of a pivot are linked with it at once. If the block is
 not one component then, each document goes to the Voronoi cell of its nearest pivot, and by
 the triangle inequality visits each further cell whose pivot is at most 2 * 0.2 farther away;
@@ -46,12 +48,14 @@ from .shingles import column_bytes, mix64, shingle_set
 PER, OUT_OF = 8, 10
 #: Bits that name a cell of the table of common shingles; most cells marked common; least count.
 CELL_BITS, MOST_COMMON, LEAST_COMMON = 23, 1 << 20, 4
-#: Shingles that a worker holds at a time while counting and forming regions.
-HELD = 1 << 21
+#: Shingles that a worker holds at a time while counting, and members of regions while forming these (about 250 MB of work space each).
+HELD, HELD_MEMBERS = 1 << 21, 1 << 19
 #: Members of a region whose pairs are looked at one by one.
 FEW = 4
 #: Bits of the filter of documents that are in blocks.
 BLOCK_BITS = 24
+#: Members, and shingles, of a block that one task takes apart by parities (a quarter to half a byte a shingle).
+APART_MEMBERS, APART_SHINGLES = 4096, 1 << 26
 #: Words of 64 bits that mark a cell's most common shingles.
 MARKS = 4
 #: Shingles of a block that one task joins; pivots at a time; rounds in which large blocks are cut.
@@ -86,8 +90,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _class_key(n: int, s1: int, s2: int) -> int:
-    """A set's name in the region pass, the same for all copies. Two sets that share a name only add candidates."""
-    return int(mix64(np.array([s1], np.int64).view(np.uint64) ^ mix64(np.array([s2], np.int64).view(np.uint64) ^ np.uint64(n))).view(np.int64)[0])
+    """A set's name of 48 bits in the region pass, the same for all copies. Two sets that share a name only add candidates."""
+    return int(mix64(np.array([s1], np.int64).view(np.uint64) ^ mix64(np.array([s2], np.int64).view(np.uint64) ^ np.uint64(n)))[0] >> np.uint64(16))
 
 
 def _parity(s: np.ndarray) -> bytes:
@@ -195,22 +199,18 @@ def _prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return early[:k] if len(early) >= k else np.concatenate((early, s[late][: k - len(early)]))
 
 
-def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, star: np.ndarray, before: np.ndarray):
+def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, star: np.ndarray):
     """Members of regions -> (edges of stars, pairs of small regions, members left with those that stand for a star).
 
-    before: the shingle that precedes the region's in the member's prefix (its own where there
-    is none). Two members that share it too meet in that shingle's region already, so a pair
-    of a small region is told only where it differs.
-
     Regions go by key and are cut at gaps of size that no linked pair bridges. A region of
     more than FEW members becomes a star around its least document, which stands for it.
     """
     order = np.lexsort((low, key))
-    key, doc, low, high, star, before = (x[order] for x in (key, doc, low, high, star, before))
+    key, doc, low, high, star = (x[order] for x in (key, doc, low, high, star))
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.cumsum(new_key).astype(np.int64) << 40
     reach = np.maximum.accumulate(group + high) - group
-    cut = new_key.copy()
+    cut = new_key
     cut[1:] |= PER * low[1:] > OUT_OF * reach[:-1]
     at, of = np.flatnonzero(cut), np.cumsum(cut) - 1
     size = np.diff(np.concatenate((at, [len(key)])))
@@ -219,16 +219,14 @@ def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray,
     far = starred[of] & (doc != pivot[of])
     edges = _distinct(doc[far], pivot[of][far])
     few = ~starred[of] & (size[of] > 1)
-    pairs = []
+    pairs = [np.zeros((2, 0), np.int64)]
     for lag in range(1, FEW):
-        new = (before[lag:] != before[:-lag]) | (before[lag:] == key[lag:])
-        meet = np.flatnonzero(few[lag:] & few[:-lag] & (of[lag:] == of[:-lag]) & new)
-        if len(meet):
-            pairs.append(np.stack((np.maximum(doc[meet], doc[meet + lag]), np.minimum(doc[meet], doc[meet + lag]))))
-    laid = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        meet = np.flatnonzero(few[lag:] & few[:-lag] & (of[lag:] == of[:-lag]))
+        pairs.append(np.stack((np.maximum(doc[meet], doc[meet + lag]), np.minimum(doc[meet], doc[meet + lag]))))
+    laid = np.concatenate(pairs, axis=1)
     laid = laid[:, laid[0] != laid[1]]
     one = ~starred[of]
-    left = (key[one], doc[one], low[one], np.where(star[one], high[one], before[one]), star[one])
+    left = (key[one], doc[one], low[one], high[one], star[one])
     stands = (key[at][starred], pivot[starred], low[at][starred], np.maximum.reduceat(high, at)[starred], np.ones(int(starred.sum()), bool))
     return edges, _distinct(*laid), tuple(np.concatenate(x) for x in zip(left, stands, strict=True))
 
@@ -242,26 +240,35 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Kinds of rows that leave the region pass: a member, a member that stands for a star, an edge of a star.
 MEMBER, STAND, EDGE = 0, 1, 2
-_REGION = "kind long, a long, b long, low long, high long"
+#: a: region (or an edge's end), b: class, c: kind and sizes in one, since this is the largest exchange.
+_REGION = "a long, b long, c long"
+
+
+def _packed(kind: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (kind.astype(np.int64) << 60) | (high << 30) | low
+
+
+def _unpacked(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    small = np.int64((1 << 30) - 1)
+    return c >> 60, c & small, (c >> 30) & small
 
 
-def _rows(*columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
+def _rows(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64)) for x in (a, b, c)], names=["a", "b", "c"])
 
 
 def _regions(common: np.ndarray):
-    """Members of regions (a: region, b: class, low: size, high: the shingle before, or a star's largest size), and edges a - b found in the task."""
-    names = ["kind", "a", "b", "low", "high"]
+    """Members of regions (region, class, least and largest size), and edges between classes found in the task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
         def out():
-            key, doc, n, before = (np.concatenate(x) for x in zip(*held, strict=True))
-            edges, _, left = _stars(key, doc, n, n, np.zeros(len(key), bool), before)
+            key, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            edges, _, (key, doc, low, high, star) = _stars(key, doc, n, n, np.zeros(len(key), bool))
             none = np.zeros(len(edges[0]), np.int64)
-            yield _rows(none + EDGE, *edges, none, none, names=names)
-            yield _rows(left[4], *left[:4], names=names)
+            yield _rows(*edges, _packed(none + EDGE, none, none))
+            yield _rows(key, doc, _packed(star, low, high))
 
         for batch in batches:
             for s in _sets(batch):
@@ -271,11 +278,10 @@ def _regions(common: np.ndarray):
                 if sign in seen:  # copies have one class
                     continue
                 seen.add(sign)
-                doc = _class_key(*sign)
                 p = _prefix(s, common).view(np.int64)
-                held.append((p, np.full(len(p), doc, np.int64), np.full(len(p), len(s), np.int64), np.concatenate((p[:1], p[:-1]))))
+                held.append((p, np.full(len(p), _class_key(*sign), np.int64), np.full(len(p), len(s), np.int64)))
                 size += len(p)
-                if size > HELD:
+                if size > HELD_MEMBERS:
                     yield from out()
                     held, size, seen = [], 0, set()
         if held:
@@ -293,16 +299,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.array(np.full(len(edges[0]), sure))], names=names)
 
     for batch in batches:
-        kind, a, b, low, high = (batch.column(i).to_numpy() for i in range(5))
-        known = kind == EDGE
+        a, b, c = (batch.column(i).to_numpy() for i in range(3))
+        known = c >> 60 == EDGE
         if known.any():
             yield told((a[known], b[known]), True)
-        held.append(tuple(x[~known] for x in (a, b, low, high, kind == STAND)))
+        held.append((a[~known], b[~known], c[~known]))
     if held:
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        if len(columns[0]):
-            key, doc, low, high, star = columns
-            edges, pairs, _ = _stars(key, doc, low, np.where(star, high, low), star, np.where(star, key, high))
+        key, doc, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(key):
+            kind, low, high = _unpacked(c)
+            edges, pairs, _ = _stars(key, doc, low, high, kind == STAND)
             yield told(edges, True)
             yield told(pairs, False)
 
@@ -315,6 +321,39 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Parities over half as many cells: of cells that become one."""
+    return bits[..., ::2] ^ bits[..., 1::2]
+
+
+def _refine(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block by what parities alone tell: (rep, root) of the documents that may be linked with another; a root names a block of such links.
+
+    Sizes of linked sets differ by a quarter at most, so their parities have as many cells or
+    twice as many; the finer ones are folded for that.
+    """
+    rows = rows.sort_values(["n", "rep"], kind="stable")
+    n, reps, forest = rows["n"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64), Forest(len(rows))
+    marks = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in rows["bits"]]
+    size = np.array([len(m) for m in marks])
+    levels = {}
+    for level in np.unique(size):
+        same, finer = np.flatnonzero(size == level), np.flatnonzero(size == 2 * level)
+        held = [marks[i] for i in same] + [_folded(marks[i]) for i in finer]
+        levels[level] = np.concatenate((same, finer)), np.packbits(np.stack(held), axis=1)
+    for i in range(len(rows)):
+        ids, packed = levels[size[i]]
+        at = np.flatnonzero((ids > i) & (OUT_OF * n[i] >= PER * n[ids]))
+        if len(at):
+            apart = np.bitwise_count(packed[at] ^ packed[np.searchsorted(ids, i)]).sum(axis=1, dtype=np.int64)
+            least = -(-PER * (n[i] + n[ids[at]]) // (PER + OUT_OF))
+            for j in ids[at[apart <= n[i] + n[ids[at]] - 2 * least]]:
+                forest.tie(i, j)
+    roots = np.array([forest.root(i) for i in range(len(rows))], np.int64)
+    kept = np.bincount(roots, minlength=len(rows))[roots] > 1
+    return pd.DataFrame({"rep": reps[kept], "root": reps[roots[kept]]})
+
+
 # --- pass 3: blocks
 
 
@@ -496,8 +535,8 @@ def _loaded(docs: DataFrame, places: DataFrame, done: list) -> DataFrame:
     return met.select("block", "doc_id", (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
 
 
-_CELL = "kind int, label long, other long, block string, doc_id long, n long, shingles binary"
-#: Kinds of rows that leave a round: a document in a cell, an edge, two pivots of a block that are connected.
+_MEASURED = "kind int, block string, doc_id long, label long, cells array<long>"
+#: Kinds of rows that leave a round: a document and the cells it visits, an edge to a pivot, two pivots whose balls share a document.
 _PLACE, _EDGE, _SAME = 0, 1, 2
 
 
@@ -506,80 +545,91 @@ def _measure(rows: pd.DataFrame) -> pd.DataFrame:
     block, pivot = rows["block"].iloc[0], rows["pivot"].to_numpy()
     pivots = rows[pivot].sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     rest = rows[~pivot & ~rows["doc_id"].isin(pivots["doc_id"])].drop_duplicates("doc_id")
-    told = lambda kind, **x: pd.DataFrame({"kind": kind, "label": -1, "other": -1, "block": block, "doc_id": -1, "n": 0, "shingles": None} | x)
     every = pd.concat([pivots, rest])
     sets = [np.frombuffer(b, np.uint64) for b in every["shingles"]]
     laid, ids, names = _Laid(sets, list(range(len(sets)))), every["doc_id"].to_numpy(np.int64), pivots["doc_id"].to_numpy(np.int64)
     common = np.stack([laid.common(sets[i]) for i in range(len(names))])
     size = np.array([len(sets[i]) for i in range(len(names))])
-    near = (common > 0) & (OUT_OF * common >= PER * (laid.n[None, :] + size[:, None] - common))
+    near = np.stack([_near(common[i], laid.n, size[i]) for i in range(len(names))])
     label = np.where(near.any(axis=0), names[near.argmax(axis=0)], -1)
     p, x = np.nonzero(near)
-    out = [told(_EDGE, label=names[p], doc_id=ids[x])]
-    # pivots that one ball holds together: each with the first
-    out.append(told(_SAME, label=label[x], other=names[p]).drop_duplicates())
+    told = lambda kind, ids, label, cells=None: pd.DataFrame({"kind": kind, "block": block, "doc_id": ids, "label": label, "cells": cells})
+    out = [told(_EDGE, ids[x], names[p]), told(_SAME, names[p], label[x]).drop_duplicates(["doc_id", "label"])]
     after = np.arange(len(names), len(ids))
     if len(after):
-        cells = _cells((1.0 - common / (laid.n[None, :] + size[:, None] - common))[:, after])
-        c, y = np.nonzero(cells)
-        y = after[y]
-        data = every["shingles"].to_numpy()
-        out.append(told(_PLACE, label=label[y], block=[f"{block}/{names[i]}" for i in c], doc_id=ids[y], n=laid.n[y], shingles=data[y]))
-    return pd.concat(out, ignore_index=True)
-
-
-def _totals(cells: DataFrame) -> DataFrame:
-    own = F.col("label")
-    return cells.groupBy("block").agg(F.sum("n").alias("size"), F.count("*").alias("members"), F.min(own).alias("low"), F.max(own).alias("high"))
+        visits = _cells((1.0 - common / (laid.n[None, :] + size[:, None] - common))[:, after])
+        out.append(told(_PLACE, ids[after], label[after], [names[v].tolist() for v in visits.T]))
+    return pd.concat(out, ignore_index=True).astype({"block": object})  # plain strings: Arrow-backed ones may come in pieces
 
 
 def _cut(cells: DataFrame, total: DataFrame, limit: int, done: list) -> tuple[DataFrame, DataFrame]:
-    """One round: (edges, cells of the next round) of large blocks (block, label, doc_id, n, shingles).
+    """One round: (edges, (block, doc_id, label, cells)) of large blocks (block, label, doc_id, n, shingles).
 
     A block is dealt into parts of a quarter of what a task holds; each part gets the block's
     pivots, the members with the least hash in PIVOTS classes, so that no task sees all of it.
     """
     parts = F.ceil(F.col("size") / (limit / 4)).cast("int")
-    deal = cells.groupBy("block", F.pmod(F.xxhash64("doc_id", "block"), F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("block", "doc_id").alias("h"), "doc_id")).alias("p"))
-    chosen = deal.select("block", F.col("p.doc_id").alias("doc_id")).join(cells, ["block", "doc_id"]).join(total.select("block", parts.alias("parts")), "block")
+    deal = cells.select("block", "doc_id").groupBy("block", F.pmod(F.xxhash64("doc_id", "block"), F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("block", "doc_id").alias("h"), "doc_id")).alias("p"))
+    few = written(deal.select("block", F.col("p.doc_id").alias("doc_id")), "jaccard-pivots")
+    done.append(few)
+    chosen = few.join(cells, ["block", "doc_id"]).join(total.select("block", parts.alias("parts")), "block")
     pivots = chosen.select("block", "doc_id", "shingles", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rest = cells.join(total.select("block", parts.alias("parts")), "block").select("block", "doc_id", "shingles", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    found = written(pivots.unionByName(rest).groupBy("block", "part").applyInPandas(_measure, _CELL), "jaccard-round")
+    found = written(pivots.unionByName(rest).groupBy("block", "part").applyInPandas(_measure, _MEASURED), "jaccard-round")
     done.append(found)
     edges = found.where(f"kind = {_EDGE}").select(F.col("label").alias("a"), F.col("doc_id").alias("b"))
-    # balls that share a document are one: PIVOTS rows a block at most
-    same = components(found.where(f"kind = {_SAME}").select(F.col("label").alias("a"), F.col("other").alias("b")).distinct(), "jaccard-balls")
-    placed = found.where(f"kind = {_PLACE}").select("block", "label", "doc_id", "n", "shingles")
-    merged = placed.join(same.withColumnRenamed("id", "label"), "label", "left").select("block", F.coalesce("root", "label").alias("label"), "doc_id", "n", "shingles")
-    return edges, merged
+    # balls that share a document are one: PIVOTS rows a block and part at most
+    same = components(found.where(f"kind = {_SAME}").select(F.col("label").alias("a"), F.col("doc_id").alias("b")).distinct(), "jaccard-balls")
+    done.append(same)
+    placed = found.where(f"kind = {_PLACE}").join(same.withColumnRenamed("id", "label"), "label", "left")
+    return edges, placed.select("block", "doc_id", F.coalesce("root", "label").alias("label"), "cells")
 
 
 def _tiles(cells: DataFrame, limit: int) -> DataFrame:
-    """Blocks that pivots do not part, dealt into pairs of tiles.
+    """(block, tile, label, doc_id) of blocks (block, label, doc_id, n) that pivots do not part, dealt into pairs of tiles.
 
-    A tile holds documents of one label and one size class (of ratio 1.25), dealt by hash. Two
-    tiles meet where a link between them is possible and not known: their size classes are
-    the same or next to each other, and they have not the same label of 0 or more.
+    A block's documents go by size into tiles of half of what a task holds: by steps of size
+    (four to the ratio 1.25), and by hash where one step is too large. Two tiles meet where a
+    link between them is possible and not known: a quotient of their sizes reaches 0.8, and
+    they have not one label of 0 or more (only labels with a tile of their own count here).
+    A tile that meets another needs no task of its own.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OUT_OF / PER))).cast("int")
-    classed = cells.withColumn("step", step)
-    totals = classed.groupBy("block", "label", "step").agg(F.ceil(F.sum("n") / (limit / 4)).cast("int").alias("parts"))
-    laid = classed.join(totals, ["block", "label", "step"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = totals.select("block", F.col("label").alias("label2"), F.col("step").alias("step2"), F.col("parts").alias("parts2"))
-    meets = (F.abs(F.col("step") - F.col("step2")) <= 1) & ((F.col("label") != F.col("label2")) | (F.col("label") < 0))
-    groups = totals.join(other, "block").where(meets).select("block", "label", "step", "label2", "step2", "parts2")
-    met = laid.join(groups, ["block", "label", "step"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
-    own, its = F.concat_ws(".", "label", "step", "part"), F.concat_ws(".", "label2", "step2", "part2")
-    return met.select("block", F.concat_ws("+", F.least(own, its), F.greatest(own, its)).alias("tile"), "label", "doc_id", "shingles")
-
-
-def large_blocks(cells: DataFrame, limit: int, done: list) -> tuple[DataFrame, list[DataFrame]]:
-    """Blocks (block, doc_id, n, shingles) of more than `limit` shingles each, cut: (block, tile, label, doc_id, shingles) for tasks, and lists of edges."""
-    cells = cells.withColumn("label", F.lit(-1).cast("long")).select("block", "label", "doc_id", "n", "shingles")
-    total = written(_totals(cells), "jaccard-totals")
-    done.append(total)
+    half, none = limit / 2, F.lit(-1).cast("long")
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OUT_OF / PER)) * 4).cast("int")
+    stepped = cells.withColumn("step", step)
+    counts = stepped.groupBy("block", "label", "step").agg(F.sum("n").alias("size"))
+    own = counts.groupBy("block", "label").agg(F.sum("size").alias("size")).where((F.col("label") >= 0) & (F.col("size") > half)).select("block", "label", F.col("label").alias("lab"))
+    kept = counts.join(own, ["block", "label"], "left").withColumn("lab", F.coalesce("lab", none))
+    steps = kept.groupBy("block", "lab", "step").agg(F.sum("size").alias("size"))
+    up = W.partitionBy("block", "lab").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    laid = steps.withColumn("run", F.floor(F.coalesce(F.sum("size").over(up), F.lit(0)) / half).cast("int")).withColumn("subs", F.ceil(F.col("size") / half).cast("int"))
+    tiles = laid.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).groupBy("block", "lab", "run", "sub").agg(F.min("step").alias("low"), F.max("step").alias("high"))
+    tiles = tiles.withColumn("tile", F.concat_ws(".", "lab", "run", "sub"))
+    other = tiles.select("block", *[F.col(c).alias(f"{c}2") for c in ("lab", "tile", "low", "high")])
+    near = (F.col("low2") <= F.col("high") + 5) & (F.col("low") <= F.col("high2") + 5)
+    meets = tiles.join(other, "block").where((F.col("tile") != F.col("tile2")) & near & ((F.col("lab") != F.col("lab2")) | (F.col("lab") < 0)))
+    pair = F.concat_ws("+", F.least("tile", "tile2"), F.greatest("tile", "tile2"))
+    partners = tiles.join(meets.groupBy("block", "tile").agg(F.collect_set(pair).alias("pairs")), ["block", "tile"], "left")
+    # a tile without partners: a task of its own, unless its documents are connected
+    alone = F.when(F.col("lab") < 0, F.array("tile")).otherwise(F.array().cast("array<string>"))
+    places = partners.select("block", "lab", "run", "sub", F.coalesce("pairs", alone).alias("pairs"))
+    where = laid.select("block", "lab", "step", "run", "subs")
+    named = stepped.join(own, ["block", "label"], "left").withColumn("lab", F.coalesce("lab", none)).join(where, ["block", "lab", "step"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
+    met = named.join(places, ["block", "lab", "run", "sub"])
+    return met.select("block", F.explode("pairs").alias("tile"), "label", "doc_id")
+
+
+def large_blocks(loaded: DataFrame, limit: int, done: list) -> tuple[DataFrame, list[DataFrame]]:
+    """Blocks (block, doc_id, n, shingles) of more than `limit` shingles each, cut: (block, tile, label, doc_id, shingles) for tasks, and lists of edges.
+
+    Rounds work with places alone (block, label, doc_id, n); sets are read where they are measured and at the end.
+    """
+    sets = loaded.select("doc_id", "shingles").dropDuplicates(["doc_id"])
+    cells = loaded.select("block", F.lit(-1).cast("long").alias("label"), "doc_id", "n")
     ready, edges = _tiles(cells.limit(0), limit), []
-    one_of = lambda cells, which: cells.join(which.select("block"), "block", "left_semi")
+    one_of = lambda rows, which: rows.join(which.select("block"), "block", "left_semi")
+    total = written(cells.groupBy("block").agg(F.sum("n").alias("size"), F.count("*").alias("members")), "jaccard-totals")
+    done.append(total)
     for turn in range(ROUNDS + 1):
         large = total.where(F.col("size") > limit)
         if large.limit(1).count() == 0:
@@ -587,18 +637,26 @@ def large_blocks(cells: DataFrame, limit: int, done: list) -> tuple[DataFrame, l
         if turn == ROUNDS:
             ready = ready.unionByName(_tiles(one_of(cells, large), limit))
             break
-        told, new = _cut(one_of(cells, large), large, limit, done)
+        told, placed = _cut(one_of(cells, large).join(sets, "doc_id"), large, limit, done)
         edges.append(told)
-        # cells of one component are done; those that hold most of their block's members are not parted
-        sums = _totals(new).withColumn("above", F.regexp_extract("block", "^(.*)/[^/]*$", 1))
-        before = large.select(F.col("block").alias("above"), F.col("members").alias("before"))
-        after = written(sums.where("(low < high OR low < 0) AND members > 1").join(before, "above"), "jaccard-totals")
-        done.append(after)
-        stuck = after.where((F.col("size") > limit) & (F.col("members") > F.col("before") * SHRUNK))
-        fits = one_of(new, after.where(F.col("size") <= limit)).withColumn("tile", F.lit(""))
-        ready = ready.unionByName(fits.select(*ready.columns)).unionByName(_tiles(one_of(new, stuck), limit))
-        cells, total = new, after.join(stuck.select("block"), "block", "left_anti").select("block", "size", "members", "low", "high")
-    return ready, edges
+        # what pivots do not part is dealt into tiles as it is; what is one component by now is done
+        placed = placed.join(cells.select("block", "doc_id", "n"), ["block", "doc_id"])
+        visits = placed.select("block", "label", "doc_id", "n", F.explode("cells").alias("cell"))
+        most = visits.groupBy("block", "cell").agg(F.count("*").alias("visitors")).groupBy("block").agg(F.max("visitors").alias("visitors"))
+        open_ = placed.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high OR low < 0")
+        judged = written(open_.join(most, "block").join(large, "block").withColumn("parted", F.col("visitors") <= F.col("members") * SHRUNK), "jaccard-judged")
+        done.append(judged)
+        ready = ready.unionByName(_tiles(one_of(placed, judged.where("NOT parted")).select(*cells.columns), limit))
+        cells = written(one_of(visits, judged.where("parted")).select(F.concat_ws("/", "block", "cell").alias("block"), "label", "doc_id", "n"), "jaccard-cells")
+        done.append(cells)
+        sums = cells.groupBy("block").agg(F.sum("n").alias("size"), F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+        total = written(sums.where("(low < high OR low < 0) AND members > 1").select("block", "size", "members"), "jaccard-totals")
+        done.append(total)
+        fits = one_of(cells, total.where(F.col("size") <= limit)).withColumn("tile", F.lit(""))
+        ready = ready.unionByName(fits.select(*ready.columns))
+    places = written(ready, "jaccard-tiles")
+    done.append(places)
+    return places.join(sets, "doc_id").select("block", "tile", "label", "doc_id", "shingles"), edges
 
 
 def block_links(rows: DataFrame, places: DataFrame, done: list, limit: int) -> DataFrame:
@@ -673,14 +731,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ends = met.join(rep, F.col("a") == F.col("k")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("k")).select("a", F.col("rep").alias("b"), "sure")
     edges = written(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "jaccard-edges")
     done.append(edges)
-    unsure = edges.where("NOT sure")
-    asked = unsure.select(F.col("a").alias("rep")).unionByName(unsure.select(F.col("b").alias("rep"))).distinct()
-    known = facts.select("doc_id", "s1", "n", "bits").join(sizes.select("rep", F.col("s1").alias("_s1")).join(asked, "rep", "left_semi"), (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).dropDuplicates(["rep"])
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sizes.select("rep", F.col("s1").alias("_s1")), "rep")
+    known = facts.select("doc_id", "s1", "n", "bits").join(nodes, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).dropDuplicates(["rep"])
+    known = written(known.select("rep", "s1", "n", "bits"), "jaccard-known")
+    done.append(known)
     side = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    possible = unsure.join(side("a"), "a").join(side("b"), "b").mapInArrow(_look, "a long, b long")
+    possible = edges.where("NOT sure").join(side("a"), "a").join(side("b"), "b").mapInArrow(_look, "a long, b long")
     blocks = components(edges.where("sure").select("a", "b").unionByName(possible), "jaccard-blocks")
     done.append(blocks)
-    places = written(blocks.select(F.col("id").alias("rep"), F.col("root").cast("string").alias("block")).join(sizes.select("rep", "s1", "n"), "rep"), "jaccard-places")
+    # blocks are chains of documents that share a region: most are no links, as parities tell before any set is read
+    placed = blocks.select(F.col("id").alias("rep"), F.col("root").cast("string").alias("block")).join(known.select("rep", "s1", "n"), "rep")
+    weights = placed.groupBy("block").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    weighed = written(placed.join(weights, "block"), "jaccard-weighed")
+    done.append(weighed)
+    small = (F.col("members") <= APART_MEMBERS) & (F.col("size") <= APART_SHINGLES)
+    apart = weighed.where(small).select("rep", "block").join(known.select("rep", "n", "bits"), "rep").groupBy("block").applyInPandas(_refine, "rep long, root long").select("rep", F.col("root").cast("string").alias("block"))
+    every = apart.unionByName(weighed.where(~small).select("rep", "block"))
+    places = written(every.join(known.select("rep", "s1", "n"), "rep"), "jaccard-places")
     done.append(places)
     roots = components(block_links(rows, places, done, BLOCK_SHINGLES), "jaccard-roots").select(F.col("id").alias("rep"), "root")
     found = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from scriptorium.llm import jaccard, shingles
@@ -68,6 +69,7 @@ def test_against_brute_force(spark, seed):
 def test_large_blocks_are_cut_by_pivots(spark, monkeypatch, limit):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", limit)
     monkeypatch.setattr(jaccard, "LEAST_COMMON", 1 << 20)  # the shared passage makes one block
+    monkeypatch.setattr(jaccard, "APART_MEMBERS", 0)  # and parities leave it whole
     rounds, tiles = [], []
     cut, laid = jaccard._cut, jaccard._tiles
     monkeypatch.setattr(jaccard, "_cut", lambda *a: rounds.append(1) or cut(*a))
@@ -125,6 +127,16 @@ def test_metric_join_against_brute_force():
         assert {i: forest.root(i) for i in docs} == {i: c for i, (_, c) in brute(docs).items()}
 
 
+def test_parities_keep_every_link_together():
+    for seed in range(8):
+        docs = corpus(seed, 120)
+        sets = {i: shingles.shingle_set(np.frombuffer(t.encode(), np.uint8)) for i, t in docs.items()}
+        rows = pd.DataFrame({"rep": list(docs), "n": [len(s) for s in sets.values()], "bits": [jaccard._parity(s) for s in sets.values()], "block": "0"})
+        got = dict(zip(*jaccard._refine(rows[rows["n"] > 0]).to_numpy().T, strict=True))
+        linked = [(a, b) for a in docs for b in docs if a < b and jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+        assert linked and all(got[a] == got[b] for a, b in linked) and len(got) < 120
+
+
 def test_word_hashes_over_spans(monkeypatch):
     text = ("Ab cd\n" * 500 + "e" * 400 + " f").encode()
     whole = shingles.word_hashes(np.frombuffer(text, np.uint8))

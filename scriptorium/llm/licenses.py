@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 THRESHOLD = 0.8
 #: Common license notices, by SPDX name.
 TEMPLATES = {
@@ -48,6 +50,18 @@ HEADERS = {
     "MIT": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "MPL-2.0": ["Mozilla Public License Version 2.0"],
 }
+#: Whole short licenses, and the notices of long ones that files carry.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD3 = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_APACHE = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_ZLIB = """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+_BOOST = """Distributed under the Boost Software License, Version 1.0."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+for _name, _texts in {"MIT": [_MIT], "BSD-2-Clause": [_BSD2], "BSD-3-Clause": [_BSD3], "ISC": [_ISC], "Apache-2.0": [_APACHE], "Zlib": [_ZLIB], "BSL-1.0": [_BOOST], "Unlicense": [_UNLICENSE], "MPL-2.0": [_MPL]}.items():
+    HEADERS.setdefault(_name, []).extend(_texts)
 #: Bigrams that tell a license from others; asked for where the template has them.
 TELLING = {
     "Apache-2.0": ["apache license", "version 2"], "MIT": ["mit license"], "GPL-3.0": ["gnu general", "version 3"], "GPL-2.0": ["gnu general", "version 2"], "LGPL-3.0": ["gnu lesser", "version 3"], "AGPL-3.0": ["gnu affero", "version 3"],
@@ -76,31 +90,37 @@ def bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
 def _words_of_all(known: list[tuple[str, list[str]]], least: list[int]) -> list[str]:
     """A few words of which every run over the threshold holds one: without them each template keeps fewer bigrams than a run needs."""
     chosen: list[str] = []
-    while lacking := [b for (_, b), k in zip(known, least, strict=True) if sum(not set(g.split()) & set(chosen) for g in b) >= k]:
-        count = lambda w: (sum(any(w in g.split() for g in b) for b in lacking), len(w), w)
-        chosen.append(max(sorted({w for b in lacking for g in b for w in g.split()}), key=lambda w: (len(w) > 4, *count(w))))
-    return chosen
+    while True:
+        lacking = [[g.split() for g in b] for (_, b), k in zip(known, least, strict=True) if sum(not set(g.split()) & set(chosen) for g in b) >= k]
+        if not lacking:
+            return chosen
+        open_ = [{w for g in b for w in g} - set(chosen) for b in lacking]
+        words = sorted(set().union(*open_))
+        chosen.append(max(words, key=lambda w: (len(w) > 4, sum(w in x for x in open_), len(w), w)))
 
 
 def _runs(hits: Column, t: list[str], need: int, high: int, telling: list[str], n: int) -> Column:
-    """Best coefficient of a run with one template; null without one. hits: (i, g), places and bigrams, in order."""
-    own = F.filter(hits, lambda h: h["g"].isin(t))
+    """Best coefficient of a run with one template; null without one. hits: (i, g), places and bigrams, in order.
 
-    def inside(own: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(own) - (need - 1)), lambda k: F.element_at(own, (k + need - 1).cast("int"))["i"] - F.element_at(own, k.cast("int"))["i"] < high)
+    From each hit one walk over the next ones that a run may reach keeps the bigrams seen so
+    far and the best coefficient at any of them.
+    """
+    own = F.filter(hits, lambda h: h["g"].isin(t))
+    told = lambda seen: F.forall(F.array(*map(F.lit, telling)), lambda g: F.array_contains(seen, g)) if telling else F.lit(True)
 
-        def of(k: Column) -> Column:
-            near = F.filter(F.slice(own, k, F.lit(high)), lambda h: h["i"] - F.element_at(own, k.cast("int"))["i"] < high)
+    def walk(own: Column, k: Column) -> Column:
+        begin = F.element_at(own, k.cast("int"))["i"]
+        near = F.filter(F.slice(own, k, F.lit(high)), lambda h: h["i"] - begin < high)
 
-            def run(size: Column, part: Column) -> Column:
-                grams = F.array_distinct(F.transform(part, lambda h: h["g"]))
-                whole = F.size(F.array_intersect(grams, F.array(*map(F.lit, telling)))) == len(telling) if telling else F.lit(True)
-                return F.when(whole, F.size(grams) * 2.0 / (size + n))
+        def step(s: Column, h: Column) -> Column:
+            seen = F.when(F.array_contains(s["seen"], h["g"]), s["seen"]).otherwise(F.array_append(s["seen"], h["g"]))
+            return F.transform(F.array(seen), lambda seen: F.struct(seen.alias("seen"), F.greatest(s["best"], F.when((F.size(seen) >= need) & told(seen), F.size(seen) * 2.0 / (h["i"] - begin + 1 + n)).otherwise(0.0)).alias("best")))[0]
 
-            ends = lambda near: F.transform(F.sequence(F.lit(need), F.size(near)), lambda j: run(F.element_at(near, j)["i"] - F.element_at(near, F.lit(1))["i"] + 1, F.slice(near, F.lit(1), j)))
-            return F.array_max(F.flatten(F.transform(F.array(near), ends)))
+        return F.aggregate(near, F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0.0).alias("best")), step, lambda s: s["best"])
 
-        return F.array_max(F.transform(starts, of))
+    def inside(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(own) - (need - 1)), lambda k: F.element_at(own, (k + need - 1).cast("int"))["i"] - F.element_at(own, k.cast("int"))["i"] < high)
+        return F.array_max(F.transform(starts, lambda k: walk(own, k)))
 
     return F.transform(F.array(own), lambda own: F.when(F.size(own) >= need, inside(own)))[0]
 
@@ -115,14 +135,15 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, thre
     A null, empty or one-word text has none; a license is listed once with its highest
     coefficient, however often its notice is repeated; rows and columns of docs are kept as
     they are (an old `licenses` column is replaced). The coefficient is that of the best passage
-where one reaches the threshold, else that of the best window. Own `templates` come without
-headers, and their names' telling bigrams are asked for as well. No shuffle, and no Python in the plan.
+    where one reaches the threshold, else that of the best window. Own `templates` come without
+    headers, and their names' telling bigrams are asked for as well. No shuffle, and no Python in the plan.
     """
     known = [(name, bigrams(t)) for name, texts in (templates or TEMPLATES).items() for t in texts]
     limits = [bounds(len(b), threshold) for _, b in known]
     headers = [] if templates else [(name, bigrams(t)) for name, texts in HEADERS.items() for t in texts]
     sliding = [(name, b, *bounds(len(b), threshold)) for name, b in known + headers]
     fewest, most = min(a for a, _ in limits), max(b for _, b in limits)
+    g, h = free_names(docs, "grams", "hits")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, r"\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;])\s+")))
@@ -135,13 +156,13 @@ headers, and their names' telling bigrams are asked for as well. No shuffle, and
 
     def dice(t: list[str], low: int, high: int) -> Column:
         common = lambda g: F.size(F.array_intersect(g, F.array(*map(F.lit, t))))
-        return F.array_max(F.transform("_grams", lambda g: F.when(F.size(g).between(low, high), common(g) * 2.0 / (F.size(g) + len(t)))))
+        return F.array_max(F.transform(g, lambda g: F.when(F.size(g).between(low, high), common(g) * 2.0 / (F.size(g) + len(t)))))
 
     def best(name: str) -> Column:
-        return F.greatest(*[dice(t, low, high) for (n, t), (low, high) in zip(known, limits, strict=True) if n == name], F.lit(0.0))
+        return F.greatest(*[dice(t, low, high) for (n, t), (low, high) in zip(known, limits, strict=True) if n == name], F.lit(0.0), F.lit(0.0))
 
     def window(name: str) -> Column:
-        return F.greatest(*[_runs(F.col("_hits"), t, low, high, [g for g in TELLING.get(name, []) if g in t], len(t)) for n, t, low, high in sliding if n == name], F.lit(0.0))
+        return F.greatest(*[_runs(F.col(h), t, low, high, [g for g in TELLING.get(name, []) if g in t], len(t)) for n, t, low, high in sliding if n == name], F.lit(0.0), F.lit(0.0))
 
     gate = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_words_of_all([(n, t) for n, t, _, _ in sliding], [low for _, _, low, _ in sliding]))})(?![\p{{L}}\p{{N}}])"
     all_grams = sorted({g for _, t, _, _ in sliding for g in t})
@@ -154,7 +175,7 @@ headers, and their names' telling bigrams are asked for as well. No shuffle, and
     passage = F.array(*[F.struct(F.lit(name).alias("name"), best(name).alias("dice")) for name in names])
     windows = F.array(*[F.struct(F.lit(name).alias("name"), window(name).alias("dice")) for name in names])
     either = lambda a, b: F.when(a["dice"] >= threshold, a).otherwise(b)
-    told = F.when(F.size("_hits") > 1, F.zip_with(passage, windows, either)).otherwise(passage)
-    out = docs.withColumn("_grams", grams).withColumn("_hits", hits).withColumn("licenses", F.filter(told, lambda m: m["dice"] >= threshold))
-    return out.drop("_grams", "_hits")
+    told = F.when(F.size(h) > 1, F.zip_with(passage, windows, either)).otherwise(passage)
+    out = docs.withColumn(g, grams).withColumn(h, hits).withColumn("licenses", F.filter(told, lambda m: m["dice"] >= threshold))
+    return out.drop(g, h)
 

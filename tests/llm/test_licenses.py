@@ -59,6 +59,112 @@ def test_notices_inside_longer_text(spark):
     assert [rows[i] for i in range(len(LONG))] == [names for names, _ in LONG]
 
 
+#: Notices as they are published, wrapped.
+MIT='''MIT License
+
+Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+'''
+GPL='''    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+'''
+APACHE='''   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+'''
+BSD='''Copyright (c) 2020, Jane Roe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+MPL='''// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+'''
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+
+
+def test_published_notices(spark):
+    """Wrapped, joined to one line, inside other text, behind comment marks."""
+    published = {"MIT": MIT, "GPL-3.0": GPL, "Apache-2.0": APACHE, "BSD-2-Clause": BSD, "MPL-2.0": MPL, "ISC": ISC}
+    forms = [lambda t: t, lambda t: t.replace("\n", " "), lambda t: f"Words before it go on and on. {t} And some more come after.", lambda t: "\n".join(f"# {x}" for x in t.split("\n"))]
+    rows = [(i * 10 + j, f(t), "s") for i, t in enumerate(published.values()) for j, f in enumerate(forms)]
+    got = {r["doc_id"]: {m["name"] for m in r["licenses"]} for r in licenses.scan(documents(spark, rows)).collect()}
+    assert all(name in got[i * 10 + j] for i, name in enumerate(published) for j in range(4)), got
+    assert all("GPL-2.0" not in x for x in got.values()) and not got[50] & {"MIT", "GPL-3.0"}
+
+
+def window_brute(text, name):
+    """Best coefficient of any run of bigrams with any template of a license that holds its telling bigrams."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    grams, best = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)], 0
+    for t in licenses.TEMPLATES.get(name, []) + licenses.HEADERS.get(name, []):
+        want = licenses.bigrams(t)
+        low, high = licenses.bounds(len(want))
+        telling = {g for g in licenses.TELLING.get(name, []) if g in want}
+        for a in range(len(grams)):
+            for b in range(a + low, min(len(grams), a + high) + 1):
+                run = set(grams[a:b])
+                if telling <= run:
+                    best = max(best, 2 * len(run & set(want)) / (b - a + len(want)))
+    return best
+
+
+def test_windows_against_brute_force(spark):
+    texts = [t for _, t in LONG] + [APACHE, MPL]
+    rows = {r["doc_id"]: {m["name"]: m["dice"] for m in r["licenses"]} for r in licenses.scan(documents(spark, [(i, t.replace("\n", " ").replace(".", ","), "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        for name in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0"):
+            best = window_brute(t.replace("\n", " ").replace(".", ","), name)
+            passage = dict(brute(t.replace("\n", " ").replace(".", ","))).get(name, 0)
+            want = passage or (best if best >= licenses.THRESHOLD else 0)
+            assert rows[i].get(name, 0) == pytest.approx(want), (i, name)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.sql("SELECT 1 AS doc_id, 'Released under the MIT License.' AS text, 2 AS grams, 3 AS hits, 4 AS _grams, 5 AS _hits, map('a', 1) AS m")
+    out = licenses.scan(df)
+    assert out.columns == [*df.columns, "licenses"] and out.first()["_grams"] == 4 and out.first()["licenses"][0]["name"] == "MIT"
+
+
 def test_odd_rows_and_columns(spark):
     docs = odd_documents(spark)
     out = licenses.scan(docs)

@@ -65,7 +65,7 @@ def _digits(rows: int) -> int:
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """(slot, source, rank): slots dealt to sources by golden-ratio points; slot is null for closing slots.
+    """(slot, source, rank): slots dealt to sources by golden-ratio points; closing slots are numbered on, by rank.
 
     Needs (source, n_slots). Ranks count each source's slots from 0 and stay under n_slots.
     """
@@ -82,18 +82,12 @@ def schedule(sources: DataFrame) -> DataFrame:
     used = ranked.where(F.col("rank") < F.col("n_slots")).select("slot", "source", "rank")
     counts = dealt.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("given"))
     short = sources.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("given", F.coalesce("given", F.lit(0))).where(F.col("given") < F.col("n_slots"))
-    closing = short.select(F.lit(None).cast("long").alias("slot"), "source", F.explode(F.sequence(F.col("given"), F.col("n_slots") - 1)).alias("rank"))
-    return used.unionByName(closing)
+    closing = short.withColumn("rank", F.explode(F.sequence(F.col("given"), F.col("n_slots") - 1)))
+    return used.unionByName(closing.select((F.lit(total) + F.col("rank")).alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, text_hash) of every row.
-
-    taken: words of the row that the mix takes, repeats counted: whole epochs, then what the
-    last, cut epoch reaches. A null or empty text has size 0 and is never taken; a null
-    source is a source of its own, the last; null ids sort as empty strings; repeated rows
-    are rows like others; an empty table gives none; other columns are ignored. Reruns agree.
-    """
+def _laid_out(docs: DataFrame, weights, most, block, id_col, text_col, source_col):
+    """(rows, sources, slots placed on blocks, pieces of documents in blocks): what `mix` and `in_order` are made of."""
     rows = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     n = rows.count()
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -104,28 +98,54 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     sources = sources.withColumn("n_blocks", F.expr("(source_size + length - 1) div length"))
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("goal div greatest(source_size, 1)")).otherwise(0)).withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size"))
     sources = written(sources.withColumn("n_slots", F.col("epochs") * F.col("n_blocks") + F.expr("(rest + length - 1) div length")), "mix-sources")
-
     slots = schedule(sources.select("source", "n_slots"))
     about = sources.select(F.col("source").alias("_source"), "n_blocks", "length", "epochs", "rest")
     same = F.col("source").eqNullSafe(F.col("_source"))
-    placed = slots.join(about, same).withColumn("block", F.expr("rank % n_blocks")).withColumn("cut", F.when(F.expr("rank div n_blocks") == F.col("epochs"), F.col("rest") - F.col("block") * F.col("length")))
-    uses = placed.groupBy("source", "block").agg(
-        F.count_if(F.col("cut").isNull() | (F.col("cut") >= F.col("length"))).alias("full"),
-        F.max(F.when(F.col("cut") < F.col("length"), F.col("cut"))).alias("cut"),
-    )
-
+    placed = slots.join(about, same).drop("_source").withColumn("block", F.expr("rank % n_blocks")).withColumn("cut", F.when(F.expr("rank div n_blocks") == F.col("epochs"), F.col("rest") - F.col("block") * F.col("length")))
     laid = prefix_sums(rows.withColumn("bucket", F.substring("key", 1, _digits(n))), ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_hash")], "size", "begin")
     laid = laid.join(about, same).drop("_source")
     pieces = laid.where("size > 0").withColumn("block", F.explode(F.expr("sequence(begin div length, (begin + size - 1) div length)")))
-    low = F.greatest(F.col("begin"), F.col("block") * F.col("length")) - F.col("block") * F.col("length")
-    high = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.col("block") * F.col("length")
-    used = uses.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "full", "cut")
-    joined = pieces.join(used, same & (F.col("block") == F.col("_block")), "left")
+    first = F.col("block") * F.col("length")
+    pieces = pieces.withColumn("low", F.greatest(F.col("begin"), first) - first).withColumn("high", F.least(F.col("begin") + F.col("size"), first + F.col("length")) - first)
+    return rows, sources, placed, pieces
+
+
+def in_order(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: (slot, place, source, doc_id, first_word, n_words), in the order (slot, place).
+
+    Slot by slot as the golden-ratio points deal them; a slot's block gives its words piece by
+    piece, each a run of words of one document. Closing slots come after all others. Rows that
+    `mix` takes nothing of have none; nulls, ties and empty tables are as there.
+    """
+    _, sources, placed, pieces = _laid_out(docs, weights, most, block, id_col, text_col, source_col)
+    slots = placed.select("slot", F.col("source").alias("_source"), F.col("block").alias("_block"), "cut")
+    met = slots.join(pieces, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+    end = F.least(F.col("high"), F.coalesce("cut", F.col("high")))
+    return met.where(end > F.col("low")).select("slot", F.col("low").alias("place"), "source", "doc_id", (F.col("block") * F.col("length") + F.col("low") - F.col("begin")).alias("first_word"), (end - F.col("low")).alias("n_words"))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot, source, text_hash) of every row.
+
+    taken: words of the row that the mix takes, repeats counted: whole epochs, then what the
+    last, cut epoch reaches; first_slot: the slot in which its first words come, null if none do. A null or empty text has size 0 and is never taken; a null
+    source is a source of its own, the last; null ids sort as empty strings; repeated rows
+    are rows like others; an empty table gives none; other columns are ignored. Reruns agree.
+    """
+    rows, sources, placed, pieces = _laid_out(docs, weights, most, block, id_col, text_col, source_col)
+    uses = placed.groupBy("source", "block").agg(
+        F.count_if(F.col("cut").isNull() | (F.col("cut") >= F.col("length"))).alias("full"),
+        F.max(F.when(F.col("cut") < F.col("length"), F.col("cut"))).alias("cut"), F.min("slot").alias("slot"),
+    )
+    used = uses.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "full", "cut", "slot")
+    joined = pieces.join(used, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
+    low, high = F.col("low"), F.col("high")
     words = F.coalesce("full", F.lit(0)) * (high - low) + F.greatest(F.least(high, F.coalesce("cut", F.lit(0))) - low, F.lit(0))
-    taken = joined.groupBy("doc_id", "source", "begin", "size", "text_hash").agg(F.sum(words).alias("taken"))
-    every = taken.unionByName(rows.where("size = 0").select("doc_id", "source", F.lit(0).cast("long").alias("begin"), "size", "text_hash", F.lit(0).cast("long").alias("taken")))
+    taken = joined.withColumn("words", words).groupBy("doc_id", "source", "begin", "size", "text_hash").agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"))
+    none = F.lit(None).cast("long")
+    every = taken.unionByName(rows.where("size = 0").select("doc_id", "source", F.lit(0).cast("long").alias("begin"), "size", "text_hash", F.lit(0).cast("long").alias("taken"), none.alias("first_slot")))
     facts = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    return every.join(facts, same).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "text_hash")
+    return every.join(facts, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot", "source", "text_hash")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:

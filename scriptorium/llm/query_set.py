@@ -15,8 +15,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How many words of each document the mix takes, and the slot of the schedule in which its first ones come."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

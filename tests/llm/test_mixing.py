@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -81,3 +82,60 @@ def test_mixed_texts(spark):
         got[r["doc_id"]] += words(r["text"])
         assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
     assert dict(got) == {i: t for i, (t, _) in takes.items() if t}
+
+
+def simulated(rows, block=8):
+    """The schedule by loops: streams by MD5 of the id, blocks, golden-ratio points, slot after slot."""
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    order = sorted(sizes)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, list(order), sum(sizes.values())
+    while True:
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * sizes[s]]
+        if not over:
+            target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            open_.remove(s)
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in order if s not in open_)
+    length = {s: -(-sizes[s] // -(-sizes[s] // block)) for s in order}
+    stream = {s: [(i, w) for _, i, n in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, x in rows if x == s) for w in range(n)] for s in order}
+    goal = {s: int(target[s]) for s in order}
+    blocks = {s: -(-sizes[s] // length[s]) for s in order}
+    slots = {s: goal[s] // sizes[s] * blocks[s] + -(-(goal[s] % sizes[s]) // length[s]) for s in order}
+    total, low, dealt = sum(slots.values()), {}, []
+    at = 0
+    for s in order:
+        low[s] = (at / total, (at + slots[s]) / total)
+        at += slots[s]
+    given = dict.fromkeys(order, 0)
+    for slot in range(total):
+        u = (slot + 1) * 0.6180339887498949 % 1.0
+        s = next(s for s in order if low[s][0] <= u < low[s][1])
+        if given[s] < slots[s]:
+            dealt.append((slot, s, given[s]))
+        given[s] += 1
+    for s in order:
+        dealt += [(total + r, s, r) for r in range(given[s], slots[s])]
+    out = []
+    for slot, s, rank in sorted(dealt):
+        b = rank % blocks[s]
+        words = stream[s][b * length[s] : (b + 1) * length[s]]
+        if rank // blocks[s] == goal[s] // sizes[s]:
+            words = words[: goal[s] % sizes[s] - b * length[s]]
+        out += [(slot, s, i, w) for i, w in words]
+    return out
+
+
+def test_against_a_plain_simulation(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{k}" for k in range(r.randrange(1, 30))), r.choice("aaaabcd")) for i in range(60)]
+    want = simulated(rows)
+    docs = documents(spark, rows)
+    got = sorted(mixing.in_order(docs, block=8).collect(), key=lambda x: (x["slot"], x["place"]))
+    assert [(x["slot"], x["source"], x["doc_id"], x["first_word"] + k) for x in got for k in range(x["n_words"])] == want
+    taken = {x["doc_id"]: (x["taken"], x["first_slot"]) for x in mixing.mix(docs, block=8).collect()}
+    assert taken == {i: (sum(d == i for _, _, d, _ in want), min((s for s, _, d, _ in want if d == i), default=None)) for i, _, _ in rows}

@@ -89,6 +89,7 @@ class Counter:
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.words = Merges({p: (rank, p[0] + p[1]) for rank, p in enumerate(pairs)}, model["end_of_word_suffix"] or "")
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.specials = specials
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
@@ -96,7 +97,7 @@ class Counter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special is None or "<|" not in text:
+        if not any(x in text for x in self.specials):
             return self._plain(text)
         total, at = 0, 0
         for m in self.special.finditer(text):

@@ -27,6 +27,15 @@ CACHED_WORDS = 400_000
 #: Long texts are worked through in pieces of about so many characters, cut before white space.
 PIECE = 1_000_000
 
+#: Letters (first and last of each run) that Unicode has had since version 17. The library splits by version 16, the `regex` module by a later one.
+NEWER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Small letters of those that version 16 added, which Python's tables (15.1) lack.
+LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {i: i + 0x20 for i in range(0x10D50, 0x10D66)}
+
 _SPACE = regex.compile(r"[ \t\n\r\f\v]")
 
 
@@ -93,6 +102,8 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
+        newer = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER_LETTERS)
+        self.wide = regex.compile(split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]"), regex.V1)
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -121,6 +132,7 @@ class Counter:
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case goes by single code points: no final form
                 text = text.replace("Σ", "σ")
+            return sum(map(self.words.__getitem__, self.wide.findall(text.lower().translate(LOWER))))
         return sum(map(self.words.__getitem__, self.pattern.findall(text.lower())))
 
 

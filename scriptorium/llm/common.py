@@ -33,16 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Rows that go to Python at a time where a row may be a long text.
+FEW_ROWS = 1000
+
+
+def written(df: DataFrame, label: str, rows_at_a_time: int | None = None) -> DataFrame:
     """Cuts the lineage: df written as Parquet to the shared folder and read back.
 
+    rows_at_a_time bounds the batches that Python functions of df get while it is written.
+
     Survives the loss of any executor, and gives later plans true file sizes to plan with.
     Results are lazy and may read the table for as long as the session lasts, so it goes when
     the driver's process ends, or earlier by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if rows_at_a_time is not None:
+            spark.conf.set(key, rows_at_a_time)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))

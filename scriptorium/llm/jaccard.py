@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, written
+from .common import FEW_ROWS, discard, written
 from .components import components
 from .shingles import column_bytes, mix64, shingle_set
 
@@ -49,7 +49,7 @@ PER, OUT_OF = 8, 10
 #: Bits that name a cell of the table of common shingles; most cells marked common; least count.
 CELL_BITS, MOST_COMMON, LEAST_COMMON = 23, 1 << 20, 4
 #: Shingles that a worker holds at a time while counting, and members of regions while forming these (about 250 MB of work space each).
-HELD, HELD_MEMBERS = 1 << 21, 1 << 19
+HELD, HELD_MEMBERS = 1 << 21, 1 << 18
 #: Members of a region whose pairs are looked at one by one.
 FEW = 4
 #: Bits of the filter of documents that are in blocks.
@@ -668,7 +668,7 @@ def block_links(rows: DataFrame, places: DataFrame, done: list, limit: int) -> D
     ready = _loaded(rows, small, done).select("block", F.lit("").alias("tile"), F.lit(-1).cast("long").alias("label"), "doc_id", "shingles")
     edges: list[DataFrame] = []
     if any_large:
-        loaded = written(_loaded(rows, places.join(large, "block", "left_semi"), done), "jaccard-loaded")
+        loaded = written(_loaded(rows, places.join(large, "block", "left_semi"), done), "jaccard-loaded", FEW_ROWS)
         done.append(loaded)
         parts, edges = large_blocks(loaded, limit, done)
         ready = ready.unionByName(parts)
@@ -716,7 +716,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark, done = docs.sparkSession, []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long, k long, bits binary"), "jaccard-survey")
+    survey = written(rows.mapInArrow(_survey, "kind long, a long, b long, c long, n long, k long, bits binary"), "jaccard-survey", FEW_ROWS)
     facts = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("s1"), F.col("c").alias("s2"), "n", "k", "bits")
     one = facts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "k")).alias("f")).select("doc_id", "f.*").where("n > 0")
     members = written(_class_members(one, facts.count()), "jaccard-members")
@@ -729,7 +729,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # classes of the region pass become the documents that stand for them
     rep = sizes.select("k", "rep")
     ends = met.join(rep, F.col("a") == F.col("k")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("k")).select("a", F.col("rep").alias("b"), "sure")
-    edges = written(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "jaccard-edges")
+    edges = written(ends.where("a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "jaccard-edges", FEW_ROWS)
     done.append(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sizes.select("rep", F.col("s1").alias("_s1")), "rep")
     known = facts.select("doc_id", "s1", "n", "bits").join(nodes, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1"))).dropDuplicates(["rep"])
@@ -749,7 +749,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     every = apart.unionByName(weighed.where(~small).select("rep", "block"))
     places = written(every.join(known.select("rep", "s1", "n"), "rep"), "jaccard-places")
     done.append(places)
-    roots = components(block_links(rows, places, done, BLOCK_SHINGLES), "jaccard-roots").select(F.col("id").alias("rep"), "root")
+    links = written(block_links(rows, places, done, BLOCK_SHINGLES), "jaccard-links", FEW_ROWS)
+    done.append(links)
+    roots = components(links, "jaccard-roots").select(F.col("id").alias("rep"), "root")
     found = members.join(roots, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     for held in done:
         held.destroy() if hasattr(held, "destroy") else discard(held)

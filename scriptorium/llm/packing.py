@@ -60,9 +60,9 @@ def boundaries(counts: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def _spans(text, size, max_len: int):
-    """(start, end, length) of each piece of a text of `size` words, in code points; pieces lie end to end and are the text."""
+    """(start, end, length, over) of each piece of a text of `size` words, in code points; pieces lie end to end and are the text."""
     long = F.lit(max_len).cast("long")
-    span = lambda a, b, n: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), n.cast("long").alias("length"))
+    span = lambda a, b, n: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), n.cast("long").alias("length"), F.lit(0).cast("long").alias("over"))
     whole = F.array(span(F.lit(0), F.length(text), size))
     # parts that end with a word; the last also has what follows it
     parts = F.transform(F.split(text, rf"(?<=[^{BLANKS}])(?=[{BLANKS}])"), F.length)
@@ -131,8 +131,9 @@ def pack(docs: DataFrame, *, max_len: int = MAX_LEN, buckets: int = BUCKETS, bud
     base = docs.select("doc_id", *kept, F.coalesce("text", F.lit("")).alias("text"))
     held = [c for c in base.columns if c != "text"]
     if vocabulary is None:
-        sizes = base.withColumn("size", word_count(F.col("text")))
-        cut = sizes.select(*held, _spans(F.col("text"), F.col("size"), max_len).alias("spans")).withColumn("spans", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["length"].alias("length"), F.lit(0).cast("long").alias("over"))))
+        # a lambda's variable is computed once, however often the spans use it
+        spans = F.transform(F.array(word_count(F.col("text"))), lambda size: _spans(F.col("text"), size, max_len))[0]
+        cut = base.select(*held, spans.alias("spans"))
     else:
         cut = _token_spans(base.select(F.struct(*held).alias("row"), "text"), vocabulary, max_len).select("row.*", "spans")
     exploded = cut.select(*held, key.alias("key"), F.size("spans").cast("long").alias("n_pieces"), F.posexplode("spans").alias("piece", "s"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import word_count, written
+from .common import FEW_ROWS, word_count, written
 from .shingles import _BASE, column_bytes, mix64
 
 PASSAGE = 64
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model
             room -= r["passages"]
     few = sample.where(F.col("doc_id").isin(taken)) if taken else sample.limit(0)
     features = few.select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, x binary")
-    row = written(features.repartition(1).mapInArrow(_learned, "parts array<binary>"), "quality-model").first()
+    row = written(features.repartition(1).mapInArrow(_learned, "parts array<binary>"), "quality-model", FEW_ROWS).first()
     if row is None:  # no partition, no task
         return learn(np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0))
     return Model(*[np.frombuffer(bytes(b), np.float64).reshape(v.shape) for b, v in zip(row["parts"], vars(Model.start()).values(), strict=True)])

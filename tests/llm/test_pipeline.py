@@ -53,3 +53,42 @@ def test_stages(spark, tmp_path):
         packed[x["doc_id"]] += x["length"]
     assert packed == mixed
     assert pii.KEY and corpus_pipeline.ORACLE_SQL is None
+
+
+LABELS = "doc_id long, quality int, toxic int"
+#: Columns whose names the stages use inside.
+EXTRA = "map('a', 1) AS m, 1 AS _id, 2 AS row, 3 AS of, 4 AS words, 5 AS key, 6 AS hits, 7 AS again, 8 AS quality_score, 9 AS pii_count, 10 AS n, 11 AS s1, 12 AS size, 13 AS taken, 14 AS _k0, 15 AS component_id, 16 AS `a.b`"
+
+
+def tables(spark, path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.createOrReplaceTempView("pipeline_docs")
+    spark.sql(f"SELECT *, {EXTRA} FROM pipeline_docs").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(3)] + [(None, 1, 0), (5, None, 0)], LABELS).write.parquet(f"{path}/labels.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (1, "other words that are not the same at all", "en", "a", 1), (2, "one two three four five six", None, None, None), (3, None, "en", "a", None), (4, "", "en", "b", 0), (5, " \n", "en", "b", 2), (None, "no id here at all today", "en", "b", 23), (None, "no id here at all today", "en", "b", 23), (6, long, "en", "c", len(long)), (7, "x" * 30000, "en", "c", 30000)]
+    docs = tables(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, str(tmp_path)), "test")
+        if name == "packing":
+            assert out.where("length > 0").count() > 5
+        else:
+            assert out.columns == docs.columns and out.schema["m"].dataType == docs.schema["m"].dataType
+            assert all(x["a.b"] == 16 and x["key"] == 5 and x["quality_score"] == 8 for x in out.collect())
+        if name == "n-gram Jaccard join":
+            kept = [(x["doc_id"], x["text"]) for x in out.collect()]
+            assert sorted(i for i, _ in kept if i) == [1, 3, 4, 5, 6, 7] and sum(i is None for i, _ in kept) == 2
+            assert dict(kept)[1] == "one two three four five six"  # the smallest set stands for the id
+        docs = out
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, str(tmp_path)), "test")
+        assert out.count() == 0
+        docs = out if name != "packing" else docs

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import re
+from functools import reduce
 
 import pytest
+import xxhash
 
 from scriptorium.llm import simhash
 
@@ -67,3 +70,49 @@ def test_near_pairs_against_brute_force(spark):
     want = {(a, b, (known[a] ^ known[b]).bit_count()) for a in known for b in known if a < b and (known[a] ^ known[b]).bit_count() <= 3}
     assert {(p["class_a"], p["class_b"], p["bits"]) for p in pairs.collect()} == want
     assert want
+
+
+def plain_print(text):
+    """Votes of all three-word shingles, by loops."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
+    chain = lambda ws: reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), ws, 42)
+    terms = [chain(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [chain(words)] if words else []
+    other = [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xxhash.xxh64_intdigest(t.to_bytes(8, "little"), 42)) for t in terms]
+    bits = lambda hashes: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+    return f"{bits(other):016X}{bits(terms):016X}"
+
+
+def test_fingerprints_against_plain_votes(spark):
+    r = random.Random(7)
+    texts = [None, "", " ", "one", "one two", "a b c", "a b c a b c a b c", "Ünïcode 日本語\tx  y\n z"] + [" ".join(r.choices("abcdefgh", k=r.randrange(3, 60))) for _ in range(40)]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    rows = {x["doc_id"]: x for x in simhash.compare_with_edits(docs).collect()}
+    edited = lambda i: (lambda t, after: t[: len(t) - len(t) // 2] + after[: len(t) // 2])(texts[i] or "", texts[i - 1] or "")
+    for i, t in enumerate(texts):
+        x = rows[i]
+        assert x["fingerprint"] == plain_print(t) and x["edited_fingerprint"] == plain_print(edited(i))
+        assert x["near_next"] == pytest.approx(1 - (int(x["fingerprint"], 16) ^ int(plain_print(texts[i - 1]), 16)).bit_count() / 128)
+    prints = {i: plain_print(t) for i, t in enumerate(texts)}
+    first = {p: min(j for j in prints if prints[j] == p) for p in prints.values()}
+    near = lambda p: sum(0 < (int(p, 16) ^ int(q, 16)).bit_count() <= simhash.RADIUS for q in first)
+    assert all((rows[i]["class_id"], rows[i]["n_near"]) == (first[p], near(p)) for i, p in prints.items())
+
+
+def test_large_buckets_are_keyed_anew(spark, monkeypatch):
+    """A group of near fingerprints in one bucket of every table: second tables and chunks lose no pair."""
+    monkeypatch.setattr(simhash, "LARGE", 20)
+    monkeypatch.setattr(simhash, "CHUNK", 6)
+    r = random.Random(8)
+    base = r.getrandbits(128)
+    known = {}
+    for i in range(150):
+        p = base
+        for _ in range(r.randrange(0, 5)):
+            p ^= 1 << r.randrange(40)
+        known.setdefault(p, i)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    df = spark.createDataFrame([(i, signed(p & (2**64 - 1)), signed(p >> 64)) for p, i in known.items()], "doc_id long, low long, high long")
+    _, pairs = simhash.near_pairs(df, 3)
+    want = {(min(i, j), max(i, j), (p ^ q).bit_count()) for p, i in known.items() for q, j in known.items() if i < j and (p ^ q).bit_count() <= 3}
+    found = [tuple(x) for x in pairs.collect()]
+    assert set(found) == want and len(found) == len(want) > 200

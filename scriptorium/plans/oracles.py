@@ -162,7 +162,7 @@ ORACLES = {
         , calls AS (SELECT name, ner_label, row_number() OVER (ORDER BY mention_count DESC, chunk_count DESC, name, ner_label) AS r FROM decided WHERE NOT same)
         SELECT name, ner_label, CASE WHEN same THEN 'cached' WHEN r <= 25 THEN 'call' ELSE 'budget_skipped' END AS action FROM decided LEFT JOIN calls USING (name, ner_label)"""),
     "manifest_merge": _with(_HASHES, """
-        SELECT name AS entity_name, ner_label, source_hash, 'success' AS status, '2026-02-02T00:00:00+00:00' AS last_attempt_at FROM decided WHERE NOT same
+        SELECT name AS entity_name, ner_label, source_hash, CASE WHEN length(name) % 2 = 0 THEN 'success' ELSE 'failed' END AS status, '2026-02-02T00:00:00+00:00' AS last_attempt_at FROM decided WHERE NOT same
         UNION ALL SELECT k.name, k.ner_label, k.old, k.status, '2026-01-01T00:00:00+00:00' FROM known k JOIN decided d USING (name, ner_label) WHERE d.same"""),
     "systemic_abort": """
         SELECT n, attempted, failures FROM (
@@ -205,6 +205,11 @@ ORACLES = {
         SELECT doc_id, source || '/' || doc_id || '.txt' AS source, (doc_id % 7) || '.' || (doc_id % 11) AS short, ['stop', 'stop', 'max_tokens', 'end_turn', 'refusal'][CAST(doc_id % 5 + 1 AS INTEGER)] AS finish,
                sha256(regexp_replace(replace(t, '.', chr(10) || '---' || chr(10)), '(?m)^---$', '\\---', 'g')) AS fenced, replace(substr(t, 1, 80), chr(10), ' ') AS excerpt, length(t) - length(replace(t, '.', '')) <= 1 AS single
         FROM (SELECT *, coalesce(text, '') AS t FROM documents)""",
+    "file_names": r"""
+        WITH r AS (SELECT ['CON', 'PRN', 'AUX', 'NUL'] || list_transform(range(1, 10), lambda i: 'COM' || i) || list_transform(range(1, 10), lambda i: 'LPT' || i) AS l),
+        n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN l[CAST(doc_id // 50 % 22 + 1 AS INTEGER)] ELSE substr(text, 1, 24) END AS name, l FROM documents, r),
+        s AS (SELECT doc_id, name, regexp_replace(name, '[/\\:*?"<>|\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '_', 'g') AS safe, l FROM n WHERE name <> '' AND name NOT LIKE '.%')
+        SELECT doc_id, 'PRODUCT__' || safe || CASE WHEN list_contains(l, upper(safe)) THEN '_' ELSE '' END || '_' || substr(sha256('PRODUCT' || chr(0) || name), 1, 6) || '.md' AS file_name FROM s""",
     "stub_tokens": _with(_DOCS, r"""
         , words AS (SELECT source, list_filter(list_transform(string_split_regex(text, '[。\n ]'), lambda w: translate(w, '、.,', '')), lambda w: length(w) >= 2) AS l FROM docs),
         kept AS (SELECT source, len(l) AS n, list_filter(list_transform(list_filter(l, lambda w: length(w) % 3 <> 2), lambda w: trim(lower(w))), lambda w: w NOT IN ('', 'the', 'and')) AS k FROM words)

@@ -191,10 +191,11 @@ def budget_plan(spark, sf_dir):
 
 
 def manifest_merge(spark, sf_dir):
-    """M4: results of the calls over what was known."""
+    """M4: results of the calls, good and failed, over what was known of all states."""
     _, found, known = _planned(spark, sf_dir)
     called = manifest.decide(found, known).where("action = 'call'")
-    new = manifest.as_entries(called, F.lit("success"), F.col("source_hash"), F.lit(""), "2026-02-02T00:00:00+00:00")
+    status = F.when(F.length("name") % 2 == 0, "success").otherwise("failed")
+    new = manifest.as_entries(called, status, F.col("source_hash"), F.lit(""), "2026-02-02T00:00:00+00:00")
     return manifest.merge(known, new).select("entity_name", "ner_label", "source_hash", "status", "last_attempt_at")
 
 
@@ -286,6 +287,14 @@ def text_functions(spark, sf_dir):
     )
 
 
+def file_names(spark, sf_dir):
+    """Safe names of any text: the first 24 signs of every document, with blanks, punctuation and other scripts, and the reserved names."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    name = F.when(F.col("doc_id") % 50 == 0, F.element_at(F.array(*map(F.lit, T.RESERVED)), (F.col("doc_id") / 50 % len(T.RESERVED)).cast("int") + 1)).otherwise(F.substring("text", 1, 24))
+    rows = docs.select("doc_id", name.alias("name")).where("name <> '' AND NOT name LIKE '.%'")
+    return rows.select("doc_id", T.entity_filename(F.lit("PRODUCT"), F.col("name")).alias("file_name"))
+
+
 def stub_tokens(spark, sf_dir):
     """The tokens of the plain contract (split at stops, line feeds and blanks, without `、.,`, two signs at least), then those that carry meaning."""
     words = F.filter(F.transform(F.split("text", "[。\n ]"), lambda w: F.translate(w, "、.,", "")), lambda w: F.length(w) >= 2)
@@ -305,5 +314,5 @@ def skipped_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, top_keywords, query_topk,
     token_slice, entity_slice, bio_spans, entity_attach, entity_aggregate, entity_stats, entity_filenames, source_hash, cache_decision, budget_plan, manifest_merge, systemic_abort,
-    prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary, lint_switches, text_functions, stub_tokens, skipped_files,
+    prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary, lint_switches, text_functions, file_names, stub_tokens, skipped_files,
 )}

@@ -131,7 +131,7 @@ def test_the_sample_is_bounded_and_made_of_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_PASSAGES", 40)
     kept = []
     real = quality.written
-    monkeypatch.setattr(quality, "written", lambda df, label: kept.append((label, real(df, label))) or kept[-1][1])
+    monkeypatch.setattr(quality, "written", lambda df, label, *more: kept.append((label, real(df, label, *more))) or kept[-1][1])
     one, two = quality.fit(docs, known), quality.fit(docs.repartition(3), known.repartition(2))
     assert all((getattr(one, k) == getattr(two, k)).all() for k in vars(one))
     turns = [r["doc_id"] for r in kept[0][1].orderBy("turn", "doc_id").collect()]

@@ -36,6 +36,8 @@ NEWER_LETTERS = [
 #: Small letters of those that version 16 added, which Python's tables (15.1) lack.
 LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {i: i + 0x20 for i in range(0x10D50, 0x10D66)}
 
+#: All of both tables lies here; other texts take the plain pattern, which is faster.
+_LATE = regex.compile(f"[{chr(NEWER_LETTERS[0][0])}-{chr(0x10FFFF)}]")
 _SPACE = regex.compile(r"[ \t\n\r\f\v]")
 
 
@@ -132,7 +134,8 @@ class Counter:
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case goes by single code points: no final form
                 text = text.replace("Σ", "σ")
-            return sum(map(self.words.__getitem__, self.wide.findall(text.lower().translate(LOWER))))
+            if _LATE.search(text):
+                return sum(map(self.words.__getitem__, self.wide.findall(text.lower().translate(LOWER))))
         return sum(map(self.words.__getitem__, self.pattern.findall(text.lower())))
 
 

@@ -5,12 +5,15 @@ The Jaccard distance 1 - |x & y| / |x | y| is a metric. The join is exact and ha
 Regions. Pivots alone cannot part a corpus: nearly all documents are at distance 1 from
 every pivot (measured in the README), all are equally near to all regions, and every window
 holds everything. So the first cut is lossless and cheap: in one fixed order of shingles a
-document is a member of the region of each of its first n - ceil(0.8 n) + 1 shingles, and two
-linked documents always share a region. Shingles that come often in the corpus (counted over
-all of it) stand last in that order, so that shared passages make no regions. A region is cut
-where its sizes leave a gap that no linked pair can bridge, and is reduced to a star around
-its least document where it is found, before anything is shuffled. Regions that touch form
-a block, which holds every link of its documents.
+document is a member of the region of each of its first n - ceil(0.8 n) + 3 shingles, and two
+linked documents that differ always share three regions. Shingles that come often in the
+corpus (counted over all of it) stand last in that order, so that shared passages make no
+regions. A region is cut where its sizes leave a gap that no linked pair can bridge. Its pairs
+are counted, and those that meet in three regions stay: documents that share a few words by
+chance, as ever more do in a growing corpus, are not tied. Where a region has many members, or
+some of nearly one size (near copies), it becomes a star around its least document instead;
+very large ones do so where they are found, before anything is shuffled. Documents that such
+pairs and stars connect form a block, which holds every link of its documents.
 
 Blocks. A block is taken apart first by the parities of its sets (a lower bound of their
 difference, 16 to 32 times smaller than the sets), so that documents that only share passages
@@ -50,8 +53,10 @@ PER, OUT_OF = 8, 10
 CELL_BITS, MOST_COMMON, LEAST_COMMON = 23, 1 << 20, 4
 #: Shingles that a worker holds at a time while counting, and members of regions while forming these (about 250 MB of work space each).
 HELD, HELD_MEMBERS = 1 << 21, 1 << 18
-#: Members of a region whose pairs are looked at one by one.
-FEW = 4
+#: Regions that two linked documents share at least. Linked sets that differ have 4 shingles in common, so this is 4 at most.
+SHARED = 3
+#: Members of a region whose pairs are counted: of one whose sizes differ by a twentieth at most, and of any other. Positions that are paired at a time.
+FEW, MANY, PAIRED = 4, 64, 1 << 16
 #: Bits of the filter of documents that are in blocks.
 BLOCK_BITS = 24
 #: Members, and shingles, of a block that one task takes apart by parities (a quarter to half a byte a shingle).
@@ -71,7 +76,8 @@ def linked(common: int, a: int, b: int) -> bool:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-PER * n // OUT_OF) + 1
+    """Two linked sets that differ have SHARED of their first shingles in common at least: after the SHARED-th common one, each set holds all others."""
+    return min(n, n - -(-PER * n // OUT_OF) + SHARED)
 
 
 # --- pass 1: sizes, signatures and common shingles
@@ -199,36 +205,49 @@ def _prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return early[:k] if len(early) >= k else np.concatenate((early, s[late][: k - len(early)]))
 
 
-def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, star: np.ndarray):
-    """Members of regions -> (edges of stars, pairs of small regions, members left with those that stand for a star).
+def _stars(key: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, star: np.ndarray, few: int):
+    """Members of regions -> (edges of stars, members left, the part of a region that each of these is in, members that stand for a star).
 
-    Regions go by key and are cut at gaps of size that no linked pair bridges. A region of
-    more than FEW members becomes a star around its least document, which stands for it.
+    Regions go by key and are cut at gaps of size that no linked pair bridges; repeated
+    members count once. A part of more than MANY members, of more than `few` of nearly one
+    size, or with a member that stands for a star, becomes a star around its least document,
+    which stands for it.
     """
-    order = np.lexsort((low, key))
-    key, doc, low, high, star = (x[order] for x in (key, doc, low, high, star))
+    order = np.lexsort((doc, low, key))
+    rows = [x[order] for x in (key, doc, low, high, star)]
+    again = np.logical_and.reduce([x[1:] == x[:-1] for x in rows])
+    key, doc, low, high, star = (x[np.concatenate(([True], ~again))] for x in rows)
     new_key = np.concatenate(([True], key[1:] != key[:-1]))
-    group = np.cumsum(new_key).astype(np.int64) << 40
+    group = np.cumsum(new_key).astype(np.int64) << 31  # sizes have 30 bits
     reach = np.maximum.accumulate(group + high) - group
     cut = new_key
     cut[1:] |= PER * low[1:] > OUT_OF * reach[:-1]
     at, of = np.flatnonzero(cut), np.cumsum(cut) - 1
     size = np.diff(np.concatenate((at, [len(key)])))
-    pivot = np.minimum.reduceat(doc, at)
-    starred = (size > FEW) | ((size > 1) & np.logical_or.reduceat(star, at))
+    pivot, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(high, at)
+    alike = 20 * most <= 21 * low[at]
+    starred = (size > MANY) | ((size > few) & alike) | ((size > 1) & np.logical_or.reduceat(star, at))
     far = starred[of] & (doc != pivot[of])
     edges = _distinct(doc[far], pivot[of][far])
-    few = ~starred[of] & (size[of] > 1)
-    pairs = [np.zeros((2, 0), np.int64)]
-    for lag in range(1, FEW):
-        meet = np.flatnonzero(few[lag:] & few[:-lag] & (of[lag:] == of[:-lag]))
-        pairs.append(np.stack((np.maximum(doc[meet], doc[meet + lag]), np.minimum(doc[meet], doc[meet + lag]))))
-    laid = np.concatenate(pairs, axis=1)
-    laid = laid[:, laid[0] != laid[1]]
     one = ~starred[of]
     left = (key[one], doc[one], low[one], high[one], star[one])
-    stands = (key[at][starred], pivot[starred], low[at][starred], np.maximum.reduceat(high, at)[starred], np.ones(int(starred.sum()), bool))
-    return edges, _distinct(*laid), tuple(np.concatenate(x) for x in zip(left, stands, strict=True))
+    stands = (key[at][starred], pivot[starred], low[at][starred], most[starred], np.ones(int(starred.sum()), bool))
+    return edges, left, of[one], stands
+
+
+def _pairs(doc: np.ndarray, n: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members (by size) of the same part of a region whose sizes a link can bridge, once for each region that they share."""
+    for start in range(0, len(doc), PAIRED):
+        at, found = np.arange(start, min(start + PAIRED, len(doc))), []
+        for lag in range(1, MANY):
+            at = at[at + lag < len(doc)]
+            at = at[(of[at + lag] == of[at]) & (PER * n[at + lag] <= OUT_OF * n[at])]
+            if not len(at):
+                break
+            a, b = doc[at], doc[at + lag]
+            found.append(np.stack((np.maximum(a, b), np.minimum(a, b)))[:, a != b])
+        if found:
+            yield tuple(np.concatenate(found, axis=1))
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +284,8 @@ def _regions(common: np.ndarray):
 
         def out():
             key, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            edges, _, (key, doc, low, high, star) = _stars(key, doc, n, n, np.zeros(len(key), bool))
+            edges, left, _, stands = _stars(key, doc, n, n, np.zeros(len(key), bool), MANY)
+            key, doc, low, high, star = (np.concatenate(x) for x in zip(left, stands, strict=True))
             none = np.zeros(len(edges[0]), np.int64)
             yield _rows(*edges, _packed(none + EDGE, none, none))
             yield _rows(key, doc, _packed(star, low, high))
@@ -291,7 +311,7 @@ def _regions(common: np.ndarray):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of all tasks, dealt by key: star edges (of any task; sure), and the pairs of small regions (to be looked at)."""
+    """Regions of all tasks, dealt by key: star edges (of any task; sure), and the pairs of other regions (to be counted)."""
     held = []
     names = ["a", "b", "sure"]
 
@@ -308,9 +328,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, c = (np.concatenate(x) for x in zip(*held, strict=True))
         if len(key):
             kind, low, high = _unpacked(c)
-            edges, pairs, _ = _stars(key, doc, low, high, kind == STAND)
+            edges, (_, doc, low, _, _), of, _ = _stars(key, doc, low, high, kind == STAND, FEW)
             yield told(edges, True)
-            yield told(pairs, False)
+            for pairs in _pairs(doc, low, of):
+                yield told(pairs, False)
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -725,7 +746,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common = spark.sparkContext.broadcast(common_cells(survey.where("kind = 1")))
     done.append(common)
     regions = rows.mapInArrow(lambda batches: _regions(common.value)(batches), _REGION)
-    met = regions.repartition("a").mapInArrow(_meet, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    met = regions.repartition("a").mapInArrow(_meet, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"), F.count("*").alias("times")).where(F.col("sure") | (F.col("times") >= SHARED))
     # classes of the region pass become the documents that stand for them
     rep = sizes.select("k", "rep")
     ends = met.join(rep, F.col("a") == F.col("k")).select(F.col("rep").alias("a"), "b", "sure").join(rep, F.col("b") == F.col("k")).select("a", F.col("rep").alias("b"), "sure")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm import jaccard, shingles
@@ -95,6 +96,68 @@ def test_a_large_group_of_near_copies_needs_no_tiles(spark):
     assert {r["root"] for r in components(edges[0]).collect()} == {0}
 
 
+def met(docs, tasks, common):
+    """Regions of some tasks, met: (star edges, pairs that come often enough) as positions of different sets."""
+    keys, texts = {}, {}
+    for i, t in docs.items():
+        s = shingles.shingle_set(np.frombuffer(t.encode(), np.uint8))
+        keys.setdefault(jaccard._class_key(len(s), *jaccard._signature(s)), i)
+        texts.setdefault(i % tasks, []).append(t)
+    out = [b for part in texts.values() for b in jaccard._regions(common)(iter([pa.RecordBatch.from_pydict({"text": pa.array(part)})]))]
+    stars, times = set(), {}
+    for batch in jaccard._meet(iter(out)):
+        for a, b, sure in zip(*batch.to_pydict().values(), strict=True):
+            pair = keys[a], keys[b]
+            if sure:
+                stars.add(pair)
+            else:
+                times[pair] = times.get(pair, 0) + 1
+    return stars, {p for p, n in times.items() if n >= jaccard.SHARED}
+
+
+@pytest.mark.parametrize("few, many, held, paired", [(4, 64, 1 << 18, 1 << 16), (2, 5, 700, 50), (1000, 1000, 1 << 18, 64)])
+def test_regions_keep_every_link_together(monkeypatch, few, many, held, paired):
+    for name, value in (("FEW", few), ("MANY", many), ("HELD_MEMBERS", held), ("PAIRED", paired)):
+        monkeypatch.setattr(jaccard, name, value)
+    for seed in range(4):
+        docs = corpus(seed, 120)
+        # every other cell counts as common
+        stars, pairs = met(docs, 3, np.full((1 << jaccard.CELL_BITS) // 8, 0x55, np.uint8))
+        forest = jaccard.Forest(len(docs))
+        for a, b in stars | pairs:
+            forest.tie(a, b)
+        sets = {i: shingle_sets(t) for i, t in docs.items()}
+        links = [(a, b) for a in docs for b in docs if a < b and sets[a] != sets[b] and jaccard.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))]
+        first = {}
+        for i in docs:
+            first.setdefault(frozenset(sets[i]), i)
+        assert links and all(forest.root(first[frozenset(sets[a])]) == forest.root(first[frozenset(sets[b])]) for a, b in links)
+        assert stars or many == 1000
+
+
+def chained():
+    """Documents of many sizes; each shares five words with six that follow and no more, and so all touch. Two are near copies."""
+    r = random.Random(11)
+    docs = {i: [f"d{i}_{j}" for j in range(100 + 3 * (i % 12))] for i in range(72)}
+    for g in range(0, 72, 4):
+        for k in range(8):
+            words = docs[(g + k) % 72]
+            at = r.randrange(0, len(words) - 20) if k < 4 else len(words)
+            words[at:at] = [f"p{g}_{j}" for j in range(5)]
+    docs[72] = docs[7][:-1] + ["other"]
+    return {i: " ".join(w) for i, w in docs.items()}
+
+
+def test_words_shared_by_chance_make_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_COMMON", 1 << 20)
+    monkeypatch.setattr(jaccard, "APART_MEMBERS", 0)  # blocks as regions leave them
+    placed, links = [], jaccard.block_links
+    monkeypatch.setattr(jaccard, "block_links", lambda rows, places, *a: placed.extend(x["rep"] for x in places.collect()) or links(rows, places, *a))
+    docs = chained()
+    assert run(spark, docs) == brute(docs)
+    assert sorted(placed) == [7, 72]
+
+
 def test_links_come_through_pivots():
     """Of the links that the join measures, most are told by the balls of pivots, in blocks of every size."""
     told = {"ball": 0, "bound": 0}

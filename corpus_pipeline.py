@@ -36,12 +36,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     columns, of any name and type, are kept.
     """
     found = written(jaccard.jaccard_components(docs), "pipeline-components")
-    of, row = free_names(docs, "of", "row")
+    of, row, stands = free_names(docs, "of", "row", "stands")
     held = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(of)).agg(F.min("component_id").alias("least"), F.count("*").alias("times"))
     first, once = F.col("least") == F.col(of), F.col("times") == 1
-    repeated = written(held.where(first & ~once).select(of), "pipeline-repeated")
-    single = docs.join(held.where(~(first & once)).select(of), docs["doc_id"] == F.col(of), "left_anti")
-    several = docs.join(repeated, docs["doc_id"] == F.col(of), "left_semi").select(F.struct("*").alias(row))
+    # most rows are neither copies nor repeated: they stay where they are, and only the others' texts are joined
+    odd = written(held.where(~(first & once)).select(of, first.alias(stands)), "pipeline-copies")
+    some, others = jaccard.told_apart(docs, odd.select(of))
+    single = others.unionByName(some.join(odd.select(of), some["doc_id"] == F.col(of), "left_anti"))
+    several = some.join(odd.where(F.col(stands)).select(of), some["doc_id"] == F.col(of), "left_semi").select(F.struct("*").alias(row))
     order = F.struct("n", "s1", "s2", F.col(f"{row}.text"))
     one = jaccard.with_set(several, row).groupBy(F.col(f"{row}.doc_id").alias(of)).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
     return single.unionByName(one)

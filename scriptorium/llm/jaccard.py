@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -535,11 +535,30 @@ def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[tied], "b": ids[roots[tied]]}, dtype="int64")
 
 
+def _cell(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - BLOCK_BITS)
+
+
+def told_apart(rows: DataFrame, ids: DataFrame, *, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among `ids`, rows whose id is not): by a bitmap of 2 MB, so that the latter need no join.
+
+    `ids` has one column. The bitmap goes when nothing holds the results any more.
+    """
+    (name,) = ids.columns
+    held = rows.sparkSession.sparkContext.broadcast(_marks(ids.select(_cell(name).alias("cell")), BLOCK_BITS))
+
+    @F.pandas_udf("boolean")
+    def among(cells: pd.Series) -> pd.Series:
+        return pd.Series(_test(held.value, cells.to_numpy().astype(np.uint64)))
+
+    maybe = among(_cell(id_col))
+    return rows.where(maybe), rows.where(~maybe)
+
+
 def _loaded(docs: DataFrame, places: DataFrame, done: list) -> DataFrame:
     """(block, doc_id, n, shingles) of the documents in places (rep, s1, block); a bounded filter spares the others. Broadcasts are added to `done`."""
     spark = docs.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64("rep"), 64 - BLOCK_BITS)
-    wanted = spark.sparkContext.broadcast(_marks(places.select(cell.cast("long").alias("cell")), BLOCK_BITS))
+    wanted = spark.sparkContext.broadcast(_marks(places.select(_cell("rep").alias("cell")), BLOCK_BITS))
     done.append(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,7 +568,7 @@ def _loaded(docs: DataFrame, places: DataFrame, done: list) -> DataFrame:
             sets = list(_sets(part))
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([_signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "shingles"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BLOCK_BITS).alias("cell"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _cell("doc_id").alias("cell"))
     found = rows.mapInArrow(work, "doc_id long, s1 long, shingles binary")
     keys = places.select("block", "rep", F.col("s1").alias("_s1"))
     met = found.join(keys, (F.col("doc_id") == F.col("rep")) & (F.col("s1") == F.col("_s1")))

@@ -86,6 +86,19 @@ def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
         docs = out
 
 
+def test_the_join_stage_moves_no_texts_that_stay(spark, tmp_path, monkeypatch):
+    """Of 400 documents only the copies and the rows that repeat an id are joined with what the join found."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(30)), "en", "a", 1) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "a", 1) for i in range(5)] + [(9, rows[8][1], "en", "a", 1), (None, rows[3][1], "en", "a", 1), (None, None, "en", "a", 1)]
+    docs, joined = tables(spark, tmp_path, rows), []
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, *a, **k: ("a.b" in self.columns and joined.append(self.count())) or join(self, *a, **k))
+    out = corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path)).collect()
+    # the row that stands for id 9 by its smaller set, or, of equal sizes, signature is a copy of 8 or not
+    assert sorted(x["doc_id"] for x in out if x["doc_id"] is not None and x["doc_id"] != 9) == [i for i in range(400) if i != 9]
+    assert sum(x["doc_id"] is None for x in out) == 2 and 0 < max(joined) <= 8
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = tables(spark, tmp_path, [])
     for name, stage in corpus_pipeline.STAGES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, licenses, mixing, packing, pii, quality, simhash, token_counts, topk
+from . import chat, exact_dedup, filter_audit, jaccard, licenses, mixing, packing, pii, quality, simhash, token_counts, topk, whitening
 from .common import table
 
 
@@ -66,4 +66,20 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_count")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op7_packing, op8_license_scan, op9_jaccard_join, op10_pii_surrogates)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened coordinates, one row a component."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.by_component(vectors, whitening.fit(vectors))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every language, in every order and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts and the document of it that stays."""
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_source_mix, op3_exact_topk, op4_chat_format, op5_token_counts, op6_simhash, op7_packing, op8_license_scan, op9_jaccard_join, op10_pii_surrogates, op11_whitening, op12_filter_audit, op13_exact_dedup)}

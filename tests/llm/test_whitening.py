@@ -1,0 +1,114 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from scriptorium.llm import whitening
+from scriptorium.llm.query_set import QUERIES
+
+
+def plain(vectors):
+    """Whole numbers, exact deviations, covariance, eigenvalues and eigenvectors of the vectors that take part."""
+    good = [(i, v) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) and abs(64 * x) < 2.0**40 for x in v)]
+    widths = Counter(len(v) for _, v in good)
+    width = max(widths, key=lambda w: (widths[w], w))
+    good = [(i, v) for i, v in good if len(v) == width]
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v in good]
+    n, sums = len(x), [sum(c) for c in zip(*x)]
+    deviations = [sum((n * c - s) ** 2 for c, s in zip(row, sums)) for row in x]
+    z = np.array([[c - s / n for c, s in zip(row, sums)] for row in x])
+    cov = z.T @ z / n
+    values, turn = np.linalg.eigh(cov)
+    return [i for i, _ in good], deviations, z, values[::-1], turn[:, ::-1], np.trace(cov)
+
+
+def rows_of(spark, vectors):
+    return spark.createDataFrame([(i, v, "x", 1.0) for i, v in vectors], "vec_id long, embedding array<float>, deviation string, whitened double")
+
+
+def check(df, vectors, k=32, **options):
+    ids, deviations, z, values, turn, trace = plain(vectors)
+    model = whitening.fit(df, components=k, **options)
+    got = whitening.by_component(df, model).collect()
+    k = min(k, len(values))
+    assert {r["component"] for r in got} == set(range(1, k + 1)) and len(got) == k * len(ids)
+    assert sorted((str(r["vec_id"]), r["deviation"]) for r in got if r["component"] == 1) == sorted((str(i), d) for i, d in zip(ids, deviations))
+    assert all(r["n"] == len(ids) and r["identity_error"] < 1e-9 and abs(r["explained"] / (values[r["component"] - 1] / trace) - 1) < 1e-9 for r in got)
+    out = np.zeros((len(ids), k))
+    at = {}
+    for r in got:  # repeated ids have equal vectors in these tests
+        at.setdefault(str(r["vec_id"]), {})[r["component"]] = r["whitened"]
+    for row, i in enumerate(ids):
+        out[row] = [at[str(i)][c + 1] for c in range(k)]
+    assert np.abs(out.T @ out / len(ids) - np.eye(k)).max() < 1e-9
+    want = z @ turn[:, :k] / np.sqrt(values[:k])
+    gaps = np.abs(np.diff(values)).min() / values[0] if len(values) > 1 else 1
+    if gaps > 1e-6:
+        assert min(np.abs(out - want).max(axis=0).max(), 9) < 1e-6 or (np.minimum(np.abs(out - want).max(axis=0), np.abs(out + want).max(axis=0)) < 1e-6).all()
+    return model
+
+
+def test_flat_spectra_need_the_full_dimension(spark):
+    r = np.random.default_rng(1)
+    vectors = [(i, [float(np.float32(x)) for x in r.standard_normal(64)]) for i in range(400)]
+    assert check(rows_of(spark, vectors), vectors).expanded
+
+
+def test_steep_spectra_are_found_in_the_range(spark):
+    """A sketch of 8 + 8 of 40 dimensions is enough where eigenvalues fall fast."""
+    r = np.random.default_rng(2)
+    turn = np.linalg.qr(r.standard_normal((40, 40)))[0]
+    cloud = r.standard_normal((500, 40)) * (1e3 * 0.3 ** np.arange(40)) @ turn
+    vectors = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(cloud)]
+    model = whitening.fit(rows_of(spark, vectors), components=4, oversample=8, passes=6)
+    assert not model.expanded
+    _, _, _, values, turn, _ = plain(vectors)
+    assert np.allclose(model.values, values[:4], rtol=1e-10) and np.allclose(np.abs((model.components * turn[:, :4]).sum(axis=0)), 1, atol=1e-10)
+
+
+@pytest.mark.parametrize("width", [1, 3, 33])
+def test_other_dimensions(spark, width):
+    r = np.random.default_rng(width)
+    vectors = [(i, [float(np.float32(x)) for x in r.standard_normal(width) * (1 + np.arange(width))]) for i in range(90)]
+    check(rows_of(spark, vectors), vectors)
+
+
+def test_odd_rows(spark):
+    r = np.random.default_rng(4)
+    vectors = [(i, [float(np.float32(x)) for x in r.standard_normal(5) * 9]) for i in range(60)]
+    vectors += [(100, None), (101, [1.0, None, 2.0, 3.0, 4.0]), (102, [float("nan")] * 5), (103, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (104, []), (105, [1.0, 2.0]), (106, [1e30, 0.0, 0.0, 0.0, 0.0]), (3, vectors[3][1]), (None, [1.0, 2.0, 3.0, 4.0, 6.0])]
+    check(rows_of(spark, vectors), vectors)
+    got = whitening.by_component(rows_of(spark, vectors), whitening.fit(rows_of(spark, vectors)))
+    assert got.where("vec_id = 3").count() == 10 and got.where("vec_id IS NULL").count() == 5
+
+
+def test_no_variance_no_rows(spark):
+    for vectors in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0])], [(1, None)], [(1, [])]):
+        df = rows_of(spark, vectors)
+        assert whitening.by_component(df, whitening.fit(df)).count() == 0
+    # two dimensions of three vary together
+    vectors = [(i, [float(i), 2.0 * i, 5.0]) for i in range(20)]
+    df = rows_of(spark, vectors)
+    got = whitening.by_component(df, whitening.fit(df))
+    assert got.count() == 20 and got.where("component = 1 AND abs(explained - 1) < 1e-9 AND identity_error < 1e-9").count() == 20
+
+
+def test_deviations_beyond_64_bits(spark):
+    vectors = [(i, [float(2**20 * (i % 7)), 1.0]) for i in range(3000)]
+    df = rows_of(spark, vectors)
+    want = dict(zip(plain(vectors)[0], plain(vectors)[1]))
+    got = {r["vec_id"]: r["deviation"] for r in whitening.whiten(df.select("vec_id", "embedding"), whitening.fit(df)).collect()}
+    assert got == {i: d if d < 2**63 else None for i, d in want.items()} and None in got.values() and any(v is not None and v > 2**56 for v in got.values())
+
+
+def test_own_columns_are_kept(spark):
+    df = rows_of(spark, [(i, [float(i), float(i * i % 7)]) for i in range(9)])
+    got = whitening.whiten(df, whitening.fit(df), keep=("vec_id", "deviation", "whitened"))
+    assert got.columns == ["vec_id", "deviation", "whitened", "_deviation", "_whitened"] and got.count() == 9
+
+
+def test_query(spark):
+    got = QUERIES["op11_whitening"](spark, "/root/testdata/sf0.001")
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    assert got.count() == 32 * len(vectors) and {(f.name, f.dataType.simpleString()) for f in got.schema} == {("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")}

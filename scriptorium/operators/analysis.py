@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import sentences
 
+from .joins import inside
+
 #: Labels of interest, parts of speech that carry meaning, and words that do not.
 LABELS = ("PERSON", "ORG", "LOC", "PRODUCT")
 PARTS_OF_SPEECH = ("NOUN", "VERB", "ADJ", "PROPN")
@@ -132,18 +134,32 @@ def shift(mentions: Column, by: Column) -> Column:
     return F.transform(mentions, lambda m: F.struct(m["name"].alias("name"), m["ner_label"].alias("ner_label"), (m["char_start"] + by).alias("char_start"), (m["char_end"] + by).alias("char_end")))
 
 
+def word_places(docs: DataFrame, pattern: str = r"\p{L}{3,}") -> DataFrame:
+    """(source, start, token) of every match in docs (source, text), start in characters of the document.
+
+    Matches and the gaps between them lie end to end, so a running sum of their lengths gives
+    the offsets: linear in the length of a document.
+    """
+    body = F.coalesce("text", F.lit(""))
+    found = docs.select("source", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("tokens"), F.transform(F.split(body, pattern, -1), F.length).alias("gaps"))
+    each = found.select("source", F.posexplode(F.arrays_zip("tokens", F.slice("gaps", 1, F.size("tokens")).alias("gap"))).alias("i", "m")).select("source", "i", F.col("m.tokens").alias("token"), F.col("m.gap").alias("gap"))
+    to_here = W.partitionBy("source").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    return each.select("source", (F.sum(F.col("gap") + F.length("token")).over(to_here) - F.length("token")).cast("int").alias("start"), "token")
+
+
 def tokens_in_chunks(tokens: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Tokens (source, start, token) that start inside a chunk; equi-join on the source, then the interval."""
-    c = chunks.select("chunk_id", F.col("source").alias("_source"), F.col("char_start").alias("_from"), F.col("char_end").alias("_to"))
-    return tokens.join(c, (F.col("source") == F.col("_source")) & (F.col("start") >= F.col("_from")) & (F.col("start") < F.col("_to"))).select("chunk_id", "start", "token")
+    """Tokens (source, start, token) that start inside a chunk; an interval join by offset buckets."""
+    low, high = F.col("char_start"), F.col("char_end")
+    met = inside(tokens, "start", chunks, low, high, [F.col("chunk_id"), low.alias("_from"), high.alias("_to")])
+    return met.where((F.col("start") >= F.col("_from")) & (F.col("start") < F.col("_to"))).select("chunk_id", "start", "token")
 
 
 def entities_in_chunks(mentions: DataFrame, chunks: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Mentions wholly inside a chunk, with a label of interest, relative to the chunk."""
-    c = chunks.select("chunk_id", F.col("source").alias("_source"), F.col("char_start").alias("_from"), F.col("char_end").alias("_to"))
-    inside = (F.col("source") == F.col("_source")) & (F.col("char_start") >= F.col("_from")) & (F.col("char_end") <= F.col("_to"))
-    met = mentions.where(F.col("ner_label").isin(*labels)).join(c, inside)
-    return met.select("chunk_id", "name", "ner_label", (F.col("char_start") - F.col("_from")).alias("char_start"), (F.col("char_end") - F.col("_from")).alias("char_end"))
+    """Mentions wholly inside a chunk, with a label of interest, relative to the chunk; an interval join by offset buckets."""
+    low, high = F.col("char_start"), F.col("char_end")
+    met = inside(mentions.where(F.col("ner_label").isin(*labels)), "char_start", chunks, low, high, [F.col("chunk_id"), low.alias("_from"), high.alias("_to")])
+    within = met.where((low >= F.col("_from")) & (high <= F.col("_to")))
+    return within.select("chunk_id", "name", "ner_label", (low - F.col("_from")).alias("char_start"), (high - F.col("_from")).alias("char_end"))
 
 
 def byte_segments(text: str, limit: int = SEGMENT_BYTES, terminator: str = "。") -> list[tuple[int, str]]:

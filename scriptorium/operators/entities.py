@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ENTITY = ["name", "ner_label"]
@@ -31,20 +32,44 @@ def accepted(min_mentions: int = 3, min_chunks: int = 2) -> Column:
     return (F.col("mention_count") >= min_mentions) & (F.col("chunk_count") >= min_chunks)
 
 
-def aggregate_entities(mentions: DataFrame, positions: DataFrame, *, min_mentions: int = 3, min_chunks: int = 2) -> DataFrame:
-    """Accepted entities with chunk_ids in corpus order and co-occurring entities by label and name.
+def entity_chunks(mentions: DataFrame, positions: DataFrame, *, min_mentions: int = 3, min_chunks: int = 2) -> DataFrame:
+    """A6 as a long table: (name, ner_label, row_index, chunk_id) of accepted entities, one row a chunk, of any number of chunks an entity."""
+    counts = _counts(mentions)
+    kept = entity_counts(mentions).where(accepted(min_mentions, min_chunks))
+    own = counts.join(kept.select(*ENTITY), ENTITY, "left_semi").select("chunk_id", *ENTITY)
+    return own.join(positions.select("chunk_id", "row_index"), "chunk_id").select(*ENTITY, "row_index", "chunk_id").distinct()
 
-    positions: (chunk_id, row_index). Co-occurring entities need not be accepted themselves.
-    Pairs are made from the distinct entities of a chunk, only for accepted entities.
-    """
+
+def entity_pairs(mentions: DataFrame, *, min_mentions: int = 3, min_chunks: int = 2) -> DataFrame:
+    """A7 as a long table: (name, ner_label, other_label, other_name) of accepted entities and those that share a chunk with them, which need not be accepted themselves."""
     counts = _counts(mentions)
     kept = entity_counts(mentions).where(accepted(min_mentions, min_chunks))
     own = counts.join(kept.select(*ENTITY), ENTITY, "left_semi").select("chunk_id", *ENTITY)
-    placed = own.join(positions.select("chunk_id", "row_index"), "chunk_id")
-    lists = placed.groupBy(*ENTITY).agg(F.transform(F.array_sort(F.collect_set(F.struct("row_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
-    other = counts.select("chunk_id", F.col("name").alias("_name"), F.col("ner_label").alias("_label"))
-    pairs = own.join(other, "chunk_id").where((F.col("name") != F.col("_name")) | (F.col("ner_label") != F.col("_label")))
-    together = pairs.groupBy(*ENTITY).agg(F.array_sort(F.collect_set(F.struct(F.col("_label").alias("ner_label"), F.col("_name").alias("name")))).alias("cooccurring_entities"))
+    other = counts.select("chunk_id", F.col("name").alias("other_name"), F.col("ner_label").alias("other_label"))
+    pairs = own.join(other, "chunk_id").where((F.col("name") != F.col("other_name")) | (F.col("ner_label") != F.col("other_label")))
+    return pairs.select(*ENTITY, "other_label", "other_name").distinct()
+
+
+def _first(rows: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first `most` rows of each entity; Spark keeps so many a task before it shuffles them."""
+    if most is None:
+        return rows
+    return rows.withColumn("_at", F.row_number().over(W.partitionBy(*ENTITY).orderBy(*order))).where(F.col("_at") <= most).drop("_at")
+
+
+def aggregate_entities(mentions: DataFrame, positions: DataFrame, *, min_mentions: int = 3, min_chunks: int = 2, most: int | None = None) -> DataFrame:
+    """Accepted entities with chunk_ids in corpus order and co-occurring entities by label and name.
+
+    positions: (chunk_id, row_index). `most` bounds both lists (counts stay those of all); what
+    they leave out is in `entity_chunks` and `entity_pairs`, which have a row an item. Without it
+    an entity's lists are as long as it is frequent, and must fit in one row.
+    """
+    least = {"min_mentions": min_mentions, "min_chunks": min_chunks}
+    kept = entity_counts(mentions).where(accepted(**least))
+    places = _first(entity_chunks(mentions, positions, **least), ["row_index", "chunk_id"], most)
+    lists = places.groupBy(*ENTITY).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+    pairs = _first(entity_pairs(mentions, **least), ["other_label", "other_name"], most)
+    together = pairs.groupBy(*ENTITY).agg(F.array_sort(F.collect_list(F.struct(F.col("other_label").alias("ner_label"), F.col("other_name").alias("name")))).alias("cooccurring_entities"))
     none = F.array().cast("array<struct<ner_label:string,name:string>>")
     return kept.join(lists, ENTITY).join(together, ENTITY, "left").withColumn("cooccurring_entities", F.coalesce("cooccurring_entities", none))
 

@@ -113,8 +113,7 @@ def query_topk(spark, sf_dir):
 
 def token_slice(spark, sf_dir):
     """The number of tokens that start in each chunk, from tokens with offsets in the document."""
-    words = analysis.RuleAnalyzer(entities=(("WORD", r"\p{L}{3,}"),))
-    found = _docs(spark, sf_dir).select("source", F.explode(words.mentions(F.col("text"))).alias("m")).select("source", F.col("m.char_start").alias("start"), F.col("m.name").alias("token"))
+    found = analysis.word_places(_docs(spark, sf_dir))
     return analysis.tokens_in_chunks(found, _chunks(spark, sf_dir)).groupBy("chunk_id").agg(F.count("*").alias("n_tokens"))
 
 
@@ -235,7 +234,7 @@ def lint_degenerate(spark, sf_dir):
 
 def lint_duplicates(spark, sf_dir):
     """Pairs with a cosine over 0.95."""
-    pairs = search.similar_pairs(_weighted(_chunks(spark, sf_dir))[0].persist(), 0.95)
+    pairs = search.similar_pairs(_weighted(_chunks(spark, sf_dir))[0], 0.95)
     return pairs.select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
@@ -247,9 +246,9 @@ def lint_orphans(spark, sf_dir):
 
 
 def _all_known(spark, sf_dir):
-    """Every accepted entity as a summary that succeeded."""
-    found = _entities(_chunks(spark, sf_dir))
-    return manifest.as_entries(found, F.lit("success"), F.lit(""), F.lit(""), "2026-01-01T00:00:00+00:00")
+    """The name and label of every accepted entity as those of a summary that succeeded."""
+    found = entities.entity_counts(_mentions(chunking.chunk_documents(_docs(spark, sf_dir), SPEC))).where(entities.accepted(**LEAST))
+    return found.select(F.col("name").alias("entity_name"), "ner_label", F.lit("success").alias("status")).persist()
 
 
 def lint_similar_names(spark, sf_dir):

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 from math import log, sqrt
 
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import entities, lint, manifest, search, summaries, tfidf
-from scriptorium.operators.analysis import RuleAnalyzer, entities_in_chunks, keep_tokens
+from scriptorium.operators import analysis, entities, joins, lint, manifest, search, summaries, tfidf
+from scriptorium.operators.analysis import RuleAnalyzer, entities_in_chunks, keep_tokens, tokens_in_chunks
 from scriptorium.plans import queries
 
 TEXTS = ["alpha beta gamma", "beta gamma delta", "gamma delta epsilon", "alpha epsilon zeta zeta", ""]
@@ -229,3 +230,89 @@ def test_copies_are_held_by_their_class(spark):
     found = search.similar_pairs(spark.createDataFrame(rows, "chunk_id string, term string, tf int, weight double"), 0.95).collect()
     keys = [f"c{i}" for i in range(6)] + ["d"]
     assert sorted((r["a"], r["b"]) for r in found) == [(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :]]
+
+
+def test_bounds_end_candidates_before_rows_are_joined(spark):
+    """Fewer than three candidates a pair found: documents of few themes, each with its near copies."""
+    r = random.Random(8)
+    rows = []
+    for theme in range(60):
+        base = {f"t{theme % 12}w{i}": r.randrange(1, 4) for i in range(25)} | {f"own{theme}w{i}": 1 for i in range(12)}
+        for copy in range(4):
+            bag = dict(base, **{f"x{theme}c{copy}": 1}) if copy else dict(base)
+            rows += [(f"d{theme}-{copy}", t, tf) for t, tf in bag.items()]
+    counts = spark.createDataFrame(rows, "chunk_id string, term string, tf long")
+    weighted = tfidf.weights(counts, tfidf.vocabulary(counts, 240)).persist()
+    found = search.similar_pairs(weighted, 0.95).count()
+    tried = search.candidates(search._whole_rows(weighted, "chunk_id"), 0.95, "chunk_id").count()
+    assert found >= 200 and found <= tried < 3 * found
+
+
+@pytest.mark.parametrize("cell", [1, 3, 512])
+def test_pairs_by_key_in_cells(spark, cell):
+    """Every pair of a key meets once, however many blocks the key has."""
+    rows = [(k, f"r{i:03}") for i in range(40) for k in ("hot", f"k{i % 7}", f"one{i}")] + [(None, "n1"), (None, "n2")]
+    got = joins.pairs_by_key(spark.createDataFrame(rows, "k string, id string"), ["k"], "id", [], cell)
+    want = {(k, a, b) for k, a in rows for j, b in rows if k == j and k is not None and a < b}
+    assert sorted((r["k"], r["id_a"], r["id_b"]) for r in got.collect()) == sorted(want)
+    if cell == 3:  # no key of the join holds more than two blocks of the hot one
+        assert len(want) > 780
+
+
+def test_long_names(spark):
+    """Names longer than a long has bits, on either side, and signs beyond the basic plane."""
+    stem = "abcdefghij" * 8
+    names = [stem, stem[:-1], stem[:61] + "x", stem[:62], stem[:63], stem[3:66], "😀光学", "😀光", "a", "aa", "ab", "ba", "aab"]
+    known = spark.createDataFrame([(n, "ORG", "success") for n in names], "entity_name string, ner_label string, status string")
+    for least in (0.3, 0.85):
+        want = {(f"ORG__{a}", f"ORG__{b}", round(2 * longest_common(a, b) / (len(a) + len(b)), 9)) for a in names for b in names if a < b and 2 * longest_common(a, b) / (len(a) + len(b)) > least}
+        got = lint.similar_names(known, lint.Thresholds(name_ratio=least)).collect()
+        assert {(x["a"], x["b"], round(x["ratio"], 9)) for x in got} == want and len(got) == len(want)
+
+
+def test_intervals_at_the_buckets_ends(spark):
+    """Tokens and mentions at every offset around the buckets' ends, chunks that touch several buckets, empty ones included."""
+    chunks = [(f"c{i}", "s", a, b) for i, (a, b) in enumerate([(0, 1024), (1000, 1024), (1024, 1025), (500, 5000), (1023, 1023), (2048, 2048), (4000, 4100)])]
+    places = [*range(0, 6), *range(1020, 1030), *range(2045, 2052), 4999, 5000, 5001]
+    tokens = spark.createDataFrame([("s", p, "t") for p in places] + [("other", 3, "t")], "source string, start int, token string")
+    table = spark.createDataFrame(chunks, "chunk_id string, source string, char_start int, char_end int")
+    assert sorted((r["chunk_id"], r["start"]) for r in tokens_in_chunks(tokens, table).collect()) == sorted((c, p) for c, _, a, b in chunks for p in places if a <= p < b)
+    spans = [(p, p + n) for p in places for n in (0, 1, 7)]
+    found = spark.createDataFrame([("s", f"{a}-{b}", "ORG", a, b) for a, b in spans], "source string, name string, ner_label string, char_start int, char_end int")
+    assert sorted((r["chunk_id"], r["name"]) for r in entities_in_chunks(found, table).collect()) == sorted((c, f"{a}-{b}") for c, _, x, y in chunks for a, b in spans if x <= a and b <= y)
+
+
+def test_one_source_of_ten_megabytes(spark):
+    """The join makes as many rows as tokens lie in chunks, and little more before the exact condition."""
+    words, size = 200_000, 50
+    tokens = spark.range(words).select(F.lit("s").alias("source"), (F.col("id") * size).cast("int").alias("start"), F.lit("t").alias("token"))
+    chunks = spark.range(words * size // 500).select(F.col("id").cast("string").alias("chunk_id"), F.lit("s").alias("source"), (F.col("id") * 500).cast("int").alias("char_start"), (F.col("id") * 500 + 600).cast("int").alias("char_end"))
+    low, high = F.col("char_start"), F.col("char_end")
+    met = joins.inside(tokens, "start", chunks, low, high, [F.col("chunk_id")]).count()
+    n = tokens_in_chunks(tokens, chunks).count()
+    assert n == words * 12 // 10 - 2 and met < 3.5 * n
+
+
+def test_word_places(spark):
+    text = "Ein Wort, 日本語テキスト und noch-eines; ab über 😀😀 Ende"
+    docs = spark.createDataFrame([("a", text), ("b", ""), ("c", None), ("d", "word " * 30_000)], "source string, text string")
+    got = analysis.word_places(docs)
+    assert sorted((r["start"], r["token"]) for r in got.where("source = 'a'").collect()) == [(m.start(), m.group()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+    assert got.where("source IN ('b', 'c')").count() == 0 and [tuple(r) for r in got.where("source = 'd'").agg(F.count("*"), F.max("start")).collect()] == [(30_000, 149_995)]
+
+
+def test_an_entity_in_most_chunks(spark):
+    """Lists are bounded, counts are not; hashes stream over all chunks and equal those of the whole lists."""
+    n = 30_000
+    mentions = spark.range(n).select(F.format_string("c%05d", "id").alias("chunk_id"), F.lit("Hot").alias("name"), F.lit("ORG").alias("ner_label"), F.lit(0).alias("char_start"), F.lit(3).alias("char_end"))
+    mentions = mentions.unionByName(spark.range(0, n, 10).select(F.format_string("c%05d", "id").alias("chunk_id"), F.format_string("Other %d", F.col("id") % 50).alias("name"), F.lit("LOC").alias("ner_label"), F.lit(5).alias("char_start"), F.lit(9).alias("char_end")))
+    chunks = spark.range(n).select(F.format_string("c%05d", "id").alias("chunk_id"), (n - F.col("id")).alias("row_index"), F.format_string("text %d é", "id").alias("text"))
+    few = entities.aggregate_entities(mentions, chunks, most=7).persist()
+    hot = few.where("name = 'Hot'").first()
+    assert (hot["mention_count"], hot["chunk_count"]) == (n, n) and hot["chunk_ids"] == [f"c{n - 1 - i:05}" for i in range(7)] and [c["name"] for c in hot["cooccurring_entities"]] == sorted({f"Other {i % 50}" for i in range(0, n, 10)})[:7]
+    versions = {"analyzer_hash": "h", "model_version": "m", "llm": "l"}
+    places = entities.entity_chunks(mentions, chunks)
+    by_places = {r["name"]: r["source_hash"] for r in manifest.source_hashes(few, chunks, **versions, places=places).collect()}
+    whole = {r["name"]: r["source_hash"] for r in manifest.source_hashes(entities.aggregate_entities(mentions, chunks), chunks, **versions).collect()}
+    want = hashlib.sha256("\0".join(["Hot", "ORG", "\n---\n".join(f"text {i} é" for i in range(n)), "h", "m", "l", "v1"]).encode()).hexdigest()
+    assert by_places == whole and whole["Hot"] == want and len(whole) == few.count() == 6

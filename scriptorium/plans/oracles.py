@@ -124,6 +124,7 @@ ORACLES = {
     "chunk_length_stats": _with(_CHUNKS, "SELECT count(*) AS chunks, count(DISTINCT source) AS documents, min(length(text)) AS least, max(length(text)) AS most, CAST(sum(length(text)) AS BIGINT) AS total FROM chunks"),
     "doc_freq_idf": _with(_TFIDF, "SELECT term, df, round(idf, 6) AS idf FROM vocab WHERE df >= 2"),
     "vocabulary_ids": _with(_TFIDF, "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id FROM vocab WHERE df >= 2"),
+    "npz_weights": _with(_TFIDF, "SELECT chunk_id, term, round(weight, 6) AS weight FROM weights"),
     "tfidf_weights": _with(_TFIDF, "SELECT chunk_id, term, tf, round(weight, 6) AS weight FROM weights"),
     "top_keywords": _with(_TFIDF, """
         SELECT chunk_id, CAST(rank AS INTEGER) AS rank, term, tfidf

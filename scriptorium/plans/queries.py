@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import analysis, chunking, entities, lint, manifest, search, tfidf
-from scriptorium.sources import corpus
+from scriptorium.sources import corpus, npz, store
+from scriptorium.sources.store import join
 
 #: The tables hold Latin text: sentences end with full stops and line feeds.
 SPEC = chunking.ChunkSpec(terminators=".\n")
@@ -97,6 +98,20 @@ def tfidf_weights(spark, sf_dir):
     return _weighted(_chunks(spark, sf_dir))[0].select("chunk_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
+def npz_weights(spark, sf_dir):
+    """SC6, SK2: the weights as an NPZ matrix in blocks of rows, with its vocabulary, written and read back."""
+    chunks = _chunks(spark, sf_dir)
+    weighted, vocab = _weighted(chunks)
+    ids = tfidf.with_term_ids(vocab.select("term", "idf")).select("term", "term_id", "idf").persist()
+    rows = chunking.with_row_index(chunks.select("source", "ord", "chunk_id"), "source", "ord").select("chunk_id", "row_index")
+    path = store.scratch(spark, "npz")
+    entries = weighted.select("chunk_id", "term", "weight").join(rows, "chunk_id").join(ids.select("term", "term_id"), "term")
+    npz.write_matrix(entries.select(F.col("row_index").alias("row"), F.col("term_id").alias("col"), F.col("weight").alias("value")), join(path, "matrix"), rows.count(), ids.count(), 8192)
+    npz.write_vocabulary(ids, join(path, "vocabulary"))
+    back = npz.read(spark, join(path, "matrix"), split=4096).join(npz.read(spark, join(path, "vocabulary"), "vocabulary"), F.col("col") == F.col("term_id"))
+    return back.join(rows, F.col("row") == F.col("row_index")).select("chunk_id", "term", F.round("value", 6).alias("weight"))
+
+
 def top_keywords(spark, sf_dir):
     """T2, W4."""
     return tfidf.top_keywords(_weighted(_chunks(spark, sf_dir))[0])
@@ -311,7 +326,7 @@ def skipped_files(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, top_keywords, query_topk,
+    normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, npz_weights, top_keywords, query_topk,
     token_slice, entity_slice, bio_spans, entity_attach, entity_aggregate, entity_stats, entity_filenames, source_hash, cache_decision, budget_plan, manifest_merge, systemic_abort,
     prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary, lint_switches, text_functions, file_names, stub_tokens, skipped_files,
 )}

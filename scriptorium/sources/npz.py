@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .store import local
+from .store import from_tasks
 
 FORMAT = "csr_npz"
 #: Rows that one task reads, rows and terms of one written file, and entries that go to Spark at a time.
@@ -36,8 +36,9 @@ SCHEMAS = {"matrix": "row long, col long, value double", "vocabulary": "term_id
 
 
 def _store(path: str) -> tuple[files.FileSystem, str]:
-    here = local(path)
-    return (files.LocalFileSystem(), str(here)) if here is not None else files.FileSystem.from_uri(path)
+    if (found := from_tasks(path)) is None:
+        raise OSError(f"no file system of tasks reaches {path}")
+    return found
 
 
 class _Member:

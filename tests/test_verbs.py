@@ -2,8 +2,10 @@
 
 import io
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium import cli
 from scriptorium.operators import analysis, chunking, summaries
@@ -69,6 +71,95 @@ def test_broken_chunk_lines(spark, tmp_path):
         artifacts.read_chunks_jsonl(spark, str(tmp_path / "c.jsonl"))
 
 
+def test_every_broken_line_is_numbered(spark, tmp_path):
+    """Exact numbers over several files, splits, equal lines, blank lines and line ends."""
+    r, want = random.Random(3), set()
+    (tmp_path / "c").mkdir()
+    for f in range(3):
+        lines = []
+        for i in range(1, 4001):
+            kind = r.random()
+            lines.append("{broken" if kind < 0.01 else "" if kind < 0.05 else json.dumps({"chunk_id": f"{f}-{i}", "row_index": i, "text": "x" * r.randrange(300)}))
+            if lines[-1] == "{broken":
+                want.add((f"{f}.jsonl", i))
+        (tmp_path / "c" / f"{f}.jsonl").write_text(("\r\n" if f == 1 else "\n").join(lines) + ("\n" if f else ""), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        found = artifacts.bad_lines(spark, str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(x["file"].rsplit("/", 1)[1], x["line"]) for x in found} == want and len(found) == len(want) > 60
+    first = min(want)
+    with pytest.raises(artifacts.CorruptChunks, match=f"corrupt line {first[1]} in .*{first[0]} and {len(want) - 1} more"):
+        artifacts.read_chunks_jsonl(spark, str(tmp_path / "c"))
+
+
+def test_one_file_of_chunk_lines(spark, tmp_path):
+    rows = spark.range(5000).select(F.format_string("c%d", "id").alias("chunk_id"), F.pmod(F.col("id") * 7919, 5000).alias("row_index"), F.lit("line\nfeed ö").alias("text")).repartition(7)
+    artifacts.write_chunks(rows, str(tmp_path / "o"))
+    lines = (tmp_path / "o" / "chunks.jsonl").read_text(encoding="utf-8").splitlines()
+    assert [json.loads(x)["row_index"] for x in lines] == list(range(5000)) and json.loads(lines[0])["text"] == "line\nfeed ö"
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["chunks", "chunks.jsonl"]
+
+
+def entries(spark, n):
+    return spark.range(n).select(
+        F.format_string('N"ö\\%d', "id").alias("entity_name"), F.lit("ORG").alias("ner_label"), F.lit("h").alias("source_hash"), F.lit("success").alias("status"), F.col("id").alias("mention_count"), F.lit(1).cast("long").alias("chunk_count"),
+        F.array(F.format_string("c%d", "id")).alias("chunk_ids"), F.array(F.struct(F.lit("LOC").alias("ner_label"), F.lit("X").alias("name"))).alias("cooccurring_entities"), F.lit("t").alias("last_attempt_at"), F.lit("").alias("failure_reason"),
+    )
+
+
+def test_manifests_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A document that JSON readers read, in the order of keys; and the same rows back, whatever the layout."""
+    out = str(tmp_path)
+    for n in (0, 1, 20_000):
+        artifacts.save_manifest(entries(spark, n), out, model_version="m", llm="l", at="now")
+        whole = json.loads((tmp_path / "entities" / "manifest.json").read_text(encoding="utf-8"))
+        assert whole["version"] == 1 and whole["llm_model"] == "l" and len(whole["entries"]) == n and list(whole["entries"]) == sorted(whole["entries"])
+        back, wrong = artifacts.load_manifest(spark, out)
+        assert wrong == "" and back.exceptAll(entries(spark, n)).count() == 0 and back.count() == n
+    assert sorted(p.name for p in (tmp_path / "entities").iterdir()) == ["manifest.json"]
+    few = {"version": 1, "entries": {"ORG__A": {"entity_name": "A", "ner_label": "ORG", "status": "failed"}}}
+    (tmp_path / "entities" / "manifest.json").write_text(json.dumps(few, indent=2))
+    row = artifacts.load_manifest(spark, out)[0].first()
+    assert (row["entity_name"], row["status"], row["mention_count"], row["chunk_ids"], row["source_hash"]) == ("A", "failed", 0, [], "")
+    # a write that is cut off leaves the former version
+    artifacts.save_manifest(entries(spark, 5), out, model_version="m", llm="l", at="now")
+    monkeypatch.setattr(store, "join_parts", lambda *a, **k: (_ for _ in ()).throw(OSError("cut off")))
+    with pytest.raises(OSError):
+        artifacts.save_manifest(entries(spark, 9), out, model_version="m", llm="l", at="later")
+    assert artifacts.load_manifest(spark, out)[0].count() == 5
+    text = (tmp_path / "entities" / "manifest.json").read_text(encoding="utf-8")
+    for broken in ("{", text[:-200], text.replace('"status"', '"status', 1), "[]", '{"a": 1}'):
+        (tmp_path / "entities" / "manifest.json").write_text(broken, encoding="utf-8")
+        found, wrong = artifacts.load_manifest(spark, out)
+        assert found.count() == 0 and "broken" in wrong, broken
+
+
+def test_pages_come_whole(spark, tmp_path):
+    """Files of a task that fails half-way are written again; none is left half, and none beside the others."""
+    rows = spark.range(200).select(F.format_string("p%d.md", "id").alias("name"), F.format_string("text ö %d", "id").alias("text")).repartition(5)
+    assert store.write_files(rows, str(tmp_path / "e")) == 200
+    bad = rows.withColumn("text", F.when(F.col("name") == "p7.md", F.raise_error(F.lit("lost"))).otherwise(F.concat("text", F.lit("!"))))
+    with pytest.raises(Exception, match="lost"):
+        store.write_files(bad, str(tmp_path / "e"))
+    assert {p.read_text(encoding="utf-8").rstrip("!") for p in (tmp_path / "e").glob("p*.md")} == {f"text ö {i}" for i in range(200)}
+    assert store.write_files(rows, str(tmp_path / "e")) == 200 and {p.name for p in (tmp_path / "e").iterdir()} == {f"p{i}.md" for i in range(200)}
+
+
+def test_parts_through_sparks_own_store(spark, tmp_path):
+    """Where only Spark reaches a folder, its own file system joins and writes."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.rack.link./c", tmp_path.as_uri())
+    out = "viewfs://rack/c"
+    artifacts.save_manifest(entries(spark, 50), out, model_version="m", llm="l", at="now")
+    assert artifacts.load_manifest(spark, out)[0].count() == 50 == len(json.loads((tmp_path / "entities" / "manifest.json").read_text(encoding="utf-8"))["entries"])
+    spark.range(30).select(F.col("id").cast("string").alias("value")).repartition(3).sortWithinPartitions("value").write.text(f"{out}/parts")
+    store.join_parts(spark, f"{out}/parts", f"{out}/all.txt", head="<", tail=">")
+    assert (tmp_path / "all.txt").read_text().startswith("<") and (tmp_path / "all.txt").read_text().count("\n") == 30 and not (tmp_path / "parts").exists()
+    assert store.write_files(spark.createDataFrame([("a.md", "x"), ("b.md", "y")], "name string, text string"), f"{out}/e") == 2 and (tmp_path / "e" / "b.md").read_text() == "y"
+
+
 def test_settings_must_match():
     a = artifacts.analyzer_config({"word": "x"}, {}, {"lib": "4.1.2"})
     assert artifacts.verify_analyzer(a, artifacts.analyzer_config({"word": "x"}, {}, {"lib": "4.1.9"})) == []
@@ -89,14 +180,11 @@ def test_corrupt_artifacts(spark, corpus):
     """SC5, L3-L6, V4: what lint and query tell of broken chunk lines, missing rows, no rows, settings that are no JSON."""
     out = corpus / "out"
     assert ingest.ingest(spark, str(corpus / "in"), str(out), CFG).exit_code == ingest.OK
-    part = next((out / "chunks.jsonl").glob("part-*"))
-    lines = [p.read_text(encoding="utf-8") for p in sorted((out / "chunks.jsonl").glob("part-*"))]
+    part = out / "chunks.jsonl"
+    lines = part.read_text(encoding="utf-8")
 
     def told(change):
-        for p, text in zip(sorted((out / "chunks.jsonl").glob("part-*")), lines, strict=True):
-            p.write_text(text, encoding="utf-8")
-        for p in (out / "chunks.jsonl").glob(".*.crc"):
-            p.unlink()
+        part.write_text(lines, encoding="utf-8")
         change()
         code, found = ingest.run_lint(spark, str(out))
         return code, found.first()["category"], found.first()["message"], ingest.query(spark, str(out), "light").exit_code
@@ -106,7 +194,7 @@ def test_corrupt_artifacts(spark, corpus):
     assert (code, category, status) == (2, "schema", 3) and "corrupt line 3" in message
     code, category, message, status = told(lambda: part.write_text("".join(first.splitlines(keepends=True)[1:]), encoding="utf-8"))
     assert (code, category, status) == (2, "schema", 3) and "rows" in message
-    code, category, _, status = told(lambda: [p.write_text("\n") for p in (out / "chunks.jsonl").glob("part-*")])
+    code, category, _, status = told(lambda: part.write_text("\n"))
     assert (code, category, status) == (2, "empty_corpus", 3)
     assert told(lambda: None)[3] == 0
     (out / "analyzer.json").write_text("{")

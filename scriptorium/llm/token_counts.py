@@ -29,14 +29,16 @@ PIECE = 1_000_000
 
 #: Letters (first and last of each run) that Unicode has had since version 17. The library splits by version 16, the `regex` module by a later one.
 NEWER_LETTERS = [
-    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
     (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
     (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
-#: Small letters of those that version 16 added, which Python's tables (15.1) lack.
-LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {i: i + 0x20 for i in range(0x10D50, 0x10D66)}
+#: Numbers, likewise.
+NEWER_NUMBERS = [(0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6)]
+#: Small letters of those that versions 16 and 17 added, which Python's tables (15.1) lack; the library lowers by version 17.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {i: i + 0x20 for i in range(0x10D50, 0x10D66)} | {i: i + 0x1B for i in range(0x16EA0, 0x16EB9)}
 
-#: All of both tables lies here; other texts take the plain pattern, which is faster.
+#: All of these tables lies here; other texts take the plain pattern, which is faster.
 _LATE = regex.compile(f"[{chr(NEWER_LETTERS[0][0])}-{chr(0x10FFFF)}]")
 _SPACE = regex.compile(r"[ \t\n\r\f\v]")
 
@@ -104,8 +106,9 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"], regex.V0)
-        newer = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER_LETTERS)
-        self.wide = regex.compile(split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]"), regex.V1)
+        runs = lambda table: "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in table)
+        known = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{runs(NEWER_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{runs(NEWER_NUMBERS)}]]")
+        self.wide = regex.compile(known, regex.V1)
 
     def __call__(self, text: str | None) -> int:
         if not text:

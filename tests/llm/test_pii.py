@@ -109,6 +109,20 @@ def test_more_entities_than_surrogates_of_a_form(spark):
     assert all(re.match(r"Mr [A-Z][a-z]+$", x) for x in new[: len(people)]) and all(re.match(r"\+1 \d \d+$", x) for x in new if x.startswith("+"))
 
 
+def test_forms_that_real_parts_use_up(spark):
+    """All numbers of a form are real, for every kind that has such forms: the surrogates differ from each other and from all of them."""
+    short = [f"{a}:{b}::{c}" for a in range(10) for b in range(10) for c in range(10)]
+    upper = [f"AB:C{i}::D" for i in range(10)]
+    phones = [f"+1 {i} {j}" for i in range(10) for j in range(10)]
+    ssns = [f"000-0{i}-00{j}{k}" for i in range(3) for j in range(10) for k in range(10)]
+    texts = [f"host {x}" for x in short + upper] + phones + [f"passport A12345{i}{j}" for i in range(10) for j in range(10)] + [f"{i} Elm Street" for i in range(10)] + ssns
+    out = replace(spark, texts)
+    new = [out[i][0] for i in range(len(texts))]
+    assert all(out[i][1] == 1 for i in range(len(texts))) and len(set(new)) == len(texts) and not set(new) & set(texts)
+    six = re.compile(r"host (?:[0-9a-f]{1,4}:){2}:[0-9a-f]{1,4}|host fd[0-9a-f]{2}(?::[0-9a-f]{4}){7}", re.I)
+    assert all(six.fullmatch(x) for x in new if x.startswith("host"))
+
+
 def digits_of(key, kind, normal, attempt):
     seed = "\x1f".join((key, kind, normal, str(attempt)))
     stream = "".join(hashlib.sha256(f"{seed}/{i}".encode()).hexdigest() for i in range(5))

@@ -51,3 +51,22 @@ def test_every_letter_of_later_versions():
     for c in ends:
         text = f"quickly{chr(c)} quickly{chr(c)}quickly {chr(c)}1"
         assert OWN(text) == expected(text), hex(c)
+
+
+def test_pieces_of_every_code_point():
+    """Beside a letter and beside a sign, each code point is split off, or not, as the library's own splitter does."""
+    splitter, wrong = LIBRARY.pre_tokenizer, []
+    for c in (i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and not chr(i).isspace()):
+        for before in "a!":
+            if len(splitter.pre_tokenize_str(before + chr(c))) != len(OWN.wide.findall(before + chr(c))):
+                wrong.append(hex(c))
+    assert not wrong
+
+
+def test_letters_beside_letters_of_other_scripts():
+    """Letters of late versions with letters of other scripts on either side: where a split is missed, merges run over it."""
+    late = [c for a, b in tc.NEWER_LETTERS for c in {a, (a + b) // 2, b}]
+    for c in late:
+        for other in "aé\u0416日\uBD62\u0915\U00020000":
+            for text in (chr(c) + other, other + chr(c), other + chr(c) + other):
+                assert OWN(text) == expected(text), (hex(c), other)

@@ -1,11 +1,12 @@
 """Exact deduplication by distributed most-significant-digit radix partitioning.
 
 A digit is a block of successive bytes of the normalised text. The first one (FIRST bytes)
-splits all documents: only digits and their counts move, summed where they are read before
-they are shuffled. A document whose digit no other has is done and its text goes nowhere. The
-others keep what is left of their bytes and are split again, inside their group, by the next
-digit, which is GROWTH times as wide as the one before, until a group has one document or all
-its texts have ended. The documents of a group whose texts ended with the same digit have had
+splits all documents: digits are counted where they are read, and only digits and counts are
+shuffled. Then documents meet the counts, either because Spark broadcasts the digits that come
+more than once, or, where these are too many, by moving each text once. A document whose digit
+no other has is done. The others keep what is left of their bytes and are split again, inside
+their group, by the next digit, which is GROWTH times as wide as the one before, until a group
+has one document or all its texts have ended. The documents of a group whose texts ended with the same digit have had
 equal bytes all along: equality is the comparison of all bytes, and no digest takes part in it.
 
 Digits widen so that a text of n bytes takes log(n) rounds. A group of copies of any size is no

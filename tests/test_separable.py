@@ -34,6 +34,16 @@ def test_without_the_corpus_operators(tmp_path, also):
     assert done.stdout.strip() == "fine", done.stderr
 
 
+def test_the_rest_passes_its_tests(tmp_path):
+    """In a copy without the folders every other test is collected, and some are run."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", "*.md", "llm"))
+    run = lambda *a: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *a], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=300)
+    assert run("--collect-only", "tests").returncode == 0
+    done = run("tests/test_text.py")
+    assert done.returncode == 0, done.stdout[-2000:]
+
+
 def test_nothing_else_imports_them():
     for path in [*ROOT.glob("scriptorium/**/*.py"), ROOT / "bench.py"]:
         if "llm" not in path.relative_to(ROOT).parts:

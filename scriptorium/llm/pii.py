@@ -285,8 +285,8 @@ def _other(kind: Column, normal: Column, stream: Column, attempt: Column) -> Col
     ipv6 = F.concat(F.lit("fd"), F.substring(_same_shape(normal, stream, hexadecimal=True), F.lit(3), F.length(normal)))
     ipv6 = F.when(normal.rlike("^[0-9a-f]{4}:"), ipv6).otherwise(_same_shape(normal, stream, hexadecimal=True))
     # a form of few digits may have no free surrogate left: then whole addresses of the private block
-    group = lambda i: F.lpad(F.lower(F.hex(_draw(stream, F.lit(i), 65536))), 4, "0")
-    ipv6 = F.when(attempt > SAME, F.concat_ws(":", F.concat(F.lit("fd"), F.substring(group(0), 3, 2)), *[group(2 * i) for i in range(1, 8)])).otherwise(ipv6)
+    whole = F.regexp_replace(F.concat(F.lit("fd"), F.substring(stream, 1, 30)), "(....)(?=.)", "$1:")
+    ipv6 = F.when(attempt > SAME, whole).otherwise(ipv6)
     # fields of a date: four digits a year, others 1 to 12, so that every order of them is a date
     fields, marks = F.split(normal, "[-/.]", -1), F.regexp_extract_all(normal, F.lit("[-/.]"), F.lit(0))
     field = lambda x, i: F.when(F.length(x) == 4, (_draw(stream, i * 2, 65) + 1940).cast("string")).when(F.length(x) == 2, F.lpad((_draw(stream, i * 2, 12) + 1).cast("string"), 2, "0")).otherwise((_draw(stream, i * 2, 9) + 1).cast("string"))

@@ -100,14 +100,17 @@ def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | No
     staging = f"{out}.staging"
     try:
         artifacts.carry_over(out, staging)
-        skipped = [f"{r['source']}: {r['reason']}" for r in corpus.skipped(files).orderBy("source").collect()]
-        docs = corpus.usable(files)
-        with progress.phase("chunks", n_files - len(skipped)):
+        docs, skipped = corpus.usable(files), corpus.skipped(files)
+        n_skipped = skipped.count()
+        with progress.phase("chunks", n_files - n_skipped):
             raw = chunking.with_row_index(chunking.chunk_documents(docs, cfg.spec), "source", "ord").persist()
             n_chunks = raw.count()
+        left_out = skipped.select(F.lit(0).alias("rank"), "source", F.lit(0).alias("char_offset"), F.concat("source", F.lit(": "), "reason").alias("line"))
+        cut = chunking.chunk_warnings(docs, cfg.spec).select(F.lit(1).alias("rank"), "source", "char_offset", F.concat(F.lit("chunker/"), "kind", F.lit(": "), "detail").alias("line"))
+        n_told, told = artifacts.write_warnings(left_out.unionByName(cut), staging)
+        warnings += told
         if n_chunks == 0:
-            return IngestResult(NO_CHUNKS, [*warnings, *skipped, "no chunks"])
-        warnings += skipped + [f"chunker/{r['kind']}: {r['detail']}" for r in chunking.chunk_warnings(docs, cfg.spec).orderBy("source", "char_offset").collect()]
+            return IngestResult(NO_CHUNKS, [*warnings, "no chunks"])
         counts = tfidf.term_counts(raw, analyzer.tokens(F.col("text"))).persist()
         if counts.limit(1).count() == 0:
             raise tfidf.EmptyVocabulary("no chunk has a term")
@@ -122,7 +125,7 @@ def ingest(spark: SparkSession, input_dir: str, out: str, cfg: IngestConfig | No
         artifacts.write_json(join(staging, "analyzer.json"), now)
         least = {"min_mentions": cfg.min_mentions, "min_chunks": cfg.min_chunks}
         found = entities.aggregate_entities(mentions, raw, **least).persist()
-        counters = {"input_files": n_files, "skipped_files": len(skipped), "chunks": n_chunks, **{k: int(v) for k, v in entities.entity_stats(mentions, **least).first().asDict().items()}}
+        counters = {"input_files": n_files, "skipped_files": n_skipped, "chunks": n_chunks, "text_warnings": n_told, **{k: int(v) for k, v in entities.entity_stats(mentions, **least).first().asDict().items()}}
         if not cfg.skip_summaries:
             told, aborted = _summarize(spark, found, raw, staging, cfg, retry, model, analyzer.version)
             counters |= told
@@ -193,14 +196,14 @@ def query(spark: SparkSession, out: str, text: str, top_k: int = 5, *, analyzer=
     try:
         analyzer, _ = artifacts.load_and_verify(out, analyzer)
         chunks = artifacts.verified_chunks(spark, out)
-        weighted, vocab = (spark.read.parquet(join(out, x)) for x in ("tfidf", "vocab"))
+        vocab = spark.read.parquet(join(out, "vocab"))
     except (artifacts.AnalyzerMismatch, artifacts.CorruptChunks, artifacts.EmptyCorpus, artifacts.RowMismatch, ValueError, KeyError, AnalysisException) as e:
         return QueryResult(3, message=str(e))
     tokens = spark.range(1).select(analyzer.tokens(normalize(F.lit(text))).alias("t")).first()["t"]
     vector = search.query_vector(tokens or [], vocab)
     if not vector:
         return QueryResult(4, message="no term of the query is in the corpus")
-    rows = search.hits(search.top_chunks(weighted, vector, top_k), chunks).orderBy("rank").collect()
+    rows = search.hits(artifacts.query_index(spark, out, vector, top_k), chunks).orderBy("rank").collect()
     return QueryResult(OK if rows else 4, [r.asDict(recursive=True) for r in rows], "" if rows else "nothing matches")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptorium.functions.text import NAME_BYTES
 from scriptorium.operators.manifest import PROMPT
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -206,11 +207,12 @@ ORACLES = {
         SELECT doc_id, source || '/' || doc_id || '.txt' AS source, (doc_id % 7) || '.' || (doc_id % 11) AS short, ['stop', 'stop', 'max_tokens', 'end_turn', 'refusal'][CAST(doc_id % 5 + 1 AS INTEGER)] AS finish,
                sha256(regexp_replace(replace(t, '.', chr(10) || '---' || chr(10)), '(?m)^---$', '\\---', 'g')) AS fenced, replace(substr(t, 1, 80), chr(10), ' ') AS excerpt, length(t) - length(replace(t, '.', '')) <= 1 AS single
         FROM (SELECT *, coalesce(text, '') AS t FROM documents)""",
-    "file_names": r"""
+    "file_names": rf"""
         WITH r AS (SELECT ['CON', 'PRN', 'AUX', 'NUL'] || list_transform(range(1, 10), lambda i: 'COM' || i) || list_transform(range(1, 10), lambda i: 'LPT' || i) AS l),
-        n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN l[CAST(doc_id // 50 % 22 + 1 AS INTEGER)] ELSE substr(text, 1, 24) END AS name, l FROM documents, r),
-        s AS (SELECT doc_id, name, regexp_replace(name, '[/\\:*?"<>|\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '_', 'g') AS safe, l FROM n WHERE name <> '' AND name NOT LIKE '.%')
-        SELECT doc_id, 'PRODUCT__' || safe || CASE WHEN list_contains(l, upper(safe)) THEN '_' ELSE '' END || '_' || substr(sha256('PRODUCT' || chr(0) || name), 1, 6) || '.md' AS file_name FROM s""",
+        n AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(text, '') AS name, l[CAST(doc_id % 22 + 1 AS INTEGER)] AS held FROM documents, r),
+        s AS (SELECT *, 'PRODUCT__' || regexp_replace(name, '[/\\:*?"<>|\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', '_', 'g') || '_' || substr(sha256('PRODUCT' || chr(0) || name), 1, 6) AS base FROM n),
+        c AS (SELECT *, CASE WHEN strlen(base) <= {NAME_BYTES} THEN base ELSE substr(base, 1, CAST(list_max(list_filter(range({(NAME_BYTES - 7) // 4}, {NAME_BYTES - 6}), lambda k: strlen(substr(base, 1, k)) <= {NAME_BYTES - 7})) AS BIGINT)) || '_' || substr(sha256(base), 1, 6) END AS fit FROM s)
+        SELECT doc_id, fit || '.md' AS file_name, 'ORG__' || held || '__' || substr(sha256('ORG' || chr(0) || held), 1, 6) || '.md' AS reserved FROM c""",
     "stub_tokens": _with(_DOCS, r"""
         , words AS (SELECT source, list_filter(list_transform(string_split_regex(text, '[。\n ]'), lambda w: translate(w, '、.,', '')), lambda w: length(w) >= 2) AS l FROM docs),
         kept AS (SELECT source, len(l) AS n, list_filter(list_transform(list_filter(l, lambda w: length(w) % 3 <> 2), lambda w: trim(lower(w))), lambda w: w NOT IN ('', 'the', 'and')) AS k FROM words)
@@ -232,3 +234,6 @@ ORACLES = {
         )
         SELECT source, CAST(char_offset AS INTEGER) AS char_offset, CAST(strlen(segment) AS INTEGER) AS n_bytes, sha256(segment) AS sha FROM cuts WHERE segment <> ''"""),
 }
+
+#: The index gives what the weights themselves give.
+ORACLES["indexed_topk"] = ORACLES["query_topk"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import analysis, chunking, entities, lint, manifest, search, tfidf
-from scriptorium.sources import corpus, npz, store
+from scriptorium.sources import artifacts, corpus, npz, store
 from scriptorium.sources.store import join
 
 #: The tables hold Latin text: sentences end with full stops and line feeds.
@@ -126,6 +126,18 @@ def query_topk(spark, sf_dir):
     return search.hits(best, chunks).select("rank", "chunk_id", "score", "source")
 
 
+def indexed_topk(spark, sf_dir):
+    """SK2, J3, T1, V4: the same query of an index in the order of its impacts, written and read."""
+    chunks = _chunks(spark, sf_dir)
+    weighted, vocab = _weighted(chunks)
+    tokens = spark.range(1).select(ANALYZER.tokens(T.normalize(F.lit(QUERY))).alias("t")).first()["t"]
+    path = store.scratch(spark, "index")
+    artifacts.write_index(weighted.persist(), vocab, {}, path, chunks.count())
+    vocab = spark.read.parquet(join(path, "vocab"))
+    best = artifacts.query_index(spark, path, search.query_vector(tokens, vocab), 10)
+    return search.hits(best, chunks).select("rank", "chunk_id", "score", "source")
+
+
 def token_slice(spark, sf_dir):
     """The number of tokens that start in each chunk, from tokens with offsets in the document."""
     found = analysis.word_places(_docs(spark, sf_dir))
@@ -302,11 +314,11 @@ def text_functions(spark, sf_dir):
 
 
 def file_names(spark, sf_dir):
-    """Safe names of any text: the first 24 signs of every document, with blanks, punctuation and other scripts, and the reserved names."""
+    """Safe names of any text: the source and the whole text of every document, cut to what a file system takes, and one of the reserved names."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    name = F.when(F.col("doc_id") % 50 == 0, F.element_at(F.array(*map(F.lit, T.RESERVED)), (F.col("doc_id") / 50 % len(T.RESERVED)).cast("int") + 1)).otherwise(F.substring("text", 1, 24))
-    rows = docs.select("doc_id", name.alias("name")).where("name <> '' AND NOT name LIKE '.%'")
-    return rows.select("doc_id", T.entity_filename(F.lit("PRODUCT"), F.col("name")).alias("file_name"))
+    name = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("text", F.lit("")))
+    reserved = F.element_at(F.array(*map(F.lit, T.RESERVED)), (F.col("doc_id") % len(T.RESERVED)).cast("int") + 1)
+    return docs.select("doc_id", T.entity_filename(F.lit("PRODUCT"), name).alias("file_name"), T.entity_filename(F.lit("ORG"), reserved).alias("reserved"))
 
 
 def stub_tokens(spark, sf_dir):
@@ -326,7 +338,7 @@ def skipped_files(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, npz_weights, top_keywords, query_topk,
+    normalize_docs, sentence_spans, segment_bytes, chunk_documents, chunk_warnings, chunk_row_index, chunk_length_stats, doc_freq_idf, vocabulary_ids, tfidf_weights, npz_weights, top_keywords, query_topk, indexed_topk,
     token_slice, entity_slice, bio_spans, entity_attach, entity_aggregate, entity_stats, entity_filenames, source_hash, cache_decision, budget_plan, manifest_merge, systemic_abort,
     prompt_build, page_snippets, entity_index, lint_length, lint_degenerate, lint_duplicates, lint_orphans, lint_similar_names, lint_summary, lint_switches, text_functions, file_names, stub_tokens, skipped_files,
 )}

@@ -49,6 +49,13 @@ HEADERS = {
     "AGPL-3.0": [_GNU.format("program", "GNU Affero General Public License", 3), "GNU Affero General Public License Version 3, 19 November 2007"],
     "MIT": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "MPL-2.0": ["Mozilla Public License Version 2.0"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1"],
+    "GPL-1.0": ["GNU General Public License Version 1, February 1989"],
+    "LGPL-2.0": ["GNU Library General Public License Version 2, June 1991"],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "GFDL-1.2": ["GNU Free Documentation License Version 1.2, November 2002"],
+    "GFDL-1.3": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
 }
 #: Whole short licenses, and the notices of long ones that files carry.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -62,10 +69,12 @@ _UNLICENSE = """This is free and unencumbered software released into the public
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 for _name, _texts in {"MIT": [_MIT], "BSD-2-Clause": [_BSD2], "BSD-3-Clause": [_BSD3], "ISC": [_ISC], "Apache-2.0": [_APACHE], "Zlib": [_ZLIB], "BSL-1.0": [_BOOST], "Unlicense": [_UNLICENSE], "MPL-2.0": [_MPL]}.items():
     HEADERS.setdefault(_name, []).extend(_texts)
-#: Bigrams that tell a license from others; asked for where the template has them.
+#: Bigrams that tell a license from others; asked for where the template has them. A title has a date, which a mention of it in another license lacks.
 TELLING = {
-    "Apache-2.0": ["apache license", "version 2"], "MIT": ["mit license"], "GPL-3.0": ["gnu general", "version 3"], "GPL-2.0": ["gnu general", "version 2"], "LGPL-3.0": ["gnu lesser", "version 3"], "AGPL-3.0": ["gnu affero", "version 3"],
+    "Apache-2.0": ["apache license", "version 2", "january 2004"], "MIT": ["mit license"], "GPL-3.0": ["gnu general", "version 3", "june 2007"], "GPL-2.0": ["gnu general", "version 2", "june 1991"], "LGPL-3.0": ["gnu lesser", "version 3", "june 2007"], "AGPL-3.0": ["gnu affero", "version 3", "november 2007"],
     "CC-BY-NC-4.0": ["by nc", "nc 4"], "CC-BY-4.0": ["commons attribution", "attribution 4"], "CC-BY-SA-4.0": ["attribution sharealike", "sharealike 4"], "MPL-2.0": ["mozilla public", "v 2", "version 2"],
+    "MPL-1.1": ["mozilla public", "version 1", "1 1"], "GPL-1.0": ["gnu general", "february 1989"], "LGPL-2.0": ["gnu library", "june 1991"], "LGPL-2.1": ["gnu lesser", "february 1999"], "GFDL-1.2": ["free documentation", "november 2002"], "GFDL-1.3": ["free documentation", "november 2008"],
+    "CC0-1.0": ["cc0 1"],
 }
 
 

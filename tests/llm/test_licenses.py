@@ -1,3 +1,4 @@
+import pathlib
 import re
 
 import pytest
@@ -159,6 +160,26 @@ def test_windows_against_brute_force(spark):
             assert rows[i].get(name, 0) == pytest.approx(want), (i, name)
 
 
+#: Names of the system's license texts that are told by a template of this module; the others have none.
+SYSTEM = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_license_texts(spark):
+    """A license's own text gives its name and no other's, though licenses mention one another. BSD-3-Clause holds the first clauses of BSD-2-Clause."""
+    files = [p for p in sorted(pathlib.Path("/usr/share/common-licenses").glob("*")) if not p.is_symlink()]
+    if not files:
+        pytest.skip("this system has no license texts")
+    docs = spark.createDataFrame([(p.name, p.read_text(encoding="utf-8", errors="replace")) for p in files], "file string, text string")
+    told = {r["file"]: {m["name"] for m in r["licenses"]} - {"BSD-2-Clause"} for r in licenses.scan(docs).collect()}
+    assert told == {p.name: {SYSTEM[p.name]} if p.name in SYSTEM else set() for p in files}
+
+
+def test_a_mention_is_no_title(spark):
+    texts = ["You may opt to apply the terms of the GNU General Public License, version 2, instead of this one.", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "the GNU Library General Public License, version 2", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"]
+    rows = licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [[m["name"] for m in r["licenses"]] for r in rows] == [[], ["GPL-2.0"], [], ["LGPL-2.1"]]
+
+
 def test_columns_of_any_name(spark):
     df = spark.sql("SELECT 1 AS doc_id, 'Released under the MIT License.' AS text, 2 AS grams, 3 AS hits, 4 AS _grams, 5 AS _hits, map('a', 1) AS m")
     out = licenses.scan(df)

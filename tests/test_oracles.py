@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["chunk_documents", "top_keywords", "query_topk", "entity_aggregate", "cache_decision", "lint_duplicates", "bio_spans"])
+@pytest.mark.parametrize("name", ["chunk_documents", "top_keywords", "query_topk", "indexed_topk", "file_names", "entity_aggregate", "cache_decision", "lint_duplicates", "bio_spans"])
 def test_equals_oracle(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")

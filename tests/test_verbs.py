@@ -49,6 +49,19 @@ def test_end_to_end(spark, corpus, capsys):
     assert cli.main(["query", out, "light", "--top-k", "2", "--format", "human"], spark) == 0 and capsys.readouterr().out.startswith("1. ")
 
 
+def test_many_warnings(spark, corpus, monkeypatch):
+    """The result and the log tell some, warnings.txt has all, in order; an index of postings alone still answers."""
+    monkeypatch.setattr(artifacts, "TOLD", 1)
+    out = corpus / "out"
+    result = ingest.ingest(spark, str(corpus / "in"), str(out), CFG)
+    lines = (out / "warnings.txt").read_text(encoding="utf-8").splitlines()
+    assert lines[:2] == ["bad.txt: not UTF-8", "blank.txt: empty"] and result.counters["text_warnings"] == len(lines) > 2
+    assert all(x.startswith("chunker/") for x in lines[2:]) and f"{len(lines) - 1} warnings more in warnings.txt" in result.warnings and lines[1] not in result.warnings
+    found = ingest.query(spark, str(out), "optics of light", 3)
+    store.remove(str(out / "tfidf_blocks"))
+    assert found.hits and ingest.query(spark, str(out), "optics of light", 3) == found
+
+
 def test_failures(spark, corpus, monkeypatch):
     out = str(corpus / "out")
     assert ingest.ingest(spark, str(corpus / "none"), out, CFG).exit_code == ingest.NO_INPUT

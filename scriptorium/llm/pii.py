@@ -2,8 +2,9 @@
 
 Entities are found by patterns: addresses of mail, machines and houses, numbers of telephones,
 cards, accounts, passports and social security, secrets, dates of birth, and persons (a title,
-a known given name, a phrase that introduces a name, a mail address behind it, or a Chinese or
-Japanese family name with its form of address). Each is made of parts: a person of a given
+a known given name with a family name, a phrase that introduces a name, a mail address behind
+it, or a Chinese or Japanese family name with its form of address; none where a role follows
+the phrase, as in "Dear Customer", or the name is a place's, as in "Daniel Street"). Each is made of parts: a person of a given
 and a family name, all others of one part. A part gets a surrogate that is keyed (a hash of
 key, kind and the part's normal form), of the same kind and form: digits for digits and letters
 for letters, the mention's own punctuation, check digits that stay right, an address range of
@@ -40,12 +41,17 @@ KEY = "scriptorium"
 MALE = {"latin": ["James", "Robert", "Thomas", "Daniel", "Matthew", "Andrew", "Joseph", "Kevin", "Brian", "George", "Edward", "Steven", "Henry", "Jacob", "Peter", "Walter"], "cyrillic": ["Иван", "Пётр", "Андрей", "Сергей", "Дмитрий", "Николай", "Михаил", "Павел"]}
 FEMALE = {"latin": ["Mary", "Linda", "Susan", "Jessica", "Karen", "Nancy", "Margaret", "Sandra", "Ashley", "Emily", "Donna", "Carol", "Michelle", "Laura", "Sarah", "Julia"], "cyrillic": ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"]}
 #: More given names that tell a person, and with it a gender.
-KNOWN_MALE = [*MALE["latin"], *MALE["cyrillic"], "John", "Michael", "David", "William", "Richard", "Charles", "Christopher", "Anthony", "Mark", "Donald", "Paul", "Joshua", "Kenneth", "Timothy", "Jason", "Jeffrey", "Ryan", "Gary", "Nicholas", "Eric", "Jonathan", "Stephen", "Larry", "Scott", "Frank", "Samuel", "Benjamin", "Patrick", "Alexander", "Jack", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Pierre", "Jean", "Michel", "Jacques", "François", "José", "Juan", "Carlos", "Luis", "Miguel", "Giovanni", "Marco", "Ahmed", "Mohammed", "Omar", "Raj", "Arjun", "Hiroshi", "Kenji", "Алексей", "Владимир", "Александр"]
-KNOWN_FEMALE = [*FEMALE["latin"], *FEMALE["cyrillic"], "Alice", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Lisa", "Betty", "Dorothy", "Kimberly", "Deborah", "Stephanie", "Rebecca", "Sharon", "Cynthia", "Kathleen", "Amy", "Angela", "Anna", "Ruth", "Brenda", "Pamela", "Nicole", "Katherine", "Samantha", "Christine", "Emma", "Catherine", "Rachel", "Maria", "Heather", "Diane", "Ursula", "Sabine", "Ingrid", "Renate", "Marie", "Sophie", "Isabelle", "Camille", "Carmen", "Lucía", "Ana", "Isabel", "Giulia", "Francesca", "Fatima", "Aisha", "Priya", "Ananya", "Yuki", "Keiko", "Екатерина", "Людмила"]
+KNOWN_MALE = [*MALE["latin"], *MALE["cyrillic"], "John", "Michael", "David", "William", "Richard", "Charles", "Christopher", "Anthony", "Mark", "Donald", "Paul", "Joshua", "Kenneth", "Timothy", "Jason", "Jeffrey", "Ryan", "Gary", "Nicholas", "Eric", "Jonathan", "Stephen", "Larry", "Scott", "Frank", "Samuel", "Benjamin", "Patrick", "Alexander", "Jack", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Pierre", "Jean", "Michel", "Jacques", "François", "José", "Juan", "Carlos", "Luis", "Miguel", "Giovanni", "Marco", "Ahmed", "Mohammed", "Omar", "Raj", "Arjun", "Hiroshi", "Kenji", "Adam", "Dennis", "Gregory", "Martin", "Philip", "Simon", "Алексей", "Владимир", "Александр"]
+KNOWN_FEMALE = [*FEMALE["latin"], *FEMALE["cyrillic"], "Alice", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Lisa", "Betty", "Dorothy", "Kimberly", "Deborah", "Stephanie", "Rebecca", "Sharon", "Cynthia", "Kathleen", "Amy", "Angela", "Anna", "Ruth", "Brenda", "Pamela", "Nicole", "Katherine", "Samantha", "Christine", "Emma", "Catherine", "Rachel", "Maria", "Heather", "Diane", "Ursula", "Sabine", "Ingrid", "Renate", "Marie", "Sophie", "Isabelle", "Camille", "Carmen", "Lucía", "Ana", "Isabel", "Giulia", "Francesca", "Fatima", "Aisha", "Priya", "Ananya", "Yuki", "Keiko", "Jane", "Helen", "Claire", "Hannah", "Julie", "Martha", "Janet", "Olivia", "Екатерина", "Людмила"]
 MALE_TITLES, FEMALE_TITLES = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "господин"], ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "госпожа"]
 TITLES = [*MALE_TITLES, *FEMALE_TITLES, "Dr", "Prof", "Professor"]
-#: Phrases that a name follows.
-CUES = ["my name is ", "My name is ", "name: ", "Name: ", "Dear ", "signed, ", "Signed, ", "contact ", "Contact: ", "Je m'appelle ", "je m'appelle ", "Mein Name ist ", "mein Name ist ", "Me llamo ", "me llamo ", "Меня зовут ", "меня зовут "]
+#: Phrases that a name follows, of one word or more; and those that only tell a name of two.
+CUES = ["my name is ", "My name is ", "Dear ", "signed, ", "Signed, ", "Je m'appelle ", "je m'appelle ", "Mein Name ist ", "mein Name ist ", "Me llamo ", "me llamo ", "Меня зовут ", "меня зовут "]
+CUES_OF_TWO = ["name: ", "Name: ", "contact ", "Contact: "]
+#: Words that stand in a name's place and name nobody; words that end the name of a place or prize; and such that are family names as well.
+ROLES = ["Admin", "Administrator", "All", "Applicant", "Applicants", "Client", "Clients", "Colleague", "Colleagues", "Customer", "Customers", "Diary", "Editor", "Everyone", "Friend", "Friends", "Guest", "Guests", "Madam", "Manager", "Member", "Members", "Office", "Parent", "Parents", "Partner", "Partners", "Reader", "Readers", "Sales", "Service", "Services", "Sir", "Sirs", "Staff", "Student", "Students", "Support", "Team", "User", "Users"]
+PLACES = ["Airport", "Avenue", "Award", "Boulevard", "Bridge", "College", "County", "Foundation", "Hospital", "Institute", "Library", "Museum", "Prize", "Road", "School", "Square", "Stadium", "Station", "Street", "Theatre", "University"]
+PLACES_OR_FAMILIES = ["Church", "Hall", "House", "Lake", "Lane", "Park"]
 #: Family names of Chinese (one sign) and Japanese (two), and signs of given names.
 CHINESE, JAPANESE = list("王李张刘陈杨黄赵周吴徐孙马朱胡林郭何高罗郑梁谢宋唐许邓冯韩曹"), ["佐藤", "鈴木", "高橋", "田中", "渡辺", "伊藤", "山本", "中村", "小林", "加藤", "吉田", "山田", "佐々木", "山口", "松本", "井上"]
 GIVEN_SIGNS = list("伟芳娜敏静丽强磊军洋勇艳杰涛明超平刚文华建国英红玉兰志海")
@@ -71,6 +77,10 @@ def _trie(words: list[str]) -> str:
 _TITLES, _GIVEN = _trie(TITLES), _trie([*KNOWN_MALE, *KNOWN_FEMALE])
 _PROPER = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
 _INITIAL = r"(?: \p{Lu}\.)?"
+#: Not a role, alone or as the second word; not a place's word, as the family name or right behind it.
+_NO_ROLE = rf"(?!(?:\p{{Lu}}\p{{Ll}}{{1,30}} )?{_trie(ROLES)}(?!\p{{L}}))"
+_NO_PLACE = rf"(?!{_trie(PLACES)}(?!\p{{L}}))"
+_NO_PLACE_BEHIND = rf"(?! {_trie([*PLACES, *PLACES_OR_FAMILIES])}(?!\p{{L}}))"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _DATE = r"(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
 _PASSPORT = "[A-Z]{1,2}[0-9]{6,8}"
@@ -80,12 +90,12 @@ KINDS = {
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64}|ghp_[A-Za-z0-9]{36})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![.,-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5})(?![0-9A-Za-z:])",
+    "ip": rf"(?<!\.)(?<!\b(?i:version|ver|release|firmware|build)[ .:]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ipv6": r"(?<![:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5}|(?=[0-9a-fA-F]{0,3}[0-9])[0-9a-fA-F]{3,4}:(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![+.-])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}|1[3-9][0-9]{9}|1[3-9][0-9][ -][0-9]{4}[ -][0-9]{4})(?![0-9])",
     "street": rf"(?<![.,-])[0-9]{{1,5}}[A-Z]? {_PROPER} (?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![A-Za-z])",
-    "person": rf"(?:{_TITLES}\.? {_PROPER}{_INITIAL}(?: {_PROPER})?|{_GIVEN}{_INITIAL} {_PROPER})(?!\p{{L}})",
+    "person": rf"(?:{_TITLES}\.? {_PROPER}{_INITIAL}(?: {_PROPER})?|{_GIVEN}{_INITIAL} {_NO_PLACE}{_PROPER}(?!\p{{L}}){_NO_PLACE_BEHIND})(?!\p{{L}})",
 }
 #: Letters and signs that mentions of some kinds begin with; others may begin with any.
 _BEGINS = {"iban": "[A-Z]", "card": "[0-9]", "ip": "[0-9]", "ipv6": "[0-9a-fA-F]", "ssn": "[0-9]", "phone": r"[0-9+(]", "street": "[0-9]", "person": r"\p{Lu}|\p{Ll}", "secret": "[0-9A-Fa-fsg]"}
@@ -96,7 +106,8 @@ _HAN = rf"(?=\p{{IsHan}})(?:{_trie(JAPANESE)}\p{{IsHan}}{{0,3}}(?=さん|様|氏
 IN_CONTEXT = [
     rf"(?=[0-9])(?<=(?i:{'|'.join(WORDS_OF_BIRTH)})[: ]{{1,2}}){_DATE}(?![0-9])",
     rf"(?=[A-Z])(?<=(?i:{'|'.join(re.escape(w) for w in WORDS_OF_PASSPORT)})[: ]{{1,2}}){_PASSPORT}(?![0-9A-Za-z])",
-    rf"(?=\p{{Lu}})(?<={'|'.join(CUES)}){_PROPER}{_INITIAL}(?: {_PROPER})?(?!\p{{L}})",
+    rf"(?=\p{{Lu}})(?<={'|'.join(CUES)}){_NO_ROLE}{_PROPER}{_INITIAL}(?: {_PROPER})?(?!\p{{L}})",
+    rf"(?=\p{{Lu}})(?<={'|'.join(CUES_OF_TWO)}){_NO_ROLE}{_PROPER}{_INITIAL} {_PROPER}(?!\p{{L}})",
     rf"(?=\p{{Lu}}){_PROPER}{_INITIAL} {_PROPER}(?= [<(][A-Za-z0-9._%+-]{{1,64}}@)",
 ]
 #: All patterns begin where a word does (no letter or digit before), but for names in Chinese and Japanese.
@@ -316,7 +327,7 @@ def _in_context(text: Column) -> Column:
     """Whether a text has what the patterns of IN_CONTEXT or names in Chinese and Japanese ask for: plain searches, since few texts do."""
     low = F.lower(text)
     words = [low.contains(w) for w in ("born", "dob", "date of birth", "geboren", "né", "nacido", "pass")]
-    cues = [text.contains(c) for c in CUES]
+    cues = [text.contains(c) for c in [*CUES, *CUES_OF_TWO]]
     return reduce(or_, [*words, *cues, text.contains("@") & (text.contains("<") | text.contains("(")), text.rlike(r"\p{IsHan}")])
 
 

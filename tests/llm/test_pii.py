@@ -176,11 +176,23 @@ def test_key_decides(spark):
 
 
 def test_clean_texts_stay(spark):
-    texts = ["The year 1984, version 3.14.15, 10% of 2,500; see §4-5.", "Er an in 12 und 1234567.", "a@b", "1.2.3", "The Quick Brown Fox May Jump", "Chapter 12 Road works", "12:30:45 and 1:2", "born in 1985", "他说今天很好", "0.123456789012"]
+    texts = ["The year 1984, version 3.14.15, 10% of 2,500; see §4-5.", "Er an in 12 und 1234567.", "a@b", "1.2.3", "The Quick Brown Fox May Jump", "Chapter 12 Road works", "12:30:45 and 1:2", "born in 1985", "他说今天很好", "0.123456789012",
+        "Dear Customer, contact Support", "Dear Valued Customers", "contact Technical Support or Monday", "file name: Report", "version 4.10.2.1, Release: 5.6.7.8", "Daniel Street, Laura University and George Washington Bridge", "dead::beef, std::a, 12::30"]
     out = replace(spark, texts)
     assert [out[i] for i in range(len(texts))] == [(t, 0) for t in texts]
 
 
+def test_names_near_roles_and_places(spark):
+    """A role or a place spares its own words alone; a version's number is no address, though another place has one of the same digits; short addresses of machines are found."""
+    out = replace(spark, ["Dear Tamsin, contact Xochitl Stone in Support", "Jane Doe of Laura Hall", "server 4.10.2.1 has version 4.10.2.1", "ping fe80::1 or 2001::7:ff"])
+    one = re.match(r"Dear (\S+), contact (\w+) (\w+) in Support$", out[0][0])
+    assert one and out[0][1] == 2 and "Tamsin" not in out[0][0] and "Stone" not in out[0][0]
+    two = re.match(r"(\w+) \w+ of (\w+) (\w+)$", out[1][0])
+    assert two and two[1] in pii.FEMALE["latin"] and two[2] in pii.FEMALE["latin"] and two[3] != "Hall"
+    assert re.match(r"server 2[45]\d\.\S+ has version 4\.10\.2\.1$", out[2][0]) and out[2][1] == 1
+    assert re.match(r"ping fd\d\d::\d or fd\d\d::\d:[a-f]{2}$", out[3][0]) and out[3][1] == 2
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     out = pii.replace_pii(docs)

@@ -316,3 +316,30 @@ def test_an_entity_in_most_chunks(spark):
     whole = {r["name"]: r["source_hash"] for r in manifest.source_hashes(entities.aggregate_entities(mentions, chunks), chunks, **versions).collect()}
     want = hashlib.sha256("\0".join(["Hot", "ORG", "\n---\n".join(f"text {i} é" for i in range(n)), "h", "m", "l", "v1"]).encode()).hexdigest()
     assert by_places == whole and whole["Hot"] == want and len(whole) == few.count() == 6
+
+
+def test_counts_stay_in_their_parts(spark):
+    """Counts dealt into parts give the same weights, rows of one key count together, and no exchange moves a row for each count."""
+    words = ["ant", "bee", "cat", "dog", "elk"]
+    texts = [" ".join(words[j % 5] for j in range(i % 7) for _ in range(1 + (i + j) % 3)) for i in range(60)]
+    rows = [(f"c{i}", t) for i, t in enumerate(texts)] + [("c3", "ant ant fox"), ("none", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").persist()
+    want = {}
+    for key, text in rows:
+        for w in (text or "").split():
+            want[key, w] = want.get((key, w), 0) + 1
+    plain, dealt = tfidf.term_counts(chunks, WORDS.tokens(F.col("text"))), tfidf.term_counts(chunks, WORDS.tokens(F.col("text")), parts=3)
+    for counts in (plain, dealt):
+        assert sorted((r["chunk_id"], r["term"], r["tf"]) for r in counts.collect()) == sorted((*k, n) for k, n in want.items())
+    df = {r["term"]: r["df"] for r in tfidf.document_frequencies(chunks, WORDS.tokens(F.col("text"))).collect()}
+    assert df == {w: sum(k[1] == w for k in want) for w in {k[1] for k in want}}
+    vocab = tfidf.vocabulary(plain, len(want))
+    told = lambda x: sorted((r["chunk_id"], r["term"], r["tf"], round(r["weight"], 12)) for r in x.collect())
+    assert told(tfidf.weights(plain, vocab)) == told(tfidf.weights(dealt, vocab, parts=3))
+    once = chunks.where("chunk_id <> 'c3'")
+    counts = tfidf.term_counts(once, WORDS.tokens(F.col("text")), parts=3)
+    out = tfidf.weights(counts, vocab, parts=3)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # what the join streams comes from the exchange of the chunks: above it nothing is dealt again
+    assert plan.index("Window") < plan.index("ShuffledHashJoin") < plan.index("Generate explode") < plan.index("Exchange")

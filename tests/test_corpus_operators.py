@@ -343,3 +343,22 @@ def test_counts_stay_in_their_parts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     # what the join streams comes from the exchange of the chunks: above it nothing is dealt again
     assert plan.index("Window") < plan.index("ShuffledHashJoin") < plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_mentions_are_found_once_and_lists_only_where_read(spark):
+    """The plan of entities' hashes makes no list; lists read counts that are kept, and so find no mention again."""
+    chunks = spark.createDataFrame([(f"c{i}", "s", i, f"Anna and Bert{'' if i % 2 else ' and Carla'}.") for i in range(6)], "chunk_id string, source string, ord int, text string").persist()
+    found = chunks.select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("name")).select("chunk_id", "name", F.lit("PERSON").alias("ner_label"))
+    counts = entities.counted(found).persist()
+    positions = chunks.select("chunk_id", F.struct("source", "ord").alias("row_index"))
+    kept = entities.entity_counts(counts).where(entities.accepted())
+    whole = entities.with_lists(kept, counts, positions)
+    assert {r["name"]: r["chunk_ids"] for r in whole.collect()}["Carla"] == ["c0", "c2", "c4"]
+    told = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in told(whole)
+    assert "collect_list" not in told(whole.select("name", "ner_label", "mention_count"))
+    above = told(whole).split("InMemoryRelation")[0]
+    assert "regexp_extract_all" not in above
+    versions = {"analyzer_hash": "h", "model_version": "m", "llm": "l"}
+    by_lists = {r["name"]: r["source_hash"] for r in manifest.source_hashes(whole, chunks, **versions).collect()}
+    assert by_lists == {r["name"]: r["source_hash"] for r in manifest.source_hashes(kept, chunks, **versions, places=entities.entity_members(counts)).collect()}

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scriptorium.operators import analysis, chunking
 from scriptorium.operators.chunking import ChunkSpec, fold, overlapped, sentence_spans
@@ -80,3 +81,25 @@ def test_bio(spark):
     df = spark.createDataFrame([("s", i, t, i * 2, i * 2 + 2, str(i)) for i, t in enumerate(tags)], "source string, i int, tag string, char_start int, char_end int, token string")
     rows = sorted((r["char_start"], r["char_end"], r["ner_label"], r["name"]) for r in analysis.bio_spans(df).collect())
     assert rows == [(0, 4, "A", "01"), (12, 14, "A", "6"), (14, 18, "B", "78")]
+
+
+def test_python_holds_few_texts_at_a_time():
+    """However many rows a batch has, a few hundred texts or a megabyte of them are objects at once; longer ones stand alone."""
+    import pyarrow as pa
+
+    from scriptorium.functions import text as T
+
+    texts = ["x" * 3000] * 2000 + ["", None] * 1500 + ["y" * (3 << 20)] + ["é" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["source", "text"])
+    pieces = list(T.normalized_rows(iter([batch, batch.slice(0, 0)])))
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts
+    assert max(p.num_rows for p in pieces) == T.ROWS
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= T.BYTES or p.num_rows == 1 for p in pieces)
+
+
+def test_names_are_the_mentions(spark):
+    text = "Anna met Bertrand Wolfeschlegel in Constantinopel, and Überlingen. Bo left."
+    one = spark.createDataFrame([(text,), (None,), ("",)], "text string").persist()
+    found = one.select(analysis.RuleAnalyzer().mentions(F.col("text")).alias("m"), analysis.RuleAnalyzer().names(F.col("text")).alias("n")).collect()
+    assert [(m["name"], m["ner_label"]) for m in found[0]["m"]] == [(n["name"], n["ner_label"]) for n in found[0]["n"]] and len(found[0]["n"]) == 5
+    assert not found[1]["n"] and not found[2]["n"]

@@ -362,3 +362,20 @@ def test_mentions_are_found_once_and_lists_only_where_read(spark):
     versions = {"analyzer_hash": "h", "model_version": "m", "llm": "l"}
     by_lists = {r["name"]: r["source_hash"] for r in manifest.source_hashes(whole, chunks, **versions).collect()}
     assert by_lists == {r["name"]: r["source_hash"] for r in manifest.source_hashes(kept, chunks, **versions, places=entities.entity_members(counts)).collect()}
+
+
+def test_similar_pairs_keep_no_whole_rows(spark):
+    """Rows placed in parts give the same pairs, and of rows that are like no other no entries are kept."""
+    spark.catalog.clearCache()
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    texts = [" ".join(word(200 * i + j) for j in range(200)) for i in range(300)]
+    near = [texts[0], texts[0] + " zzz", texts[1] + " " + word(200)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", t) for i, t in enumerate(texts + near)], "chunk_id string, text string")
+    counts = tfidf.term_counts(chunks, WORDS.tokens(F.col("text")), parts=3)
+    vocab = tfidf.vocabulary(counts, len(texts) + len(near))
+    told = lambda rows: sorted((r["a"], r["b"], round(r["cosine"], 9)) for r in rows.collect())
+    got = told(search.similar_pairs(tfidf.weights(counts, vocab, parts=3, placed=True), 0.95, parts=3))
+    kept = sum(x.memSize() + x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    assert kept < 500_000  # the entries of 303 rows take over 2 MB
+    assert [(a, b) for a, b, _ in got] == [("c000", "c300"), ("c000", "c301"), ("c001", "c302"), ("c300", "c301")]
+    assert got == told(search.similar_pairs(tfidf.weights(counts, vocab, parts=3), 0.95))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import single_sentence
 
-from .joins import pairs_by_key
+from .names import pairs_alike
 from .search import similar_pairs
 
 FINDING = "check_order int, severity string, category string, message string, detail string"
@@ -77,108 +77,13 @@ def few_entities(spark: SparkSession, n_success: int, n_chunks: int, t: Threshol
     return spark.range(1 if n_success < t.few_entities and n_chunks < t.few_chunks else 0).select(row.alias("f")).select("f.*")
 
 
-def _places(name: Column) -> Column:
-    """For each sign of a name the places where it stands, as the bits of a long; names of up to LONGEST signs."""
-    signs = F.split(name, "")
-    bits = F.transform(signs, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
-    of = lambda c: F.aggregate(F.filter(bits, lambda x: x["c"] == c), F.lit(0).cast("long"), lambda s, x: s + x["bit"])
-    return F.map_from_entries(F.transform(F.array_distinct(signs), lambda c: F.struct(c.alias("c"), of(c).alias("bits"))))
-
-
-#: Signs of a name that bits of a long stand for, with one left for the carry.
-LONGEST = 62
-
-
-def common_length(places: Column, n: Column, other: Column) -> Column:
-    """Length of the longest common subsequence of a name of n <= LONGEST signs, by its `places`, and another of any length.
-
-    Bits stand for the name's signs. The open ones that match the other's next sign are added to
-    all open ones: the carry runs through each stretch up to the next match, which closes. One
-    AND, ADD and OR a sign; closed bits are the length.
-    """
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
-
-    def step(open_: Column, c: Column) -> Column:
-        hit = open_.bitwiseAND(F.coalesce(F.try_element_at(places, c), F.lit(0).cast("long")))
-        return (open_ + hit).bitwiseOR(open_ - hit).bitwiseAND(full)
-
-    return n - F.bit_count(F.aggregate(F.split(other, ""), full, step))
-
-
-def _common_length_by_rows(a: Column, b: Column) -> Column:
-    """The same for names of any lengths, one row of the usual table at a time: best[j] is the longest for the first i signs of a and the first j of b."""
-    left, right = F.split(a, ""), F.split(b, "")
-
-    def row(best: Column, x: Column) -> Column:
-        # the new row grows from left to right: its last entry, the old one above, and the old one above to the left
-        old = F.arrays_zip(right.alias("y"), F.slice(best, 1, F.size(right)).alias("diagonal"), F.slice(best, 2, F.size(right)).alias("above"))
-        return F.aggregate(old, F.array(F.lit(0)), lambda new, o: F.array_append(new, F.when(o["y"] == x, o["diagonal"] + 1).otherwise(F.greatest(F.element_at(new, -1), o["above"]))))
-
-    return F.element_at(F.aggregate(left, F.array_repeat(F.lit(0), F.size(right) + 1), row), -1)
-
-
-def _signs(name: Column) -> Column:
-    """Each sign of a name with its number among its like: the multiset of signs as a set."""
-    return F.transform(F.split(name, ""), lambda c, i: F.concat(c, F.size(F.filter(F.slice(F.split(name, ""), F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-
-
-#: Signs that an index entry of a name stands for, where its partners must share so many; and longs of its sketch.
-TOGETHER, SKETCH = 3, 2
-
-
-def _entries(level: int) -> Column:
-    """Every choice of `level` of a name's first (n - least + level) signs, joined to one string; `signs` in order, rare ones first."""
-    first = F.slice("signs", F.lit(1), F.col("n") - F.col("least") + level)
-    out = F.transform(first, lambda x, i: F.struct(i.alias("at"), x.alias("entry")))
-    for _ in range(level - 1):
-        longer = lambda e: F.transform(F.slice(first, e["at"] + 2, F.size(first)), lambda x, j: F.struct((e["at"] + 1 + j).alias("at"), F.concat_ws("\0", e["entry"], x).alias("entry")))
-        out = F.flatten(F.transform(out, longer))
-    return F.transform(out, lambda e: e["entry"])
-
-
-def name_candidates(ok: DataFrame, ratio: float) -> DataFrame:
-    """(key, name) rows whose names may have a ratio above `ratio`, as (a, b, name_a, name_b, n_a, n_b, places_a), a < b, each once.
-
-    A ratio r over the sum of two lengths needs more than r / 2 times that sum of common signs,
-    so a name of n signs shares at least k = ceil(n * r / (2 - r)) of them with any partner. In one
-    fixed order of signs, rare ones first, two such names share m of the first n - k + m signs
-    of each. Index entries are (hashes of) such choices of m = min(TOGETHER, k) signs, far rarer than
-    single ones. Pairs that meet are held against bounds by length and by hashed signs (64 bits a
-    long: a bit of one name that the other lacks is a sign that it lacks) where they are joined.
-    """
-    each = ok.select("key", "name", F.length("name").alias("n"), F.explode(_signs(F.col("name"))).alias("sign"))
-    rare = each.groupBy("sign").agg(F.count("*").alias("times"))
-    hashed = [F.bit_or(F.when(F.pmod(F.xxhash64("sign"), F.lit(64 * SKETCH)).between(64 * i, 64 * i + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("sign"), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"bits{i}") for i in range(SKETCH)]
-    lists = each.join(rare, "sign").groupBy("key", "name", "n").agg(F.array_sort(F.collect_list(F.struct("times", "sign"))).alias("signs"), *hashed)
-    least = F.greatest(F.lit(1), F.ceil(F.col("n") * (ratio / (2 - ratio)) - 1e-9)).cast("int")
-    ordered = lists.withColumn("signs", F.transform("signs", lambda x: x["sign"])).withColumn("least", least).persist()
-    columns = ["n", "least", *[f"bits{i}" for i in range(SKETCH)]]
-    need = ratio * (F.col("n_a") + F.col("n_b"))
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits{i}_{x}").bitwiseAND(F.bitwise_not(F.col(f"bits{i}_{y}")))) for i in range(1, SKETCH)), F.bit_count(F.col(f"bits0_{x}").bitwiseAND(F.bitwise_not(F.col(f"bits0_{y}")))))
-    shared = F.least(F.col("n_a") - lacks("a", "b"), F.col("n_b") - lacks("b", "a"))
-    fit = (2.0 * F.least("n_a", "n_b") > need) & (2.0 * shared > need)
-    index = lambda level: ordered.where(F.col("least") >= level).select("key", *columns, F.explode(_entries(level)).alias("entry")).withColumn("entry", F.xxhash64("entry"))
-    pairs = pairs_by_key(index(TOGETHER), ["entry"], "key", columns).where(fit).select("key_a", "key_b")
-    for level in range(1, TOGETHER):  # names too short for that meet the others by all signs that they must share
-        one, two = (index(level).select("entry", *[F.col(c).alias(f"{c}_{x}") for c in ("key", *columns)]) for x in "ab")
-        met = one.where(F.col("least_a") == level).join(two, "entry").where(fit & ((F.col("least_b") > level) | (F.col("key_a") < F.col("key_b"))))
-        pairs = pairs.unionByName(met.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")))
-    names = lambda x: ok.select(F.col("key").alias(f"key_{x}"), F.col("name").alias(f"name_{x}"))
-    short = names("a").withColumn("places_a", F.when(F.length("name_a") <= LONGEST, _places(F.col("name_a"))))
-    return pairs.distinct().join(short, "key_a").join(names("b"), "key_b")
-
-
 def similar_names(manifest: DataFrame, t: Thresholds) -> DataFrame:
     """(a, b, ratio) of success entries with names alike, by their keys (LABEL__name), a < b; exact, at any number of entries.
 
     The ratio is 2 * (length of the longest common subsequence) / (both lengths).
     """
     ok = manifest.where("status = 'success'").select(F.concat_ws("__", "ner_label", "entity_name").alias("key"), F.col("entity_name").alias("name")).where("name <> ''")
-    met = name_candidates(ok, t.name_ratio)
-    by_bits = common_length(F.col("places_a"), F.length("name_a"), F.col("name_b"))
-    common = F.when(F.col("places_a").isNotNull(), by_bits).otherwise(_common_length_by_rows(F.col("name_a"), F.col("name_b")))
-    ratio = F.lit(2.0) * common / (F.length("name_a") + F.length("name_b"))
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), ratio.alias("ratio")).where(F.col("ratio") > t.name_ratio)
+    return pairs_alike(ok, t.name_ratio)
 
 
 def findings(chunks: DataFrame, weighted: DataFrame, manifest: DataFrame | None, t: Thresholds | None = None, *, has_pages: bool = True, parts: int | None = None) -> DataFrame:

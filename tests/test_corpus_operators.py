@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import analysis, entities, joins, lint, manifest, search, summaries, tfidf
+from scriptorium.operators import names as lint_names
 from scriptorium.operators.analysis import RuleAnalyzer, entities_in_chunks, keep_tokens, tokens_in_chunks
 from scriptorium.plans import queries
 
@@ -379,3 +380,16 @@ def test_similar_pairs_keep_no_whole_rows(spark):
     assert kept < 500_000  # the entries of 303 rows take over 2 MB
     assert [(a, b) for a, b, _ in got] == [("c000", "c300"), ("c000", "c301"), ("c001", "c302"), ("c300", "c301")]
     assert got == told(search.similar_pairs(tfidf.weights(counts, vocab, parts=3), 0.95))
+
+
+@pytest.mark.parametrize("block", [1, 7, 60])
+def test_like_names_of_many_blocks(spark, monkeypatch, block):
+    """Every two blocks meet once, whatever their number: names of one length, much longer ones, and one name with two labels."""
+    monkeypatch.setattr(lint_names, "BLOCK", block)
+    r = random.Random(9)
+    names = sorted({"".join(r.choices("abc光😀", k=r.choice((2, 5, 9)))) for _ in range(22)} | {"abc" * 25, "abc" * 24 + "b", "cab" * 30})
+    rows = [("ORG", n) for n in names] + [("LOC", names[0]), ("LOC", names[-1])]
+    keys = [(f"{label}__{n}", n) for label, n in rows]
+    want = {(a, b, round(2 * longest_common(x, y) / (len(x) + len(y)), 9)) for a, x in keys for b, y in keys if a < b and 2 * longest_common(x, y) / (len(x) + len(y)) > 0.6}
+    got = lint_names.pairs_alike(spark.createDataFrame(keys, "key string, name string"), 0.6).collect()
+    assert {(x["a"], x["b"], round(x["ratio"], 9)) for x in got} == want and len(got) == len(want) > 10

@@ -154,6 +154,8 @@ class _Writer(DataSourceArrowWriter):
     def _save(self, store: files.FileSystem, folder: str, number: int, held: list[pa.RecordBatch]) -> str:
         first = number * self.block
         columns = [np.concatenate([np.asarray(b.column(i).to_pylist() if pa.types.is_string(b.column(i).type) else b.column(i).to_numpy()) for b in held]) for i in range(3)]
+        if (np.diff(columns[0]) < 0).any():
+            raise ValueError("rows are to be in order")
         members = {"first_row": np.array([first], dtype=np.int64)}
         if self.table == "vocabulary":
             if (columns[0] != np.arange(first, first + len(columns[0]))).any():
@@ -169,6 +171,10 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, path = _store(self.path)
+        blocks = [posixpath.basename(n) for m in messages if m is not None for n in m.names]
+        if len(set(blocks)) < len(blocks):
+            self._clear()
+            raise ValueError("rows of one block came from two tasks")
         if self.overwrite:
             for old in store.get_file_info(files.FileSelector(path)):
                 if old.is_file and old.path.endswith(".npz"):
@@ -215,19 +221,22 @@ def read(spark: SparkSession, path: str, table: str = "matrix", split: int = SPL
     return spark.read.format(FORMAT).option("table", table).option("splitRows", split).load(path)
 
 
-def _write(df: DataFrame, order: list[str], path: str, table: str, block: int, **options) -> None:
+def _write(df: DataFrame, order: list[str], path: str, table: str, block: int, placed: bool = False, **options) -> None:
     df.sparkSession.dataSource.register(CsrNpz)
-    dealt = df.repartition(F.floor(F.col(order[0]) / block)).sortWithinPartitions(*order)
+    dealt = df if placed else df.repartition(F.floor(F.col(order[0]) / block)).sortWithinPartitions(*order)
     write = dealt.write.format(FORMAT).mode("overwrite").option("table", table).option("blockRows", block)
     for k, v in options.items():
         write = write.option(k, v)
     write.save(path)
 
 
-def write_matrix(entries: DataFrame, path: str, rows: int, columns: int, block: int = BLOCK) -> None:
-    """SK2: entries (row, col, value), no null, of a matrix of that many rows and columns, as CSR blocks. Rows without entries need none."""
+def write_matrix(entries: DataFrame, path: str, rows: int, columns: int, block: int = BLOCK, placed: bool = False) -> None:
+    """SK2: entries (row, col, value), no null, of a matrix of that many rows and columns, as CSR blocks. Rows without entries need none.
+
+    `placed` where the entries of a block are in one partition, in order, as they come.
+    """
     each = entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"))
-    _write(each, ["row", "col"], path, "matrix", block, rows=rows, columns=columns)
+    _write(each, ["row", "col"], path, "matrix", block, placed, rows=rows, columns=columns)
 
 
 def write_vocabulary(vocab: DataFrame, path: str, block: int = BLOCK) -> None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import tfidf
 from scriptorium.plans import queries
 from scriptorium.sources import npz
 
@@ -83,3 +84,31 @@ def test_the_query_equals_the_weights(spark):
     got = {(r["chunk_id"], r["term"]): r["weight"] for r in queries.QUERIES["npz_weights"](spark, "/root/testdata/sf0.001").collect()}
     want = {(r["chunk_id"], r["term"]): r["weight"] for r in queries.QUERIES["tfidf_weights"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want and len(got) > 1000 and io
+
+
+def test_placed_blocks(spark, tmp_path):
+    """Entries that lie by blocks are written where they are; a block that two tasks hold is refused, and the former blocks stay."""
+    whole = entries(spark, 20, 5).coalesce(1).sortWithinPartitions("row", "col")
+    npz.write_matrix(whole, str(tmp_path / "m"), 20, 5, 4, placed=True)
+    before = values(npz.read(spark, str(tmp_path / "m")))
+    npz.write_matrix(whole, str(tmp_path / "n"), 20, 5, 4)
+    assert before == values(npz.read(spark, str(tmp_path / "n"))) and before
+    with pytest.raises(Exception, match="two tasks"):
+        npz.write_matrix(whole.unionAll(whole), str(tmp_path / "m"), 20, 5, 4, placed=True)
+    with pytest.raises(Exception, match="in order"):
+        npz.write_matrix(whole.sortWithinPartitions(F.desc("row")), str(tmp_path / "m"), 20, 5, 32, placed=True)
+    assert values(npz.read(spark, str(tmp_path / "m"))) == before and not list((tmp_path / "m").glob("_*"))
+
+
+def test_entries_stay_where_their_texts_are(spark):
+    """Weights by row and column are those of the long table, each part in one partition, in order; a row of two texts counts once."""
+    texts = spark.createDataFrame([(i, " ".join(f"t{(i * j) % 17}" for j in range(i % 9 + 1))) for i in range(60)] + [(7, "t1 t99")], "row_index long, text string")
+    dealt, tokens = texts.withColumn("_part", F.floor(F.col("row_index") / 20).cast("int")).repartitionById(3, F.col("_part")), F.split("text", " ")
+    found = tfidf.document_frequencies(dealt, tokens, "row_index").persist()
+    vocab = tfidf.vocabulary(found.groupBy("term").agg(F.sum("df").alias("df")), 60)
+    ids = tfidf.with_term_ids(vocab.select("term", "idf")).select("term", "term_id", "idf")
+    got = tfidf.matrix_entries(tfidf.term_counts(dealt, tokens, "row_index", 3), found, ids, 3).withColumn("at", F.spark_partition_id()).collect()
+    counts = tfidf.term_counts(texts, tokens, "row_index")
+    want = tfidf.weights(counts, tfidf.vocabulary(counts, 60), "row_index").join(ids.select("term", "term_id"), "term")
+    assert {(r["row"], r["col"]): round(r["value"], 9) for r in got} == {(r["row_index"], r["term_id"]): round(r["weight"], 9) for r in want.collect()}
+    assert all(r["at"] == r["row"] // 20 for r in got) and [(r["row"], r["col"]) for r in got] == sorted((r["row"], r["col"]) for r in got)

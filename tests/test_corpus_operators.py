@@ -393,3 +393,14 @@ def test_like_names_of_many_blocks(spark, monkeypatch, block):
     want = {(a, b, round(2 * longest_common(x, y) / (len(x) + len(y)), 9)) for a, x in keys for b, y in keys if a < b and 2 * longest_common(x, y) / (len(x) + len(y)) > 0.6}
     got = lint_names.pairs_alike(spark.createDataFrame(keys, "key string, name string"), 0.6).collect()
     assert {(x["a"], x["b"], round(x["ratio"], 9)) for x in got} == want and len(got) == len(want) > 10
+
+
+@pytest.mark.parametrize("cap", [1, 3, 20])
+def test_prompts_of_places_need_no_lists(spark, cap):
+    """As of lists: entities with fewer and more chunks than the cap, and a chunk that is gone."""
+    chunks = spark.createDataFrame([(f"c{i}", f"s{i % 3}", f"Text {i}.") for i in range(9)], "chunk_id string, source string, text string")
+    found = {("Aaaa", "ORG"): list(range(9)), ("Bbbb", "LOC"): [4], ("Cccc", "ORG"): [8, 2, 99]}
+    places = spark.createDataFrame([(*e, n, f"c{i}") for e, ids in found.items() for n, i in enumerate(ids)], "name string, ner_label string, row_index int, chunk_id string")
+    lists = spark.createDataFrame([(*e, [f"c{i}" for i in ids]) for e, ids in found.items()], "name string, ner_label string, chunk_ids array<string>")
+    got = manifest.prompts_of_places(places, chunks, cap)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, manifest.prompts(lists, chunks, cap).collect())) and got.count() == 3

@@ -404,3 +404,10 @@ def test_prompts_of_places_need_no_lists(spark, cap):
     lists = spark.createDataFrame([(*e, [f"c{i}" for i in ids]) for e, ids in found.items()], "name string, ner_label string, chunk_ids array<string>")
     got = manifest.prompts_of_places(places, chunks, cap)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, manifest.prompts(lists, chunks, cap).collect())) and got.count() == 3
+
+
+def test_lint_summary_has_short_plans(spark):
+    """The driver holds the text of each plan: what is persisted is told again wherever it is read, millions of characters even for this small table."""
+    found = queries.QUERIES["lint_summary"](spark, "/root/testdata/sf0.001")
+    assert len(found._jdf.queryExecution().toString()) < 50_000
+    assert found.count() > 0

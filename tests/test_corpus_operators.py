@@ -411,3 +411,10 @@ def test_lint_summary_has_short_plans(spark):
     found = queries.QUERIES["lint_summary"](spark, "/root/testdata/sf0.001")
     assert len(found._jdf.queryExecution().toString()) < 50_000
     assert found.count() > 0
+
+
+def test_lint_duplicates_caches_nothing(spark):
+    """Chunks and counts lay in the cache, several times the input."""
+    spark.catalog.clearCache()
+    assert queries.QUERIES["lint_duplicates"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sum(x.memSize() + x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()) == 0

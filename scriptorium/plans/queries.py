@@ -330,7 +330,10 @@ def lint_duplicates(spark, sf_dir):
 
 def lint_orphans(spark, sf_dir):
     """The manifest with some entries more, whose chunks are gone, is held against all chunks."""
-    chunks, _, known = _planned(spark, sf_dir)
+    named = chunking.chunk_documents(_docs(spark, sf_dir), SPEC).select("source", "ord", "chunk_id", ANALYZER.names(F.col("text")).alias("names"))
+    chunks = store.kept(named, "names")
+    found = chunks.select("chunk_id", F.explode("names").alias("m")).select("chunk_id", "m.*").where(F.col("ner_label").isin(*analysis.LABELS))
+    known = _known(store.kept(entities.counted(found), "mentions"), _positions(chunks))
     gone = known.withColumn("entity_name", F.concat(F.lit("Lost "), "entity_name")).withColumn("chunk_ids", F.transform("chunk_ids", lambda x: F.concat(F.lit("lost-"), x)))
     return lint.orphans(known.unionByName(gone), chunks).select("severity", "category", "message", "detail")
 

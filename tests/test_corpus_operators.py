@@ -418,3 +418,13 @@ def test_lint_duplicates_caches_nothing(spark):
     spark.catalog.clearCache()
     assert queries.QUERIES["lint_duplicates"](spark, "/root/testdata/sf0.001").count() > 0
     assert sum(x.memSize() + x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()) == 0
+
+
+def test_lint_orphans_sort_no_texts(spark, monkeypatch):
+    """No hash is made of an entity's texts, since no rule reads it; the entries are the same."""
+    known = queries._planned(spark, "/root/testdata/sf0.001")[2].where("status = 'success'")
+    want = sorted(f"{r['ner_label']}__Lost {r['entity_name']} has no chunk in the corpus" for r in known.select("ner_label", "entity_name").collect())
+    monkeypatch.setattr(manifest, "source_hashes", None)
+    spark.catalog.clearCache()
+    got = sorted(r["message"] for r in queries.QUERIES["lint_orphans"](spark, "/root/testdata/sf0.001").collect())
+    assert got == want and want

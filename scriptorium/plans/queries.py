@@ -145,22 +145,28 @@ def npz_weights(spark, sf_dir):
 
     Texts are dealt by the blocks of the matrix, so that no entry is moved before it is written;
     they are taken apart twice, for the vocabulary and for the entries, and no counts are kept.
+    Each block is read with the names of its own rows and terms, so that none is moved afterwards.
     """
-    block, chunks = 8192, _chunks(spark, sf_dir)
+    block, chunks = 8192, _kept_chunks(spark, sf_dir)
     first = chunks.groupBy("chunk_id").agg(F.min(F.struct("source", "ord")).alias("at")).select("at.source", "at.ord", "chunk_id")
-    rows = chunking.with_row_index(first, "source", "ord").select("chunk_id", "row_index")
-    n = rows.count()
+    rows = store.kept(chunking.with_row_index(first, "source", "ord").select("chunk_id", "row_index"), "rows")
+    n, n_chunks = rows.count(), chunks.count()
     parts, tokens = max(2, -(-n // block)), ANALYZER.tokens(F.col("text"))
-    texts = chunks.select("chunk_id", "text").join(rows.hint("shuffle_hash"), "chunk_id").select("row_index", "text", F.floor(F.col("row_index") / block).cast("int").alias("_part")).repartitionById(parts, F.col("_part"))
-    found = tfidf.document_frequencies(texts, tokens, "row_index").persist()
-    vocab = tfidf.vocabulary(found.groupBy("term").agg(F.sum("df").alias("df")), chunks.count())
-    ids = tfidf.with_term_ids(vocab.select("term", "idf")).select("term", "term_id", "idf").persist()
+    numbered = store.kept(chunks.select("chunk_id", "text").join(rows.hint("shuffle_hash"), "chunk_id").select("row_index", "text"), "numbered")
+    store.dropped(chunks)
+    texts = numbered.withColumn("_part", F.floor(F.col("row_index") / block).cast("int")).repartitionById(parts, F.col("_part"))
+    found = store.kept(tfidf.document_frequencies(texts, tokens, "row_index"), "found")
+    vocab = tfidf.vocabulary(found.groupBy("term").agg(F.sum("df").alias("df")), n_chunks)
+    ids = store.kept(tfidf.with_term_ids(vocab.select("term", "idf")).select("term", "term_id", "idf"), "ids")
     path = store.scratch(spark, "npz")
     entries = tfidf.matrix_entries(tfidf.term_counts(texts, tokens, "row_index", parts), found, ids, parts)
     npz.write_matrix(entries, join(path, "matrix"), n, ids.count(), block, placed=True)
     npz.write_vocabulary(ids, join(path, "vocabulary"))
-    back = npz.read(spark, join(path, "matrix"), split=4096).join(npz.read(spark, join(path, "vocabulary"), "vocabulary").hint("shuffle_hash"), F.col("col") == F.col("term_id"))
-    return back.join(rows.hint("shuffle_hash"), F.col("row") == F.col("row_index")).select("chunk_id", "term", F.round("value", 6).alias("weight"))
+    store.dropped(numbered)
+    own = found.select("_part", "term").join(ids.select("term", "term_id"), "term").select("_part", "term_id")
+    terms = own.join(npz.read(spark, join(path, "vocabulary"), "vocabulary"), "term_id").select("_part", F.col("term_id").alias("col"), "term")
+    back = npz.named_entries(rows.select(F.col("row_index").alias("row"), F.col("chunk_id").alias("name")), terms, join(path, "matrix"), block, parts)
+    return back.select(F.col("name").alias("chunk_id"), "term", F.round("value", 6).alias("weight"))
 
 
 def top_keywords(spark, sf_dir):

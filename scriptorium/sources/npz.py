@@ -221,6 +221,47 @@ def read(spark: SparkSession, path: str, table: str = "matrix", split: int = SPL
     return spark.read.format(FORMAT).option("table", table).option("splitRows", split).load(path)
 
 
+def named_entries(rows: DataFrame, terms: DataFrame, path: str, block: int, parts: int) -> DataFrame:
+    """(name, term, value) of a directory of blocks: rows (row, name) and terms (_part, col, term), those that block `_part` has.
+
+    Names and terms go to the task that reads their block; no entry of the matrix moves.
+    """
+    part = F.floor(F.col("row") / block).cast("int").alias("_part")
+    names = rows.select(part, F.col("row").cast("long").alias("at"), F.lit(False).alias("is_term"), F.col("name").alias("told"))
+    both = names.unionByName(terms.select("_part", F.col("col").cast("long").alias("at"), F.lit(True).alias("is_term"), F.col("term").alias("told")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        at, is_term, told = table["at"].to_numpy(), table["is_term"].to_numpy(), table["told"].combine_chunks()
+        (row, name), (col, term) = (_sorted(at, told, np.flatnonzero(which)) for which in (~is_term, is_term))
+        store, folder = _store(path)
+        for number in np.unique(row // block).tolist():
+            file = f"{folder}/block-{number:09d}.npz"
+            if store.get_file_info(file).type == files.FileType.NotFound:  # a block without entries has no file
+                continue
+            with store.open_input_file(file) as raw, zipfile.ZipFile(raw) as archive:
+                n = _Member(archive, "matrix_indptr").shape[0] - 1
+            for batch in _Reader(path, "matrix", block).read(_Range(file, 0, n, number * block)):
+                yield pa.RecordBatch.from_arrays([name.take(_places(row, batch.column(0))), term.take(_places(col, batch.column(1))), batch.column(2)], names=["name", "term", "value"])
+
+    return both.repartitionById(parts, F.col("_part")).select("at", "is_term", "told").mapInArrow(run, "name string, term string, value double")
+
+
+def _sorted(at: np.ndarray, told: pa.Array, which: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    order = which[np.argsort(at[which])]
+    return at[order], told.take(pa.array(order))
+
+
+def _places(known: np.ndarray, wanted: pa.Array) -> pa.Array:
+    found = np.searchsorted(known, wanted.to_numpy())
+    if len(found) and (not len(known) or (known[np.minimum(found, len(known) - 1)] != wanted.to_numpy()).any()):
+        raise ValueError("an entry has no name or no term")
+    return pa.array(found)
+
+
 def _write(df: DataFrame, order: list[str], path: str, table: str, block: int, placed: bool = False, **options) -> None:
     df.sparkSession.dataSource.register(CsrNpz)
     dealt = df if placed else df.repartition(F.floor(F.col(order[0]) / block)).sortWithinPartitions(*order)

@@ -112,3 +112,17 @@ def test_entries_stay_where_their_texts_are(spark):
     want = tfidf.weights(counts, tfidf.vocabulary(counts, 60), "row_index").join(ids.select("term", "term_id"), "term")
     assert {(r["row"], r["col"]): round(r["value"], 9) for r in got} == {(r["row_index"], r["term_id"]): round(r["weight"], 9) for r in want.collect()}
     assert all(r["at"] == r["row"] // 20 for r in got) and [(r["row"], r["col"]) for r in got] == sorted((r["row"], r["col"]) for r in got)
+
+
+def test_entries_are_named_where_their_block_is_read(spark, tmp_path):
+    """Names and terms meet their block in its task, also beside a block without entries; a term that is missing is an error, and the query moves no entry."""
+    some = entries(spark, 20, 5).where("row < 4 OR row >= 8")
+    npz.write_matrix(some, str(tmp_path / "m"), 20, 5, 4)
+    rows = spark.range(20).select(F.col("id").alias("row"), F.concat(F.lit("c"), "id").alias("name"))
+    terms = spark.range(5).crossJoin(spark.range(5).withColumnRenamed("id", "col")).select(F.col("id").cast("int").alias("_part"), "col", F.concat(F.lit("t"), "col").alias("term"))
+    got = {(r["name"], r["term"]): r["value"] for r in npz.named_entries(rows, terms, str(tmp_path / "m"), 4, 5).collect()}
+    assert got == {(f"c{r['row']}", f"t{r['col']}"): r["value"] for r in some.collect()} and len(got) > 20
+    with pytest.raises(Exception, match="no name or no term"):
+        npz.named_entries(rows, terms.where("col > 0"), str(tmp_path / "m"), 4, 5).count()
+    plan = queries.QUERIES["npz_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(col#" not in plan and "hashpartitioning(row#" not in plan
